@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-from facejobs.llm import media
+from facejobs.llm import media, quality_rules
 
 
 def queries() -> dict:
     return {
+        "op1_quality_rules": quality_rules.query,
         "op10_media_columns": media.query,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op1_quality_rules": quality_rules.SQL,
+    }

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from facejobs.llm import media, quality_rules, simhash
+from facejobs.llm import media, quality_rules, simhash, toxicity
 
 
 def queries() -> dict:
     return {
         "op1_quality_rules": quality_rules.query,
+        "op3_toxicity": toxicity.query,
         "op4_simhash_near_dedup": simhash.query,
         "op10_media_columns": media.query,
     }

@@ -16,6 +16,8 @@ class Sample:
     y: list[int]
     #: How many labelled rows one row of the sample of this label stands for.
     weight: dict[int, float]
+    #: The further columns asked for, a tuple for each row.
+    more: list[tuple]
 
 
 def remainder(doc_id: str, modulus: int):
@@ -23,20 +25,21 @@ def remainder(doc_id: str, modulus: int):
     return F.coalesce(common.crc_mod(doc_id, modulus), F.lit(-1)).cast("int")
 
 
-def sample(docs: DataFrame, labels: DataFrame, label: str, modulus: int, held_out: int, per_class: dict[int, int]) -> Sample:
+def sample(docs: DataFrame, labels: DataFrame, label: str, modulus: int, held_out: int, per_class: dict[int, int], more: tuple[str, ...] = ()) -> Sample:
     """At most ``per_class`` rows of each label, never of the held-out remainder, in the order of
     a hash of their id. Only ids and labels are sorted; the texts of the chosen few are joined.
 
-    An id with several labels counts as 1 if any of them is 1; null ids or labels are left out.
+    An id with several labels counts as 1 if any of them is 1, and of rows that repeat an id the
+    smallest counts; null ids or labels are left out.
     """
     marked = labels.select(F.col("doc_id"), F.col(label).alias("y")).where("doc_id IS NOT NULL AND y IS NOT NULL").groupBy("doc_id").agg(F.max("y").alias("y"))
     usable = marked.where(remainder("doc_id", modulus) != held_out)
     total = {r["y"]: r["n"] for r in usable.groupBy("y").agg(F.count("*").alias("n")).collect()}
     chosen = [usable.where(F.col("y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n) for y, n in per_class.items()]
     picked = chosen[0]
-    for more in chosen[1:]:
-        picked = picked.unionAll(more)
+    for more_ids in chosen[1:]:
+        picked = picked.unionAll(more_ids)
     # at most sum(per_class) ids: a proven bound for the broadcast
-    rows = docs.select("doc_id", F.col("text")).join(F.broadcast(picked), "doc_id").groupBy("doc_id", "y").agg(F.first("text").alias("text")).orderBy(F.xxhash64("doc_id"), "doc_id").collect()
+    rows = docs.select("doc_id", "text", *more).join(F.broadcast(picked), "doc_id").groupBy("doc_id", "y").agg(F.min(F.struct("text", *more)).alias("row")).orderBy(F.xxhash64("doc_id"), "doc_id").collect()
     have = {y: sum(r["y"] == y for r in rows) for y in per_class}
-    return Sample([r["text"] or "" for r in rows], [r["y"] for r in rows], {y: total.get(y, 0) / n for y, n in have.items() if n})
+    return Sample([r["row"]["text"] or "" for r in rows], [r["y"] for r in rows], {y: total.get(y, 0) / n for y, n in have.items() if n}, [tuple(r["row"][c] for c in more) for r in rows])

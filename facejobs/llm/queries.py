@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from facejobs.llm import media, quality_rules, simhash, toxicity
+from facejobs.llm import media, quality_fm, quality_rules, simhash, toxicity
 
 
 def queries() -> dict:
@@ -10,6 +10,7 @@ def queries() -> dict:
         "op1_quality_rules": quality_rules.query,
         "op3_toxicity": toxicity.query,
         "op4_simhash_near_dedup": simhash.query,
+        "op5_quality_classifier": quality_fm.query,
         "op10_media_columns": media.query,
     }
 

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from facejobs.llm import common, labelled
-from facejobs.llm.toxicity import best_f1
+from facejobs.llm.toxicity import best_cut
 
 THRESHOLD = 0.3
 BUCKETS, RANK = 1 << 14, 8
@@ -134,7 +134,7 @@ def fit(sample: labelled.Sample, metadata: list[list[float]] | None = None) -> M
     raw = Model(*parts, 1.0, 0.0)
     out = np.array([raw.logit(*rows[k]) for k in np.flatnonzero(apart)])
     spread = max(1.0, float(np.std(out)))
-    cut = best_f1(out, y[apart], weight[apart])
+    cut = best_cut(out, y[apart], weight[apart])
     return Model(*parts, 2 / spread, float(np.log(THRESHOLD / (1 - THRESHOLD)) - 2 / spread * cut))
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from facejobs.llm import media, quality_fm, quality_rules, simhash, toxicity
+from facejobs.llm import media, quality_fm, quality_rules, sentencepieces, simhash, toxicity
 
 
 def queries() -> dict:
@@ -11,6 +11,7 @@ def queries() -> dict:
         "op3_toxicity": toxicity.query,
         "op4_simhash_near_dedup": simhash.query,
         "op5_quality_classifier": quality_fm.query,
+        "op6_sentencepiece": sentencepieces.query,
         "op10_media_columns": media.query,
     }
 

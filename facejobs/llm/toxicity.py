@@ -115,7 +115,7 @@ def _distinctive(toxic: np.ndarray, other: np.ndarray) -> np.ndarray:
     return np.flatnonzero((toxic >= 3) & (toxic > 2 * mean1) & (g2 >= 15))
 
 
-def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1e-3) -> tuple:
+def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 2e-2) -> tuple:
     mean, scale = x.mean(0), x.std(0) + 1e-9
     a, w = np.c_[(x - mean) / scale, np.ones(len(x))], np.zeros(x.shape[1] + 1)
     weight = weight / weight.mean()

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from facejobs.llm import huffman, media, quality_fm, quality_rules, sentencepieces, simhash, token_counts, toxicity
+from facejobs.llm import huffman, media, packing, quality_fm, quality_rules, sentencepieces, simhash, token_counts, toxicity
 
 
 def queries() -> dict:
@@ -14,6 +14,7 @@ def queries() -> dict:
         "op6_sentencepiece": sentencepieces.query,
         "op7_token_counts": token_counts.query,
         "op8_token_files": huffman.query,
+        "op9_best_fit_packing": packing.query,
         "op10_media_columns": media.query,
     }
 

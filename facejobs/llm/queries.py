@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from facejobs.llm import huffman, media, packing, quality_fm, quality_rules, sentencepieces, simhash, token_counts, toxicity
+from facejobs.llm import huffman, licences, media, packing, quality_fm, quality_rules, sentencepieces, simhash, token_counts, toxicity
 
 
 def queries() -> dict:
     return {
         "op1_quality_rules": quality_rules.query,
+        "op2_license_scans": licences.query,
         "op3_toxicity": toxicity.query,
         "op4_simhash_near_dedup": simhash.query,
         "op5_quality_classifier": quality_fm.query,
@@ -22,4 +23,5 @@ def queries() -> dict:
 def oracle_sql() -> dict[str, str]:
     return {
         "op1_quality_rules": quality_rules.SQL,
+        "op2_license_scans": licences.SQL,
     }

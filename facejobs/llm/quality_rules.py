@@ -156,7 +156,10 @@ def judge(docs: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES,
 
 def keep(docs: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """The rows that pass every rule, with their columns as they were."""
-    return judge(docs, text, rules).where(F.col(f"{common.RESULT}.kept")).drop(common.RESULT)
+    judged = judge(docs, text, rules)
+    # through a generator no filter is pushed down, which would compute every count again in its own terms
+    held = judged.select(*(f"`{c}`" for c in docs.columns), F.explode(F.array(f"{common.RESULT}.kept")).alias(common.RESULT))
+    return held.where(F.col(common.RESULT)).drop(common.RESULT)
 
 
 COLUMNS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")

@@ -21,9 +21,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from facejobs.llm import common
-from facejobs.llm.units import units
+from facejobs.llm.units import ranked, units
 
-FILE = "byte_bpe_50k.json"
+FILE, RANKS = "byte_bpe_50k.json", "byte_bpe_50k.tiktoken"
 END_ID = 2
 #: Longest code in bits, where the number of symbols allows it.
 LONGEST = 16
@@ -112,12 +112,12 @@ _RAW = {"part": pa.int32(), "seq": pa.int64(), "before": pa.int64(), "doc_ids":
 _FILES = {"start": pa.int64(), "doc_ids": pa.list_(pa.int64()), "lengths": pa.list_(pa.int64()), "n": pa.int64(), "checkpoints": pa.binary(), "bits": pa.binary()}
 
 
-def token_blocks(docs: DataFrame, path: str, end_id: int = END_ID, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+def token_blocks(docs: DataFrame, path: str, ranks: str | None = None, end_id: int = END_ID, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """Blocks of ids in ascending order of doc_id (null first; repeated ids by their text): part
     and seq order the blocks, ``before`` counts the part's ids before the block."""
 
     def read(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        u, part, seq, before, held = units(path), TaskContext.get().partitionId(), 0, 0, 0
+        u, part, seq, before, held = ranked(path, ranks) if ranks else units(path), TaskContext.get().partitionId(), 0, 0, 0
         kind = "<u2" if max(u.size, end_id + 1) <= 1 << 16 else "<u4"
         docs, lengths, ids = [], [], []
 
@@ -143,11 +143,11 @@ def token_blocks(docs: DataFrame, path: str, end_id: int = END_ID, text: str = "
     return ranged.mapInArrow(read, "part int, seq long, before long, doc_ids array<long>, lengths array<long>, ids binary")
 
 
-def write(docs: DataFrame, path: str, folder: str, end_id: int = END_ID, text: str = "text", doc_id: str = "doc_id") -> None:
-    """Encode ``docs`` into ``folder``. What reaches the driver is bounded: a count per id of the
+def write(docs: DataFrame, path: str, folder: str, ranks: str | None = None, end_id: int = END_ID, text: str = "text", doc_id: str = "doc_id") -> None:
+    """Encode ``docs`` into ``folder``, with the rank file of the same vocabulary if given. What reaches the driver is bounded: a count per id of the
     vocabulary, and the number of ids per part."""
     spark = docs.sparkSession
-    raw = common.stage(token_blocks(docs, path, end_id, text, doc_id), "ids")
+    raw = common.stage(token_blocks(docs, path, ranks, end_id, text, doc_id), "ids")
     u = units(path)
     kind = "<u2" if max(u.size, end_id + 1) <= 1 << 16 else "<u4"
 
@@ -216,5 +216,5 @@ def query(spark, sf_dir: str) -> DataFrame:
     """op8: write every document's ids in the file format, read the files back, digest them."""
     common.small_batches(spark)
     folder = common.new_path(spark, "token-files")
-    write(common.documents(spark, sf_dir), common.tokenizer_file(FILE), folder)
+    write(common.documents(spark, sf_dir), common.tokenizer_file(FILE), folder, common.tokenizer_file(RANKS))
     return digests(spark, folder)

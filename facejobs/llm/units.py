@@ -19,6 +19,8 @@ WHITE = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u300
 #: Units of byte-level vocabularies keep white space; those of word vocabularies drop it.
 BYTE_LEVEL = re.compile(f" ?[^{WHITE}]+|[{WHITE}]+(?![^{WHITE}])|[{WHITE}]+")
 WORD_LEVEL = re.compile(f"[^{WHITE}]+")
+#: Fixed value: the pattern that byte-level vocabularies cut by.
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 CACHE = 400_000
 
 
@@ -73,3 +75,45 @@ class Units:
 @lru_cache(maxsize=2)
 def units(path: str) -> Units:
     return Units(path)
+
+
+class Ranked:
+    """Ids of a byte-level vocabulary by its rank file, several times faster than unit by unit.
+
+    The rank file holds the same vocabulary and merges as the tokenizers file, and the cut is the
+    same pattern, so ids are equal; of each batch the shortest text that is not empty is encoded
+    with the tokenizers library too, and a difference stops the job. Texts that hold an added
+    token's string, and any that the ranks' cut cannot handle, go by the tokenizers library.
+    """
+
+    def __init__(self, path: str, ranks: str) -> None:
+        import base64
+
+        import tiktoken
+
+        self.units = units(path)
+        self.size = self.units.size
+        with open(ranks, "rb") as f:
+            table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+        self.encoding = tiktoken.Encoding("ranks", pat_str=PATTERN, mergeable_ranks=table, special_tokens={})
+
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        """Ids of each text, as the tokenizers library's encode with add_special_tokens=False gives them."""
+        out = []
+        for t in texts:
+            try:
+                ids = None if any(m in t for m in self.units.marks) else self.encoding.encode_ordinary(t)
+            except (ValueError, RuntimeError):  # the pattern's engine gave up
+                ids = None
+            out.append(self.units.encode([t])[0] if ids is None else np.array(ids, np.int32))
+        check = min((k for k, t in enumerate(texts) if t), key=lambda k: len(texts[k]), default=None)
+        if check is not None:
+            theirs = self.units.library.encode(texts[check], add_special_tokens=False).ids
+            if out[check].tolist() != theirs:
+                raise RuntimeError(f"ids of {texts[check]!r} differ from the tokenizers library's")
+        return out
+
+
+@lru_cache(maxsize=2)
+def ranked(path: str, ranks: str) -> Ranked:
+    return Ranked(path, ranks)

@@ -21,7 +21,10 @@ BYTE_LEVEL = re.compile(f" ?[^{WHITE}]+|[{WHITE}]+(?![^{WHITE}])|[{WHITE}]+")
 WORD_LEVEL = re.compile(f"[^{WHITE}]+")
 #: Fixed value: the pattern that byte-level vocabularies cut by.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-CACHE = 400_000
+#: Units whose ids a worker keeps, at about 250 bytes each.
+CACHE = 1_000_000
+#: Stands between units that are encoded together.
+SPLIT = "\x00"
 
 
 class Units:
@@ -30,7 +33,7 @@ class Units:
     def __init__(self, path: str) -> None:
         import json
 
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, normalizers
 
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
@@ -49,6 +52,12 @@ class Units:
         self.marks = special
         self.size = self.library.get_vocab_size()
         self.known: dict[str, bytes] = {}
+        #: Without its normalizer, for units that Python has lowered; see :meth:`_lowered`.
+        self.plain = None
+        if self.pattern is WORD_LEVEL:
+            self.plain = Tokenizer.from_file(path)
+            self.plain.normalizer = normalizers.Sequence([])
+            self.split_id = self.plain.encode(SPLIT, add_special_tokens=False).ids
 
     def cut(self, text: str) -> list[str]:
         """Units of a text; strings of added tokens are units of their own."""
@@ -59,15 +68,55 @@ class Units:
     def encode_units(self, units: list[str]) -> list[list[int]]:
         return [e.ids for e in self.library.encode_batch_fast(units, add_special_tokens=False)]
 
+    def _lowered(self, text: str) -> str:
+        """The text in lower case where that is all the normalizer of a word vocabulary does: up to
+        U+00FF no characters compose, and each has one lower-case form. Other texts stay."""
+        if self.plain is None:
+            return text
+        try:
+            text.encode("latin-1")
+        except UnicodeEncodeError:
+            return text
+        low = text.lower()
+        return text if any(m in low for m in self.marks) else low
+
+    def _is_lowered(self, unit: str) -> bool:
+        try:
+            unit.encode("latin-1")
+        except UnicodeEncodeError:
+            return False
+        return unit == unit.lower() and SPLIT not in unit and not any(m in unit for m in self.marks)
+
+    def _learn(self, new: list[str]) -> None:
+        """Ids of units not met before. Lowered ones go to the library joined by a character that
+        is a piece of its own, so that one call gives the ids of thousands."""
+        rest = new
+        if self.plain is not None and len(self.split_id) == 1:
+            simple = [u for u in new if self._is_lowered(u)]
+            rest = []
+            for at in range(0, len(simple), 5_000):
+                part = simple[at : at + 5_000]
+                ids = np.array(self.encode_plain(f" {SPLIT} ".join(part)), np.int32)
+                cuts = np.flatnonzero(ids == self.split_id[0])
+                if len(cuts) != len(part) - 1:
+                    rest += part
+                    continue
+                raw, ends = ids.tobytes(), [*(4 * cuts).tolist(), 4 * len(ids)]
+                self.known.update(zip(part, (raw[a:b] for a, b in zip([0, *(x + 4 for x in ends)], ends))))
+            rest += set(new).difference(simple)
+        for at in range(0, len(rest), 20_000):
+            part = rest[at : at + 20_000]
+            for u, ids in zip(part, self.encode_units(part)):
+                self.known[u] = np.array(ids, np.int32).tobytes()
+
+    def encode_plain(self, text: str) -> list[int]:
+        return self.plain.encode_batch_fast([text], add_special_tokens=False)[0].ids
+
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of each text, as the library's encode with add_special_tokens=False gives them."""
-        cut = [self.cut(t) for t in texts]
+        cut = [self.cut(self._lowered(t)) for t in texts]
         common.trim(self.known, CACHE)
-        new = sorted({u for c in cut for u in c}.difference(self.known))
-        for at in range(0, len(new), 20_000):
-            part = new[at : at + 20_000]
-            for u, ids in zip(part, self.encode_units(part)):
-                self.known[u] = np.array(ids, np.int32).tobytes()
+        self._learn(list(set().union(*cut).difference(self.known)))
         get = self.known.__getitem__
         return [np.frombuffer(b"".join(map(get, c)), np.int32) for c in cut]
 

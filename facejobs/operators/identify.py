@@ -95,12 +95,14 @@ def _blocks(faces: DataFrame, gallery: DataFrame, block_members: int, n_members:
         import pandas as pd
 
         if not len(left) or not len(right):
-            return pd.DataFrame({c: [] for c in (*KEY, "score", "rank", "person_id", "name")})
+            return pd.DataFrame()
         right = right.sort_values("rank")
         k, score = _arg_max(np.stack(left["embedding"].to_numpy()).astype(np.float64), np.stack(right["centroid"].to_numpy()))
-        chosen = right.iloc[k]
-        out = left[KEY].assign(score=score, rank=-chosen["rank"].to_numpy(), person_id=chosen["person_id"].to_numpy(), name=chosen["name"].to_numpy())
-        return out[np.isfinite(score)]
+        won = np.isfinite(score)
+        if not won.any():
+            return pd.DataFrame()
+        columns = {c: left[c].to_numpy()[won] for c in KEY} | {"score": score[won], "rank": -right["rank"].to_numpy()[k][won]}
+        return pd.DataFrame(columns | {c: right[c].to_numpy()[k][won] for c in ("person_id", "name")})
 
     local = keyed.groupBy("_group", "_block").cogroup(members.groupBy("_group", "_block")).applyInPandas(best, "sequence_id string, frame_index int, face_index int, score double, rank int, person_id string, name string")
     final = local.groupBy(*KEY).agg(F.max(F.struct("score", "rank", "person_id", "name")).cast(_BEST).alias("_best"))

@@ -2,7 +2,7 @@
 
 A segment's symbols are merged from an agenda of adjacent pairs, best score first, leftmost
 first among equals. Texts are cut where no piece of the vocabulary can cross: before a run of
-spaces, and around newlines if no piece holds one. Each worker keeps the ids of segments it has
+spaces, around newlines, and between a letter and a mark that follows letters in no piece. Each worker keeps the ids of segments it has
 met; in each Arrow batch, the new ones are checked against the sentencepiece library.
 """
 
@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import heapq
 import re
+import string
 from functools import lru_cache
 
 import numpy as np
@@ -21,7 +22,8 @@ from facejobs.llm import common
 
 SPACE = "▁"
 FILE = "piece_bpe_32k.model"
-CACHE = 600_000
+CACHE = 1_200_000
+LETTER = "[A-Za-zÀ-ÖØ-öø-ÿ]"
 #: Symbols up to which the agenda is a plain list.
 SHORT = 48
 
@@ -48,8 +50,12 @@ class Vocabulary:
         self.order, self.none = {p: place[x] for p, (x, _) in self.rank.items()}, len(place)
         if any(re.search(f"[^{SPACE}]{SPACE}", p) for p in self.rank):
             raise ValueError("a piece goes on after a word's end")
-        lines = any("\n" in p for p in self.rank)
-        self.segment = re.compile(" *[^ ]+| +" if lines else r" *[^ \n]+|\n| +")
+        if any("\n" in p for p in self.rank):
+            raise ValueError("a piece holds a newline")
+        # marks that follow no letter in any piece: texts can be cut between a letter and them
+        joined = {p[i : i + 2] for p in self.rank for i in range(len(p) - 1)}
+        marks = "".join(re.escape(c) for c in string.punctuation if not any(re.match(LETTER, x) and x[1] == c for x in joined))
+        self.segment = re.compile(rf" *(?:[^ \n{marks}]+|(?<!{LETTER})[{marks}])+|[{marks}](?:[^ \n{marks}]+|(?<!{LETTER})[{marks}])*|\n| +")
         self.bytes_id = {int(pieces[k][3:5], 16): k for k in range(size) if sp.is_byte(k)}
         self.unknown = sp.unk_id()
         self.table = [b"" if sp.is_control(k) else " ⁇ ".encode() if sp.is_unknown(k) else bytes([int(p[3:5], 16)]) if sp.is_byte(k) else p.replace(SPACE, " ").encode() for k, p in enumerate(pieces)]
@@ -110,9 +116,9 @@ class Vocabulary:
 
     def learn(self, segments: set[str]) -> None:
         """Encode segments not met before, and check them against the library."""
-        new = sorted(segments.difference(self.known))
+        new = list(segments.difference(self.known))
         ids = [self.merge(s.replace(" ", SPACE)) for s in new]
-        # the library puts a space before what it is given; one without goes after a newline
+        # the library puts a space before what it is given; a segment without one goes after a newline
         spaced = [s.startswith(" ") for s in new]
         theirs = self.library.encode([s[1:] if f else "\n" + s for s, f in zip(new, spaced)], num_threads=1)
         skip = len(self.library.encode("\n")) if not all(spaced) else 0

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from facejobs.llm import common, packing, quality_rules, simhash, toxicity
+from facejobs.llm import common, near_copies, packing, quality_rules, toxicity
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -23,9 +23,10 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document of the smallest doc_id of each group of near copies."""
+    """Keeps the document of the smallest doc_id of each group of near copies: five-word shingle
+    sets of Jaccard similarity 0.8 or more, found exactly (op4's 3 bits miss most of these)."""
     common.small_batches(spark)
-    return simhash.keep_one(docs)
+    return near_copies.keep_one(docs)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

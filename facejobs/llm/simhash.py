@@ -28,11 +28,11 @@ WORDS, DISTANCE, SEGMENTS = 3, 3, 2
 CROWD = 256
 
 
-def fingerprint(text: str, words: int = WORDS) -> int:
-    """Unsigned 64-bit SimHash: a bit is set if it is in over half of the shingles' XXH64."""
+def shingles(text: str, words: int = WORDS) -> np.ndarray:
+    """XXH64 of each shingle in order, repeats included; a text of fewer words is one shingle."""
     found = text.encode().lower().split()
     if not found:
-        return 0
+        return np.empty(0, np.uint64)
     line, ends, at = b" ".join(found), [], -1
     for w in found:
         at += len(w) + 1
@@ -41,7 +41,13 @@ def fingerprint(text: str, words: int = WORDS) -> int:
     n = max(1, len(found) - words + 1)
     digest = xxhash.xxh64_intdigest
     last = ends[min(words, len(found)) - 1 :]
-    hashes = np.fromiter((digest(line[a:b], SEED) for a, b in zip(starts[:n], last)), np.uint64, n)
+    return np.fromiter((digest(line[a:b], SEED) for a, b in zip(starts[:n], last)), np.uint64, n)
+
+
+def fingerprint(text: str, words: int = WORDS) -> int:
+    """Unsigned 64-bit SimHash: a bit is set if it is in over half of the shingles' XXH64."""
+    hashes = shingles(text, words)
+    n = len(hashes)
     votes = np.zeros(BITS, np.int64)
     for k in range(0, n, 1 << 15):
         part = hashes[k : k + (1 << 15)].astype(">u8").view(np.uint8).reshape(-1, 8)

@@ -1,9 +1,9 @@
 """Licence scans by a positional index of rare tokens, in DataFrame functions only.
 
-Templates are short licence notices with mandatory key phrases. A file's licence words with the
-highest inverse document frequency look up the templates' postings; a posting and a word's place
-in the file give an alignment of the template, so words at one relative position meet in one
-row. An alignment counts if the key phrase stands whole at its place. Base phrases are found in
+Templates are short licence notices with mandatory key phrases. Each template is indexed by the
+word of its key phrase with the highest inverse document frequency; a posting and a word's place
+in the file give an alignment of the template, so every place where a key phrase stands is
+looked at. An alignment counts if the key phrase stands whole at its place. Base phrases are found in
 the same pass over the words.
 """
 
@@ -18,7 +18,7 @@ from facejobs.llm import common
 from facejobs.llm.quality_rules import LOWER, UPPER
 
 SEPARATOR = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-#: Licence words of a file that are looked up, rarest first.
+#: Licence words of a file that the SQL form looks up, rarest first; :func:`scan` has no such limit.
 RAREST = 8
 #: A notice of this many words in place, or more, can score 1.
 FULL = 8
@@ -130,25 +130,21 @@ def scan(docs: DataFrame, index: Index | None = None, text: str = "text", doc_id
     ranks = numbered.join(F.broadcast(frequency), "word", "left").orderBy("df", "word").select("number").collect()
     rank = {r["number"]: k for k, r in enumerate(ranks)}
 
-    def case(values: dict, key: Column) -> Column:
-        return F.element_at(F.create_map(*(F.lit(x) for kv in values.items() for x in kv)), key)
-
     number = lambda h: h.bitwiseAND(1023).cast("int")
-    by_rank = F.array_sort(F.array_distinct(F.transform("hits", lambda h: case(rank, number(h)))))
-    rare = found.where(F.size("hits") > 0).select("row", "hits", F.slice(by_rank, 1, RAREST).alias("rare"))
-    looked_up = rare.select("row", "hits", F.explode(F.filter("hits", lambda h: F.array_contains("rare", case(rank, number(h))))).alias("hit"))
-    postings = F.broadcast(spark.createDataFrame([(index.number[w], n, q) for n, q, w, _ in index.rows], "number int, template int, q int"))
+    anchors = [min((rank[index.number[w]], index.number[w], n, q) for m, q, w, key in index.rows if m == n and key)[1:] for n in range(len(index.templates))]
+    postings = F.broadcast(spark.createDataFrame(anchors, "number int, template int, q int"))
+    anchored = F.filter("hits", lambda h: number(h).isin(*{a[0] for a in anchors}))
     aligned = (
-        looked_up.select("row", "hits", number(F.col("hit")).alias("number"), F.shiftright("hit", 10).alias("place"))
+        found.select("row", "hits", F.explode(anchored).alias("hit"))
+        .select("row", "hits", number(F.col("hit")).alias("number"), F.shiftright("hit", 10).alias("place"))
         .join(postings, "number")
-        .groupBy("row", "template", (F.col("place") - F.col("q")).alias("d"))
-        .agg(F.count("*").alias("votes"))
+        .select("row", "hits", "template", (F.col("place") - F.col("q")).alias("d"))
     )
     notices = F.broadcast(spark.createDataFrame([(n, t.label, index.packed(n), index.packed(n, True)) for n, t in enumerate(index.templates)], "template int, label string, notice array<bigint>, key array<bigint>"))
     moved = lambda x: F.transform(x, lambda p: p + F.shiftleft(F.col("d"), 10))
     around = F.filter("hits", lambda h: F.shiftright(h, 10).between(F.col("d"), F.col("d") + F.size("notice")))
     verified = (
-        aligned.join(rare.select("row", "hits"), "row").join(notices, "template")
+        aligned.join(notices, "template")
         .withColumn("around", around)
         .where(F.size(F.array_except(moved("key"), "around")) == 0)
         .withColumn("n", F.size(F.array_intersect(moved("notice"), "around")))

@@ -88,6 +88,11 @@ def crc_mod(doc_id: str, modulus: int):
     return F.crc32(F.col(doc_id).cast("string").cast("binary")) % F.lit(modulus)
 
 
+def type_of(df: DataFrame, column: str) -> str:
+    """The column's type as a schema string has it."""
+    return df.schema[column].dataType.simpleString()
+
+
 def tokenizer_file(name: str, folder: str | None = None) -> str:
     """Place of a public tokenizer file. ``folder`` is a parameter; by default the installed package's."""
     if folder:

@@ -2,11 +2,13 @@
 
 Documents are tokenised and cut into pieces; only a count per length (at most ``capacity`` rows)
 reaches the driver. There, multiplicative weights solve the covering program whose columns are
-fillings of a sequence: each round prices fillings by a knapsack dynamic program over the current
-prices of lengths, buys for every length the best filling that holds it, and lowers the prices of
-what was bought too much. Fillings are then rounded down to whole numbers, most bought first, and
-what is left goes by best fit, over the histogram too. Pieces find their place by arithmetic: the
-r-th piece of a length lies in a known run of places of that length.
+fillings of a sequence. Each round prices fillings by a knapsack dynamic program over the current
+weights of lengths, which also bounds the number of sequences from below, and buys fillings that
+are worth as much as the best, or nearly: each as often as what is left allows, rounded down.
+Then lengths that fit into no best filling get dearer. A few pieces that no round places go by
+best fit, over the histogram too; after each round that remainder is tried, and the round with
+the fewest sequences stands. Pieces find their place by arithmetic: the r-th piece of a length
+lies in a known run of places of that length.
 """
 
 from __future__ import annotations
@@ -14,6 +16,7 @@ from __future__ import annotations
 import zlib
 from collections import Counter
 from collections.abc import Iterable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -26,59 +29,41 @@ from facejobs.llm.units import units
 
 FILE = "word_bpe_49k.json"
 CAPACITY, END_ID = 4096, 1
-ROUNDS, RATE = 24, 0.5
+ROUNDS, RATE = 14, 0.3
+#: Share of a sequence's worth that a filling may lack in the first rounds (it doubles), and at most.
+SLACK, MOST_SLACK = 0.5, 0.03
 
 Filling = tuple[tuple[int, int], ...]
 
 
-def knapsack(lengths: np.ndarray, prices: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
-    """For each room up to ``capacity``: the best price of a filling, and the last length put in (0: none)."""
-    best, last = np.zeros(capacity + 1), np.zeros(capacity + 1, np.int64)
-    for c in range(int(lengths[0]), capacity + 1):
-        n = np.searchsorted(lengths, c, "right")
-        value = best[c - lengths[:n]] + prices[:n]
-        k = int(np.argmax(value))
-        best[c], last[c] = (value[k], lengths[k]) if value[k] > best[c - 1] else (best[c - 1], 0)
-    return best, last
+def knapsack(lengths: np.ndarray, prices: np.ndarray, capacity: int) -> np.ndarray:
+    """For each room up to ``capacity`` the best price of a filling."""
+    best = np.zeros(capacity + 1)
+    fitting = np.searchsorted(lengths, np.arange(capacity + 1), "right").tolist()
+    for room in range(int(lengths[0]), capacity + 1):
+        n = fitting[room]
+        best[room] = max(best[room - 1], (best[room - lengths[:n]] + prices[:n]).max())
+    return best
 
 
-def _filling(length: int, last: np.ndarray, capacity: int, have: dict[int, int]) -> Filling:
-    """The best filling that holds ``length``, with no more of a length than there are."""
-    found, room = Counter({length: 1}), capacity - length
+def _filling(lengths: np.ndarray, prices: np.ndarray, best: np.ndarray, first: int, left: np.ndarray, least: float) -> dict[int, int] | None:
+    """A filling worth ``least`` or more that holds the ``first`` length and no more of any than
+    are left, as counts by place in ``lengths``; each time the longest piece that can still reach
+    that worth. None if this finds none."""
+    found, room, worth = {first: 1}, len(best) - 1 - int(lengths[first]), prices[first]
     while room > 0:
-        k = int(last[room])
-        if not k:
-            room -= 1
-            continue
-        if found[k] >= have[k]:
+        n = int(np.searchsorted(lengths, room, "right"))
+        usable = left[:n] > 0
+        for k, copies in found.items():
+            if k < n and left[k] <= copies:
+                usable[k] = False
+        reach = np.flatnonzero(usable & (worth + prices[:n] + best[room - lengths[:n]] >= least))
+        if not len(reach):
             break
-        found[k] += 1
-        room -= k
-    return tuple(sorted(found.items(), reverse=True))
-
-
-def buy(histogram: dict[int, int], capacity: int, rounds: int = ROUNDS, rate: float = RATE) -> dict[Filling, float]:
-    """Fractional fillings, by multiplicative weights on the prices of lengths."""
-    lengths = np.array(sorted(histogram), np.int64)
-    need = np.array([histogram[int(k)] for k in lengths], float)
-    prices, bought = lengths / capacity, Counter()
-    at = {int(k): i for i, k in enumerate(lengths)}
-    for _ in range(rounds):
-        _, last = knapsack(lengths, prices, capacity)
-        covered, chosen = np.zeros(len(lengths)), []
-        for k, n in zip(lengths, need):
-            filling = _filling(int(k), last, capacity, histogram)
-            amount = n / dict(filling)[int(k)]
-            chosen.append((filling, amount))
-            for length, copies in filling:
-                covered[at[length]] += amount * copies
-        share = need.sum() / covered.sum()
-        for filling, amount in chosen:
-            bought[filling] += amount * share / rounds
-        ratio = covered * share / need
-        prices = prices * np.exp(-rate * np.clip(ratio - 1, -1, 4))
-        prices = np.clip(prices, 1e-6, None)
-    return dict(bought)
+        k = int(reach[-1])
+        found[k] = found.get(k, 0) + 1
+        room, worth = room - int(lengths[k]), worth + prices[k]
+    return found if worth >= least else None
 
 
 def _best_fit(left: dict[int, int], capacity: int) -> Iterator[tuple[Filling, int]]:
@@ -107,19 +92,48 @@ def _best_fit(left: dict[int, int], capacity: int) -> Iterator[tuple[Filling, in
         yield tuple(sorted(filling.items(), reverse=True)), times
 
 
-def plan(histogram: dict[int, int], capacity: int = CAPACITY, rounds: int = ROUNDS) -> list[tuple[Filling, int]]:
-    """Fillings with how many sequences use each, which together hold every piece exactly once."""
+@dataclass(frozen=True)
+class Plan:
+    #: Fillings with how many sequences use each; together they hold every piece exactly once.
+    fillings: list[tuple[Filling, int]]
+    #: No packing has fewer sequences: the program's dual bound, rounded up.
+    bound: int
+    #: Share of all tokens in fillings that the program bought; the rest went by best fit.
+    bought: float
+
+
+def solve(histogram: dict[int, int], capacity: int = CAPACITY, rounds: int = ROUNDS, rate: float = RATE) -> Plan:
+    """Pack pieces of given lengths, 1 to ``capacity``; never more sequences than by best fit alone."""
     histogram = {k: n for k, n in histogram.items() if n}
     if not histogram:
-        return []
-    left, found = dict(histogram), []
-    for filling, amount in sorted(buy(histogram, capacity, rounds).items(), key=lambda x: (-x[1], x[0])):
-        times = min(round(amount), *(left[k] // n for k, n in filling))
-        if times > 0 and sum(k * n for k, n in filling) >= capacity - 1:
-            for k, n in filling:
-                left[k] -= n * times
-            found.append((filling, times))
-    return found + list(_best_fit({k: n for k, n in left.items() if n}, capacity))
+        return Plan([], 0, 0.0)
+    count = lambda fillings: sum(times for _, times in fillings)
+    lengths = np.array(sorted(histogram), np.int64)
+    need = np.array([histogram[int(k)] for k in lengths], np.int64)
+    total, left, bought = int(lengths @ need), need.copy(), []
+    chosen, share, bound = list(_best_fit(histogram, capacity)), 0.0, total / capacity
+    prices = lengths / capacity
+    for k in range(rounds):
+        worth = knapsack(lengths, prices, capacity)
+        prices, worth = prices / worth[-1], worth / worth[-1]
+        bound = max(bound, float(need @ prices))
+        if not left.any() or (share >= 0.99 and count(chosen) <= np.ceil(bound - 1e-9)):
+            break
+        live = left > 0
+        best = knapsack(lengths[live], prices[live], capacity)
+        least = best[-1] * (1 - min((2**k - 1) * SLACK / capacity, MOST_SLACK)) - 1e-12
+        for first in np.flatnonzero(live)[::-1]:
+            while left[first] > 0 and (found := _filling(lengths, prices, best, int(first), left, least)):
+                times = min(int(left[i]) // copies for i, copies in found.items())
+                for i, copies in found.items():
+                    left[i] -= copies * times
+                bought.append((tuple(sorted(((int(lengths[i]), copies) for i, copies in found.items()), reverse=True)), times))
+        rest = list(_best_fit({int(x): int(n) for x, n in zip(lengths, left) if n}, capacity))
+        if count(bought) + count(rest) <= count(chosen):
+            chosen, share = bought + rest, 1 - int(lengths @ left) / total
+        lacking = 1 - (prices + worth[capacity - lengths])
+        prices = prices * np.exp(rate * lacking / np.maximum(prices, 0.02))
+    return Plan(chosen, int(np.ceil(bound - 1e-9)), share)
 
 
 class Places:
@@ -145,52 +159,58 @@ class Places:
         return self.sequence[k] + within // self.copies[k], self.offset[k] + within % self.copies[k] * length
 
 
-_PIECE = "part int, doc_id long, piece int, start long, length long, ids_crc32 long, local long"
-
-
 def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = END_ID, with_ids: bool = True, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """Pieces of each document's ids and end id, cut only where longer than ``capacity``: part and
-    ``local`` number the pieces of one length; ``ids`` array<int> if asked for. Null text counts
-    as empty: one piece with the end id."""
+    ``local`` number the pieces of one length; ``ids`` array<int> if asked for.
+
+    Null and empty texts are one piece with the end id; repeated rows and ids each have their
+    own pieces; an empty table gives none. ``doc_id`` may be of any type, other columns are left
+    out whatever their names, and a long text is held one at a time.
+    """
+    kinds = {"piece": pa.int32(), "start": pa.int64(), "length": pa.int64(), "ids_crc32": pa.int64(), "local": pa.int64()}
 
     def read(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         u, part, seen = units(path), TaskContext.get().partitionId(), Counter()
         for batch in common.slices(batches, "text", 4 << 20):
-            out, ids = [], []
+            docs, out, ids = [], [], []
             for doc, found in zip(batch.column("doc_id").to_pylist(), u.encode(common.texts(batch.column("text")))):
                 found = np.append(found, np.int32(end_id)).astype("<i4")
                 for k, at in enumerate(range(0, len(found), capacity)):
                     cut = found[at : at + capacity]
-                    out.append((part, doc, k, at, len(cut), zlib.crc32(cut.tobytes()), seen[len(cut)]))
+                    docs.append(doc)
+                    out.append((k, at, len(cut), zlib.crc32(cut.tobytes()), seen[len(cut)]))
                     seen[len(cut)] += 1
                     if with_ids:
                         ids.append(cut)
-            columns = [pa.array(x, t) for x, t in zip(zip(*out), (pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64()))]
-            names = ["part", "doc_id", "piece", "start", "length", "ids_crc32", "local"]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(ids, pa.list_(pa.int32()))] if with_ids else columns, names=[*names, "ids"] if with_ids else names)
+            columns = {"part": pa.array([part] * len(docs), pa.int32()), "doc_id": pa.array(docs, batch.schema.field("doc_id").type)}
+            columns |= {name: pa.array(x, kind) for (name, kind), x in zip(kinds.items(), zip(*out))}
+            if with_ids:
+                columns["ids"] = pa.array(ids, pa.list_(pa.int32()))
+            yield pa.RecordBatch.from_pydict(columns)
 
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    return rows.mapInArrow(read, _PIECE + (", ids array<int>" if with_ids else ""))
+    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+    schema = f"part int, doc_id {common.type_of(rows, 'doc_id')}, piece int, start long, length long, ids_crc32 long, local long"
+    return rows.mapInArrow(read, schema + (", ids array<int>" if with_ids else ""))
 
 
 def place(stored: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """Adds ``sequence_id`` and ``offset`` (long) to a stored table of :func:`pieces`.
 
     No window runs over the pieces of a length: they are numbered within parts, and only counts
-    per part and length are summed.
+    per part and length are summed. The join is by shuffle, as those counts grow with the parts.
     """
     counted = common.stage(stored.groupBy("part", "length").agg(F.count("*").alias("n")), "lengths")
     histogram = {r["length"]: r["n"] for r in counted.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # at most `capacity` rows
     before = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     base = counted.select("part", "length", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
-    places = Places(plan(histogram, capacity))
+    places = Places(solve(histogram, capacity).fillings)
 
     @F.arrow_udf("sequence_id long, offset long")
     def find(length: pa.Array, rank: pa.Array) -> pa.Array:
         sequence, offset = places.find(length.to_numpy(zero_copy_only=False), rank.to_numpy(zero_copy_only=False))
         return common.struct(sequence_id=sequence, offset=offset)
 
-    ranked = stored.join(base, ["part", "length"]).withColumn(common.RESULT, find(F.col("length"), F.col("local") + F.col("base")))
+    ranked = stored.join(base.hint("merge"), ["part", "length"]).withColumn(common.RESULT, find(F.col("length"), F.col("local") + F.col("base")))
     return ranked.select(*(c for c in stored.columns if c not in ("part", "local")), f"{common.RESULT}.*")
 
 

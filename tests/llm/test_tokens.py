@@ -116,16 +116,61 @@ def gapless(rows, capacity):
 def test_plans_hold_every_piece_once(low, high):
     lengths = np.random.default_rng(low).integers(low, high, 3000)
     histogram = Counter(lengths.tolist())
-    fillings = packing.plan(dict(histogram))
+    plan = packing.solve(dict(histogram))
     held = Counter()
-    for filling, times in fillings:
+    for filling, times in plan.fillings:
         for length, n in filling:
             held[length] += n * times
     assert held == histogram
     ranks = np.concatenate([np.arange(histogram[k]) for k in sorted(histogram)])
-    sequence, offset = packing.Places(fillings).find(np.sort(lengths), ranks)
+    sequence, offset = packing.Places(plan.fillings).find(np.sort(lengths), ranks)
     n = gapless(zip(sequence, offset, np.sort(lengths)), packing.CAPACITY)
-    assert n <= sum(t for _, t in packing._best_fit(dict(histogram), packing.CAPACITY))
+    assert plan.bound <= n <= sum(t for _, t in packing._best_fit(dict(histogram), packing.CAPACITY))
+
+
+def fewest(pieces, capacity):
+    """The fewest sequences, by trying every open sequence for every piece."""
+    pieces = sorted(pieces, reverse=True)
+    best = len(pieces)
+
+    def put(k, rooms):
+        nonlocal best
+        if len(rooms) >= best:
+            return
+        if k == len(pieces):
+            best = len(rooms)
+            return
+        for i, room in enumerate(rooms):
+            if room >= pieces[k] and room not in rooms[:i]:
+                put(k + 1, [*rooms[:i], room - pieces[k], *rooms[i + 1 :]])
+        put(k + 1, [*rooms, capacity - pieces[k]])
+
+    put(0, [])
+    return best
+
+
+def test_plans_against_the_optimum():
+    rng = random.Random(4)
+    more, program = 0, 0
+    for _ in range(150):
+        capacity = rng.choice([10, 17, 30])
+        pieces = [rng.randint(1, capacity) for _ in range(rng.randint(1, 11))]
+        plan, best = packing.solve(Counter(pieces), capacity), fewest(pieces, capacity)
+        n = sum(times for _, times in plan.fillings)
+        assert plan.bound <= best <= n <= best + 1
+        more += n > best
+        program += plan.bought > 0
+    assert more <= 3 and program >= 100
+
+
+def test_the_program_places_nine_tenths():
+    rng = np.random.default_rng(2)
+    lengths = np.minimum(packing.CAPACITY, np.ceil(rng.lognormal(6, 1.2, 8000))).astype(int).tolist()
+    for times in (1, 50):
+        histogram = {k: n * times for k, n in Counter(lengths).items()}
+        plan = packing.solve(histogram)
+        n = sum(t for _, t in plan.fillings)
+        assert plan.bought >= 0.9 and n <= sum(t for _, t in packing._best_fit(histogram, packing.CAPACITY)) and n <= plan.bound + 1
 
 
 def test_packing(spark, hard):

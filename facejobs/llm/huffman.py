@@ -21,9 +21,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from facejobs.llm import common
-from facejobs.llm.units import ranked, units
+from facejobs.llm.units import units
 
-FILE, RANKS = "byte_bpe_50k.json", "byte_bpe_50k.tiktoken"
+FILE = "byte_bpe_50k.json"
 END_ID = 2
 #: Longest code in bits, where the number of symbols allows it.
 LONGEST = 16
@@ -72,7 +72,7 @@ class Codes:
         self.table[: int(spans.sum())] = np.repeat(entry, spans)
 
     def encode(self, ids: np.ndarray) -> tuple[bytes, bytes]:
-        """Bits of the ids, and the bit offsets of every STRIDE-th as 32-bit numbers."""
+        """Bits of the ids, and the bit offsets of every STRIDE-th as 64-bit numbers."""
         if not len(ids):
             return b"", b""
         bits = self.bits[ids]
@@ -86,7 +86,7 @@ class Codes:
         words[word[starts]] = np.bitwise_or.reduceat(head, starts)
         over = np.flatnonzero(room < 0)
         words[word[over] + 1] |= code[over] << (64 + room[over]).astype(np.uint64)
-        return words.astype(">u8").tobytes()[: int(ends[-1] + 7 >> 3)], at[::STRIDE].astype("<u4").tobytes()
+        return words.astype(">u8").tobytes()[: int(ends[-1] + 7 >> 3)], at[::STRIDE].astype("<u8").tobytes()
 
     def decode(self, bits: bytes, checkpoints: bytes, n: int) -> np.ndarray:
         """The n ids, all stretches between checkpoints step by step side by side."""
@@ -94,7 +94,7 @@ class Codes:
             return np.zeros(0, np.int32)
         raw = np.frombuffer(bits + bytes(8), np.uint8).astype(np.uint32)
         four = raw[:-3] << 24 | raw[1:-2] << 16 | raw[2:-1] << 8 | raw[3:]
-        at = np.frombuffer(checkpoints, "<u4").astype(np.int64)
+        at = np.frombuffer(checkpoints, "<u8").astype(np.int64)
         last, shift = len(bits) * 8, np.uint32(32 - self.longest)
         out = np.empty((len(at), STRIDE), np.int32)
         for k in range(STRIDE):
@@ -108,46 +108,62 @@ def _batch(columns: dict, kinds: dict) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(columns[k], t) for k, t in kinds.items()], names=list(kinds))
 
 
-_RAW = {"part": pa.int32(), "seq": pa.int64(), "before": pa.int64(), "doc_ids": pa.list_(pa.int64()), "lengths": pa.list_(pa.int64()), "ids": pa.binary()}
-_FILES = {"start": pa.int64(), "doc_ids": pa.list_(pa.int64()), "lengths": pa.list_(pa.int64()), "n": pa.int64(), "checkpoints": pa.binary(), "bits": pa.binary()}
+def _raw(doc: pa.DataType) -> dict:
+    return {"part": pa.int32(), "seq": pa.int64(), "before": pa.int64(), "doc_ids": pa.list_(doc), "lengths": pa.list_(pa.int64()), "ids": pa.binary()}
 
 
-def token_blocks(docs: DataFrame, path: str, ranks: str | None = None, end_id: int = END_ID, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """Blocks of ids in ascending order of doc_id (null first; repeated ids by their text): part
-    and seq order the blocks, ``before`` counts the part's ids before the block."""
+def _files(doc: pa.DataType) -> dict:
+    return {"start": pa.int64(), "doc_ids": pa.list_(doc), "lengths": pa.list_(pa.int64()), "n": pa.int64(), "checkpoints": pa.binary(), "bits": pa.binary()}
+
+
+def _stored(doc: str) -> str:
+    return f"start long, doc_ids array<{doc}>, lengths array<long>, n long, checkpoints binary, bits binary"
+
+
+def token_blocks(docs: DataFrame, path: str, end_id: int = END_ID, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+    """Blocks of ids in ascending order of doc_id (of any type that orders; null first; repeated
+    ids by a hash of their text): part and seq order the blocks, ``before`` counts the part's ids
+    before the block. Ranges are cut by id, hash and row, so no id is one unsplit key."""
 
     def read(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        u, part, seq, before, held = ranked(path, ranks) if ranks else units(path), TaskContext.get().partitionId(), 0, 0, 0
+        u, part, seq, before, held = units(path), TaskContext.get().partitionId(), 0, 0, 0
         kind = "<u2" if max(u.size, end_id + 1) <= 1 << 16 else "<u4"
         docs, lengths, ids = [], [], []
 
-        def close() -> pa.RecordBatch:
+        def close(doc: pa.DataType) -> pa.RecordBatch:
             row = {"part": part, "seq": seq, "before": before, "doc_ids": docs, "lengths": lengths, "ids": np.concatenate(ids).astype(kind).tobytes()}
-            return _batch({k: [v] for k, v in row.items()}, _RAW)
+            return _batch({k: [v] for k, v in row.items()}, _raw(doc))
 
         for batch in common.slices(batches, "text", 4 << 20):
+            doc_type = batch.schema.field("doc_id").type
             for doc, found in zip(batch.column("doc_id").to_pylist(), u.encode(common.texts(batch.column("text")))):
                 docs.append(doc)
                 ids.append(np.append(found, np.int32(end_id)))
                 lengths.append(len(found) + 1)
                 held += len(found) + 1
                 if held >= BLOCK_IDS:
-                    yield close()
+                    yield close(doc_type)
                     seq, before, held = seq + 1, before + held, 0
                     docs, lengths, ids = [], [], []
         if docs:
-            yield close()
+            yield close(doc_type)
+
+    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.xxhash64(text).alias("h"), F.monotonically_increasing_id().alias("row"))
+    order = ("doc_id", "h", "row")
+    ranged = rows.repartitionByRange(*order).sortWithinPartitions(*order).select("doc_id", "text")
+    return ranged.mapInArrow(read, f"part int, seq long, before long, doc_ids array<{common.type_of(rows, 'doc_id')}>, lengths array<long>, ids binary")
 
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    ranged = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    return ranged.mapInArrow(read, "part int, seq long, before long, doc_ids array<long>, lengths array<long>, ids binary")
 
+def write(docs: DataFrame, path: str, folder: str, end_id: int = END_ID, text: str = "text", doc_id: str = "doc_id") -> None:
+    """Encode ``docs`` into ``folder``. What reaches the driver is bounded: a count per id of the
+    vocabulary, and the number of ids per part.
 
-def write(docs: DataFrame, path: str, folder: str, ranks: str | None = None, end_id: int = END_ID, text: str = "text", doc_id: str = "doc_id") -> None:
-    """Encode ``docs`` into ``folder``, with the rank file of the same vocabulary if given. What reaches the driver is bounded: a count per id of the
-    vocabulary, and the number of ids per part."""
+    Null and empty texts hold the end id alone, repeated rows are stored as often as they occur,
+    an empty table gives files without rows, a text of any length is one entry of one block, and
+    other columns are left out whatever their names.
+    """
     spark = docs.sparkSession
-    raw = common.stage(token_blocks(docs, path, ranks, end_id, text, doc_id), "ids")
+    raw = common.stage(token_blocks(docs, path, end_id, text, doc_id), "ids")
     u = units(path)
     kind = "<u2" if max(u.size, end_id + 1) <= 1 << 16 else "<u4"
 
@@ -169,6 +185,8 @@ def write(docs: DataFrame, path: str, folder: str, ranks: str | None = None, end
     for r in parts:
         offset[r["part"]], at = at, at + r["n"]
 
+    doc = raw.schema["doc_ids"].dataType.elementType.simpleString()
+
     def encode(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codes = Codes(symbols, lengths)
         for batch in batches:
@@ -176,9 +194,10 @@ def write(docs: DataFrame, path: str, folder: str, ranks: str | None = None, end
                 ids = np.frombuffer(batch.column("ids")[r].as_buffer(), kind)
                 bits, checkpoints = codes.encode(ids.astype(np.int64))
                 row = {"start": offset[batch.column("part")[r].as_py()] + batch.column("before")[r].as_py(), "n": len(ids), "checkpoints": checkpoints, "bits": bits}
-                yield _batch({k: [row[k]] if k in row else [batch.column(k)[r].as_py()] for k in _FILES}, _FILES)
+                files = _files(batch.schema.field("doc_ids").type.value_type)
+                yield _batch({k: [row[k]] if k in row else [batch.column(k)[r].as_py()] for k in files}, files)
 
-    raw.mapInArrow(encode, "start long, doc_ids array<long>, lengths array<long>, n long, checkpoints binary, bits binary").write.option("compression", "none").parquet(f"{folder}/blocks")
+    raw.mapInArrow(encode, _stored(doc)).write.option("compression", "none").parquet(f"{folder}/blocks")
 
 
 def read(spark: SparkSession, folder: str) -> DataFrame:
@@ -202,8 +221,9 @@ def _read(spark: SparkSession, folder: str, made, column: str) -> DataFrame:
                 parts = np.split(ids, starts[1:])
                 yield pa.RecordBatch.from_arrays([cell("doc_ids").values, pa.array(cell("start").as_py() + starts), pa.array(sizes), made(parts)], names=["doc_id", "start", "n_tokens", column.split()[0]])
 
-    blocks = spark.read.schema("start long, doc_ids array<long>, lengths array<long>, n long, checkpoints binary, bits binary").parquet(f"{folder}/blocks")
-    return blocks.mapInArrow(decode, f"doc_id long, start long, n_tokens long, {column}")
+    blocks = spark.read.parquet(f"{folder}/blocks")
+    doc = blocks.schema["doc_ids"].dataType.elementType.simpleString()
+    return blocks.mapInArrow(decode, f"doc_id {doc}, start long, n_tokens long, {column}")
 
 
 def digests(spark: SparkSession, folder: str) -> DataFrame:
@@ -216,5 +236,5 @@ def query(spark, sf_dir: str) -> DataFrame:
     """op8: write every document's ids in the file format, read the files back, digest them."""
     common.small_batches(spark)
     folder = common.new_path(spark, "token-files")
-    write(common.documents(spark, sf_dir), common.tokenizer_file(FILE), folder, common.tokenizer_file(RANKS))
+    write(common.documents(spark, sf_dir), common.tokenizer_file(FILE), folder)
     return digests(spark, folder)

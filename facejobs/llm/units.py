@@ -2,7 +2,8 @@
 
 A unit is finer than a text and at least a pre-token: a word with the space before it, its
 punctuation, or a run of white space, as the tokenizer's own rules cut there first. Ids of a
-text are then the ids of its units in order, each encoded by the library once per worker.
+text are then the ids of its units in order, each encoded by the library once per worker. Of
+each call one whole text is encoded by the library too, and a difference stops the job.
 """
 
 from __future__ import annotations
@@ -11,6 +12,7 @@ import re
 from functools import lru_cache
 
 import numpy as np
+import regex
 
 from facejobs.llm import common
 
@@ -19,12 +21,20 @@ WHITE = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u300
 #: Units of byte-level vocabularies keep white space; those of word vocabularies drop it.
 BYTE_LEVEL = re.compile(f" ?[^{WHITE}]+|[{WHITE}]+(?![^{WHITE}])|[{WHITE}]+")
 WORD_LEVEL = re.compile(f"[^{WHITE}]+")
-#: Fixed value: the pattern that byte-level vocabularies cut by.
-PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: Fixed value: the pattern that byte-level vocabularies cut by; a unit holds whole matches of it.
+PATTERN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
 #: Units whose ids a worker keeps, at about 250 bytes each.
 CACHE = 1_000_000
-#: Stands between units that are encoded together.
-SPLIT = "\x00"
+#: Stands between units that are encoded together: of word vocabularies, and of byte-level ones.
+SPLIT, LINE = "\x00", "\n"
+#: Units that one call encodes together: few enough for the library's own cache to stay near.
+JOINED = 32
+#: Longest text, in characters, that is encoded whole as a check.
+CHECKED = 20_000
+
+
+class MismatchError(RuntimeError):
+    """Ids differ from the library's."""
 
 
 class Units:
@@ -52,12 +62,12 @@ class Units:
         self.marks = special
         self.size = self.library.get_vocab_size()
         self.known: dict[str, bytes] = {}
-        #: Without its normalizer, for units that Python has lowered; see :meth:`_lowered`.
-        self.plain = None
+        #: Encodes joined units: of word vocabularies without the normalizer, for what Python has lowered; see :meth:`_lowered`.
+        self.plain, self.split = self.library, LINE
         if self.pattern is WORD_LEVEL:
-            self.plain = Tokenizer.from_file(path)
+            self.plain, self.split = Tokenizer.from_file(path), f" {SPLIT} "
             self.plain.normalizer = normalizers.Sequence([])
-            self.split_id = self.plain.encode(SPLIT, add_special_tokens=False).ids
+        self.split_id = self.plain.encode(self.split, add_special_tokens=False).ids
 
     def cut(self, text: str) -> list[str]:
         """Units of a text; strings of added tokens are units of their own."""
@@ -71,7 +81,7 @@ class Units:
     def _lowered(self, text: str) -> str:
         """The text in lower case where that is all the normalizer of a word vocabulary does: up to
         U+00FF no characters compose, and each has one lower-case form. Other texts stay."""
-        if self.plain is None:
+        if self.pattern is BYTE_LEVEL:
             return text
         try:
             text.encode("latin-1")
@@ -80,7 +90,11 @@ class Units:
         low = text.lower()
         return text if any(m in low for m in self.marks) else low
 
-    def _is_lowered(self, unit: str) -> bool:
+    def _joins(self, unit: str) -> bool:
+        """Whether units of this kind can be encoded in one text: of byte-level vocabularies no
+        run of white space, of word vocabularies lowered, and no added token's string."""
+        if self.pattern is BYTE_LEVEL:
+            return not unit.isspace() and unit not in self.marks
         try:
             unit.encode("latin-1")
         except UnicodeEncodeError:
@@ -88,29 +102,25 @@ class Units:
         return unit == unit.lower() and SPLIT not in unit and not any(m in unit for m in self.marks)
 
     def _learn(self, new: list[str]) -> None:
-        """Ids of units not met before. Lowered ones go to the library joined by a character that
-        is a piece of its own, so that one call gives the ids of thousands."""
-        rest = new
-        if self.plain is not None and len(self.split_id) == 1:
-            simple = [u for u in new if self._is_lowered(u)]
-            rest = []
-            for at in range(0, len(simple), 5_000):
-                part = simple[at : at + 5_000]
-                ids = np.array(self.encode_plain(f" {SPLIT} ".join(part)), np.int32)
-                cuts = np.flatnonzero(ids == self.split_id[0])
-                if len(cuts) != len(part) - 1:
-                    rest += part
-                    continue
-                raw, ends = ids.tobytes(), [*(4 * cuts).tolist(), 4 * len(ids)]
-                self.known.update(zip(part, (raw[a:b] for a, b in zip([0, *(x + 4 for x in ends)], ends))))
-            rest += set(new).difference(simple)
-        for at in range(0, len(rest), 20_000):
-            part = rest[at : at + 20_000]
-            for u, ids in zip(part, self.encode_units(part)):
-                self.known[u] = np.array(ids, np.int32).tobytes()
-
-    def encode_plain(self, text: str) -> list[int]:
-        return self.plain.encode_batch_fast([text], add_special_tokens=False)[0].ids
+        """Ids of units not met before. Most go to the library joined by a text that is a
+        pre-token and an id of its own."""
+        fast, simple, rest = self.plain.encode_batch_fast, [], []
+        for u in new:
+            (simple if len(self.split_id) == 1 and self._joins(u) else rest).append(u)
+        for at in range(0, len(simple), 5_000):
+            part, ids = simple[at : at + 5_000], []
+            for k in range(0, len(part), JOINED):
+                ids += fast([self.split.join(part[k : k + JOINED])], add_special_tokens=False)[0].ids
+                ids += self.split_id
+            found = np.array(ids, np.int32)
+            ends = np.flatnonzero(found == self.split_id[0])
+            if len(ends) != len(part):
+                rest += part
+                continue
+            raw, ends = found.tobytes(), (4 * ends).tolist()
+            self.known.update(zip(part, (raw[a:b] for a, b in zip([0, *(x + 4 for x in ends)], ends))))
+        for u, ids in zip(rest, self.encode_units(rest)):
+            self.known[u] = np.array(ids, np.int32).tobytes()
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of each text, as the library's encode with add_special_tokens=False gives them."""
@@ -118,51 +128,14 @@ class Units:
         common.trim(self.known, CACHE)
         self._learn(list(set().union(*cut).difference(self.known)))
         get = self.known.__getitem__
-        return [np.frombuffer(b"".join(map(get, c)), np.int32) for c in cut]
+        out = [np.frombuffer(b"".join(map(get, c)), np.int32) for c in cut]
+        # the longest of moderate length, so that a check costs little in a batch of many texts
+        k = max((k for k, t in enumerate(texts) if len(t) <= CHECKED), key=lambda k: len(texts[k]), default=None)
+        if k is not None and out[k].tolist() != self.encode_units([texts[k]])[0]:
+            raise MismatchError(f"ids of {texts[k]!r}")
+        return out
 
 
 @lru_cache(maxsize=2)
 def units(path: str) -> Units:
     return Units(path)
-
-
-class Ranked:
-    """Ids of a byte-level vocabulary by its rank file, several times faster than unit by unit.
-
-    The rank file holds the same vocabulary and merges as the tokenizers file, and the cut is the
-    same pattern, so ids are equal; of each batch the shortest text that is not empty is encoded
-    with the tokenizers library too, and a difference stops the job. Texts that hold an added
-    token's string, and any that the ranks' cut cannot handle, go by the tokenizers library.
-    """
-
-    def __init__(self, path: str, ranks: str) -> None:
-        import base64
-
-        import tiktoken
-
-        self.units = units(path)
-        self.size = self.units.size
-        with open(ranks, "rb") as f:
-            table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        self.encoding = tiktoken.Encoding("ranks", pat_str=PATTERN, mergeable_ranks=table, special_tokens={})
-
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        """Ids of each text, as the tokenizers library's encode with add_special_tokens=False gives them."""
-        out = []
-        for t in texts:
-            try:
-                ids = None if any(m in t for m in self.units.marks) else self.encoding.encode_ordinary(t)
-            except (ValueError, RuntimeError):  # the pattern's engine gave up
-                ids = None
-            out.append(self.units.encode([t])[0] if ids is None else np.array(ids, np.int32))
-        check = min((k for k, t in enumerate(texts) if t), key=lambda k: len(texts[k]), default=None)
-        if check is not None:
-            theirs = self.units.library.encode(texts[check], add_special_tokens=False).ids
-            if out[check].tolist() != theirs:
-                raise RuntimeError(f"ids of {texts[check]!r} differ from the tokenizers library's")
-        return out
-
-
-@lru_cache(maxsize=2)
-def ranked(path: str, ranks: str) -> Ranked:
-    return Ranked(path, ranks)

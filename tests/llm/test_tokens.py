@@ -32,11 +32,11 @@ def test_units_give_the_librarys_ids(name):
     assert [x.tolist() for x in got] == [tk.encode(t, add_special_tokens=False).ids for t in texts]
 
 
-def test_ranks_give_the_librarys_ids():
-    texts = cases()
-    r = units.Ranked(common.tokenizer_file("byte_bpe_50k.json"), common.tokenizer_file("byte_bpe_50k.tiktoken"))
-    tk = library("byte_bpe_50k.json")
-    assert [x.tolist() for x in r.encode(texts)] == [tk.encode(t, add_special_tokens=False).ids for t in texts]
+def test_a_wrong_cut_stops_the_job():
+    u = units.Units(common.tokenizer_file("byte_bpe_50k.json"))
+    u.cut = lambda text: list(text)
+    with pytest.raises(units.MismatchError):
+        u.encode(["several letters"])
 
 
 def test_sentencepiece_equals_the_library(spark, hard):
@@ -86,7 +86,7 @@ def test_token_files_round_trip(spark, hard, monkeypatch):
     monkeypatch.setattr(huffman, "BLOCK_IDS", 50)
     tk, path = library(huffman.FILE), common.tokenizer_file(huffman.FILE)
     folder = common.new_path(spark, "files")
-    huffman.write(hard, path, folder, common.tokenizer_file(huffman.RANKS))
+    huffman.write(hard, path, folder)
     rows = sorted(huffman.read(spark, folder).collect(), key=lambda r: r.start)
     assert [-1 if r.doc_id is None else r.doc_id for r in rows] == sorted(-1 if r.doc_id is None else r.doc_id for r in hard.collect())
     assert Counter(tuple(r.ids) for r in rows) == Counter((*tk.encode(r.text or "", add_special_tokens=False).ids, 2) for r in hard.collect())

@@ -4,7 +4,8 @@ Documents are read in blocks. A block keeps, per document, the frequencies of it
 (as numbers into the block's own list) and asks for the piece counts of that list. Questions go
 to buckets by a hash of the pre-token; a bucket counts each distinct pre-token once and answers
 every block. Back at the block, the answers make a table, and a document's tokens are the sum
-of frequency times table entry. A block asks for a pre-token once, however often it has it, so
+of frequency times table entry. A task takes its buckets one after the other, so it holds the
+pre-tokens of one; there are more buckets where the session has more shuffle partitions. A block asks for a pre-token once, however often it has it, so
 frequent words are no hot keys, and what is shuffled grows with distinct words, not with tokens.
 """
 
@@ -18,16 +19,17 @@ import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from facejobs.llm import common
-from facejobs.llm.units import units
+from facejobs.llm.units import Units, units
 
 FILE = "byte_bpe_50k.json"
 LIMIT = 1024
-BLOCK_BYTES, BUCKETS = 16 << 20, 256
-_BLOCK = "block long, doc_ids array<long>, n_bytes array<long>, sizes array<int>, codes binary, counts binary, questions array<array<string>>"
+BLOCK_BYTES = 16 << 20
+#: Buckets for each shuffle partition of the session, and at least.
+BUCKETS, LEAST_BUCKETS = 4, 256
 
 
 def _squeeze(x: np.ndarray) -> bytes:
@@ -40,35 +42,53 @@ def _unsqueeze(data: bytes) -> np.ndarray:
     return np.ascontiguousarray(planes.reshape(4, -1).T).view("<u4").ravel().astype(np.int64)
 
 
+def n_buckets(spark: SparkSession) -> int:
+    return max(LEAST_BUCKETS, BUCKETS * int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
+def _pre_tokens(u: Units, cut: list[str]) -> tuple[dict[str, int], np.ndarray, np.ndarray]:
+    """Numbers of the distinct pre-tokens, those of each unit in a row, and where each unit's begin."""
+    number, flat, starts = {}, [], [0]
+    for unit in cut:
+        flat += [number.setdefault(x, len(number)) for x in u.pre_tokens(unit)]
+        starts.append(len(flat))
+    return number, np.array(flat, np.int64), np.array(starts, np.int64)
+
+
 def blocks(docs: DataFrame, path: str, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """One row per block of about BLOCK_BYTES of text: each document's distinct pre-tokens as
     rising numbers into the block's list, their counts, and that list by bucket."""
-    kinds = {"block": pa.int64(), "doc_ids": pa.list_(pa.int64()), "n_bytes": pa.list_(pa.int64()), "sizes": pa.list_(pa.int32()), "codes": pa.binary(), "counts": pa.binary(), "questions": pa.list_(pa.list_(pa.string()))}
-
-    def close(number: int, ids: list, n_bytes: list, bags: list[tuple], local: dict[str, int]) -> pa.RecordBatch:
-        asked: list[list[str]] = [[] for _ in range(BUCKETS)]
-        for u in local:
-            asked[zlib.crc32(u.encode()) % BUCKETS].append(u)
-        place = np.empty(len(local), np.int64)
-        at = 0
-        for part in asked:
-            for u in part:
-                place[local[u]] = at
-                at += 1
-        codes, counts = [], []
-        for code, count in bags:
-            code = place[code]
-            order = np.argsort(code)
-            codes.append(np.diff(code[order], prepend=0))
-            counts.append(count[order])
-        join = lambda x: np.concatenate(x) if x else np.zeros(0, np.int64)
-        row = {"block": number, "doc_ids": ids, "n_bytes": n_bytes, "sizes": [len(c) for c in codes], "codes": _squeeze(join(codes)), "counts": _squeeze(join(counts)), "questions": asked}
-        return pa.RecordBatch.from_arrays([pa.array([row[k]], t) for k, t in kinds.items()], names=list(kinds))
+    kinds = {"n_bytes": pa.list_(pa.int64()), "sizes": pa.list_(pa.int32()), "codes": pa.binary(), "counts": pa.binary(), "questions": pa.list_(pa.list_(pa.string()))}
+    buckets = n_buckets(docs.sparkSession)
+
+    def close(number: int, ids: pa.Array, n_bytes: list, bags: list[tuple], local: dict[str, int], u: Units) -> pa.RecordBatch:
+        own, flat, starts = _pre_tokens(u, list(local))
+        asked: list[list[str]] = [[] for _ in range(buckets)]
+        for x in own:
+            asked[zlib.crc32(x.encode()) % buckets].append(x)
+        place = np.empty(len(own), np.int64)
+        place[[own[x] for part in asked for x in part]] = np.arange(len(own))
+        # (document, unit, count) of the block, then (document, pre-token, count), added up
+        document = np.repeat(np.arange(len(bags)), [len(code) for code, _ in bags])
+        unit, count = (np.concatenate([bag[k] for bag in bags]).astype(np.int64) for k in (0, 1))
+        width = starts[unit + 1] - starts[unit]
+        upto = np.cumsum(width)
+        code = place[flat[np.repeat(starts[unit] - upto + width, width) + np.arange(width.sum())]]
+        key, where = np.unique(np.repeat(document, width) << 40 | code, return_inverse=True)
+        total = np.bincount(where, np.repeat(count, width), len(key)).astype(np.int64)
+        document, code = key >> 40, key & ((1 << 40) - 1)
+        step = np.diff(code, prepend=0)
+        first = np.flatnonzero(np.diff(document, prepend=-1))
+        step[first] = code[first]
+        row = {"n_bytes": n_bytes, "sizes": np.bincount(document, minlength=len(bags)).tolist(), "codes": _squeeze(step), "counts": _squeeze(total), "questions": asked}
+        columns = {"block": pa.array([number], pa.int64()), "doc_ids": pa.array([ids.to_pylist()], pa.list_(ids.type))}
+        return pa.RecordBatch.from_pydict(columns | {k: pa.array([row[k]], t) for k, t in kinds.items()})
 
     def read(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         u, number, held = units(path), TaskContext.get().partitionId() << 32, 0
-        ids, n_bytes, bags, local = [], [], [], {}
+        ids, n_bytes, bags, local, kind = [], [], [], {}, None
         for batch in batches:
+            kind = batch.column(0).type
             for doc, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 bag = Counter(u.cut(t or ""))
                 code = np.fromiter((local.setdefault(x, len(local)) for x in bag), np.int64, len(bag))
@@ -77,13 +97,14 @@ def blocks(docs: DataFrame, path: str, text: str = "text", doc_id: str = "doc_id
                 bags.append((code, np.fromiter(bag.values(), np.int64, len(bag))))
                 held += n_bytes[-1]
                 if held >= BLOCK_BYTES:
-                    yield close(number, ids, n_bytes, bags, local)
+                    yield close(number, pa.array(ids, kind), n_bytes, bags, local, u)
                     number, held = number + 1, 0
                     ids, n_bytes, bags, local = [], [], [], {}
         if ids:
-            yield close(number, ids, n_bytes, bags, local)
+            yield close(number, pa.array(ids, kind), n_bytes, bags, local, u)
 
-    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(read, _BLOCK)
+    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+    return rows.mapInArrow(read, f"block long, doc_ids array<{common.type_of(rows, 'doc_id')}>, n_bytes array<long>, sizes array<int>, codes binary, counts binary, questions array<array<string>>")
 
 
 def answers(stored: DataFrame, path: str) -> DataFrame:
@@ -91,24 +112,26 @@ def answers(stored: DataFrame, path: str) -> DataFrame:
     questions of a bucket meet in one task, which counts each distinct pre-token once."""
 
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        u, known = units(path), {}
+        u, known, now = units(path), {}, None
         for batch in batches:
             rows = []
-            for asked in batch.column("asked").to_pylist():
-                common.trim(known, 1_000_000)
+            for bucket, asked in zip(batch.column("bucket").to_pylist(), batch.column("asked").to_pylist()):
+                if bucket != now:
+                    known, now = {}, bucket
                 new = [x for x in asked if x not in known]
-                known.update(zip(new, map(len, u.encode_units(new))))
+                known.update(zip(new, u.count(new)))
                 rows.append([known[x] for x in asked])
             yield pa.RecordBatch.from_arrays([batch.column("block"), batch.column("bucket"), pa.array(rows, pa.list_(pa.int32()))], names=["block", "bucket", "pieces"])
 
-    asked = stored.select("block", F.posexplode("questions").alias("bucket", "asked"))
-    return asked.repartition("bucket").mapInArrow(count, "block long, bucket int, pieces array<int>")
+    asked = stored.select("block", F.posexplode("questions").alias("bucket", "asked")).where(F.size("asked") > 0)
+    return asked.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(count, "block long, bucket int, pieces array<int>")
 
 
 def counts(docs: DataFrame, path: str, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """(doc_id, n_bytes, n_tokens), all long, for each row of ``docs``.
+    """(doc_id, n_bytes, n_tokens) for each row of ``docs``; doc_id of any type, the others long.
 
-    Null text counts as empty: 0 and 0. Repeated rows stay; an empty table gives no rows.
+    Null text counts as empty: 0 and 0. Repeated rows stay; an empty table gives no rows; other
+    columns are left out whatever their names; a text longer than a block is a block of its own.
     """
     stored = common.stage(blocks(docs, path, text, doc_id), "token-blocks")
     table = answers(stored, path).groupBy("block").agg(F.array_sort(F.collect_list(F.struct("bucket", "pieces"))).alias("answers"))
@@ -127,7 +150,8 @@ def counts(docs: DataFrame, path: str, text: str = "text", doc_id: str = "doc_id
             rows.append(each[starts[1:]] - each[starts[:-1]])
         return pa.array(rows, pa.list_(pa.int64()))
 
-    joined = stored.select("block", "doc_ids", "n_bytes", "sizes", "codes", "counts").join(table, "block")
+    # left: a block of empty texts alone has asked nothing
+    joined = stored.select("block", "doc_ids", "n_bytes", "sizes", "codes", "counts").join(table, "block", "left")
     summed = joined.select(F.arrays_zip("doc_ids", "n_bytes", sums("sizes", "codes", "counts", "pieces").alias("n_tokens")).alias("rows"))
     return summed.select(F.explode("rows").alias("row")).select(F.col("row.doc_ids").alias("doc_id"), "row.n_bytes", "row.n_tokens")
 

@@ -75,6 +75,10 @@ class Units:
             return [u for k, part in enumerate(self.special.split(text)) for u in ([part] if k % 2 else self.pattern.findall(part))]
         return self.pattern.findall(text)
 
+    def pre_tokens(self, unit: str) -> list[str]:
+        """The unit cut as the tokenizer does before it merges; a word vocabulary's unit stays whole."""
+        return [unit] if self.pattern is WORD_LEVEL or unit in self.marks else PATTERN.findall(unit)
+
     def encode_units(self, units: list[str]) -> list[list[int]]:
         return [e.ids for e in self.library.encode_batch_fast(units, add_special_tokens=False)]
 
@@ -122,6 +126,13 @@ class Units:
         for u, ids in zip(rest, self.encode_units(rest)):
             self.known[u] = np.array(ids, np.int32).tobytes()
 
+    def count(self, units: list[str]) -> list[int]:
+        """How many ids each of these distinct units has; they are not kept."""
+        held, self.known = self.known, {}
+        self._learn(units)
+        found, self.known = self.known, held
+        return [len(found[x]) // 4 for x in units]
+
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of each text, as the library's encode with add_special_tokens=False gives them."""
         cut = [self.cut(self._lowered(t)) for t in texts]

@@ -144,7 +144,9 @@ def _metadata(columns: list) -> list[list[float]]:
 
 def score(docs: DataFrame, model: Model | None, text: str = "text", metadata: tuple[str, ...] = ("n_chars",), out: str = common.RESULT) -> DataFrame:
     """Adds double ``out``, 0 to 1. Null text counts as empty and null metadata as 0; an empty text
-    scores by its zero structure. Without a model (no labels of one kind) every score is 0."""
+    scores by its zero structure. Without a model (no labels of one kind) every score is 0. Equal
+    rows score alike, repeated ones stay, an empty table stays empty, and a text of any length is
+    one sparse vector. Other columns pass unchanged, unless one is called ``out``."""
     if model is None:
         return docs.withColumn(out, F.lit(0.0))
 
@@ -158,9 +160,9 @@ def score(docs: DataFrame, model: Model | None, text: str = "text", metadata: tu
     return docs.withColumn(out, scored(F.col(text), *(F.col(c).cast("double") for c in metadata)))
 
 
-def learn(docs: DataFrame, labels: DataFrame, metadata: tuple[str, ...] = ("n_chars",)) -> Model | None:
+def learn(docs: DataFrame, labels: DataFrame, metadata: tuple[str, ...] = ("n_chars",), text: str = "text", doc_id: str = "doc_id") -> Model | None:
     """Fits on a bounded sample (:data:`SAMPLE`) of rows whose remainder is not the held-out one."""
-    sample = labelled.sample(docs, labels, "quality", 5, 0, SAMPLE, metadata)
+    sample = labelled.sample(docs, labels, "quality", 5, 0, SAMPLE, metadata, text, doc_id)
     return fit(sample, _metadata(list(map(list, zip(*sample.more)))) or None)
 
 

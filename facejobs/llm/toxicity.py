@@ -1,18 +1,22 @@
 """Toxicity by compression distance: zstandard dictionaries of toxic and of ordinary text.
 
-A window is one word inside a fixed carrier text that both dictionaries hold, so that even
-short words are compressed rather than stored. Its gain is how many bytes shorter it gets with
-the toxic dictionary than with the ordinary one. Both dictionaries are of one size and share a
-trained ordinary part; the rest is trained on ordinary words in one, and in the other on words
-that stand in many more contexts in toxic texts than elsewhere (contexts, not counts: copies
-of a text add none). So ordinary words gain about nothing, and toxic stems are found in words
-never seen before. A logistic calibration of the gains' distribution gives the score; its
-threshold, of the best F0.5 on rows the dictionaries did not see, lies at 0.7.
+A text is cut into windows of a few words. A window's gain is how many bytes shorter it
+compresses with the toxic dictionary than with the ordinary one; before it stands a fixed carrier
+that both hold, so that even short windows are compressed rather than stored.
+
+The ordinary dictionary is trained on windows of ordinary text. The toxic one is trained on spans
+of toxic text and goes on with the ordinary one, so that what toxic texts share with others costs
+the same in both. Spans are stretches whose byte sequences stand in many more contexts in toxic
+texts than elsewhere (contexts, not counts, so copies of a text add none), by the likelihood ratio.
+
+A logistic calibration of the gains' distribution over a text's windows, fitted on rows that the
+dictionaries did not see, gives the score; its threshold, of the best F1 there, lies at 0.7.
 """
 
 from __future__ import annotations
 
 import random
+import zlib
 from dataclasses import dataclass
 from functools import lru_cache
 
@@ -25,12 +29,17 @@ from pyspark.sql import functions as F
 from facejobs.llm import common, labelled
 
 THRESHOLD = 0.7
-#: Bytes: the shared ordinary part, and the part in which the dictionaries differ.
-SHARED, OWN = 32768, 2048
-#: Bytes of the carrier on either side of a word.
-CARRIER = 64
-#: Words whose gain a worker keeps.
-CACHE = 400_000
+#: Bytes of the ordinary dictionary, and of the toxic one before that.
+ORDINARY, TOXIC = 65536, 8192
+#: Words of a window, and bytes of the carrier before it.
+WINDOW, CARRIER = 4, 32
+#: Bytes of the sequences by which spans are found, and the least likelihood ratio (2 log L) and
+#: number of contexts of a sequence that stands for toxic text.
+GRAM, LEAST_RATIO, LEAST_CONTEXTS = 6, 15, 3
+#: Length of the pieces that make up a trained dictionary, and of the sequences counted for it: toxic spans, windows.
+SPAN_PIECES, WINDOW_PIECES, COUNTED = 16, 64, 6
+#: Windows that a dictionary is trained on at most, of the bounded sample of rows.
+TRAINED_ON = 60_000
 #: Bound of the labelled rows fitted on, per label.
 SAMPLE = {0: 2500, 1: 1500}
 _LEVELS = (1, 2, 3, 4, 5)
@@ -46,73 +55,101 @@ class Model:
     shift: float
 
 
-def words_of(text: str) -> list[bytes]:
-    return text.encode().lower().split()
+def windows(text: str) -> list[bytes]:
+    """The words in lower case, a few at a time, with a space on either side."""
+    words = text.encode().lower().split()
+    return [b" " + b" ".join(words[k : k + WINDOW]) + b" " for k in range(0, len(words), WINDOW)]
 
 
 @lru_cache(maxsize=4)
-def _gain_of(ordinary: bytes, toxic: bytes):
-    """Gain of a word, in bytes, and the worker's cache of gains."""
+def _compressors(ordinary: bytes, toxic: bytes) -> tuple:
     params = zstandard.ZstdCompressionParameters.from_level(
-        9, write_content_size=False, write_checksum=False, write_dict_id=False, format=zstandard.FORMAT_ZSTD1_MAGICLESS, min_match=3, strategy=zstandard.STRATEGY_LAZY2, window_log=17
+        9, write_content_size=False, write_checksum=False, write_dict_id=False, format=zstandard.FORMAT_ZSTD1_MAGICLESS, min_match=3, strategy=zstandard.STRATEGY_BTLAZY2, window_log=17
     )
-    a, b = (zstandard.ZstdCompressor(dict_data=zstandard.ZstdCompressionDict(x, dict_type=zstandard.DICT_TYPE_RAWCONTENT), compression_params=params).compress for x in (ordinary, toxic))
-    before, after = ordinary[-2 * CARRIER : -CARRIER] + b" ", b" " + ordinary[-CARRIER:]
-    return lambda word: len(a(w := before + word + after)) - len(b(w)), {}
-
-
-def gains(words: list[bytes], ordinary: bytes, toxic: bytes) -> np.ndarray:
-    """Bytes that the toxic dictionary saves over the ordinary one, per word; [0] without words."""
-    gain, known = _gain_of(ordinary, toxic)
-    common.trim(known, CACHE)
-    for w in set(words).difference(known):
-        known[w] = gain(w)
-    return np.array([known[w] for w in words] or [0])
-
-
-class _Coded:
-    """Texts as arrays of word numbers, which takes a tenth of the memory of their words."""
-
-    def __init__(self, texts: list[str]) -> None:
-        number: dict[bytes, int] = {}
-        self.rows = [np.fromiter((number.setdefault(w, len(number)) for w in words_of(t)), np.int32) for t in texts]
-        self.words = list(number)
-
-    def contexts(self, rows: list[int]) -> np.ndarray:
-        """For each word, how many distinct pairs of neighbours it has in these rows."""
-        packed = []
-        for k in rows:
-            a = self.rows[k].astype(np.uint64) + np.uint64(1)
-            around = np.concatenate([[0], a, [0]]).astype(np.uint64)
-            pair = (around[:-2] << np.uint64(32) | around[2:]) * np.uint64(0x9E3779B97F4A7C15)
-            packed.append((a - np.uint64(1)) << np.uint64(40) | pair >> np.uint64(24))
-        distinct = np.unique(np.concatenate(packed)) if packed else np.array([], np.uint64)
-        return np.bincount((distinct >> np.uint64(40)).astype(np.int64), minlength=len(self.words))
-
-
-def _features(gain: np.ndarray) -> np.ndarray:
-    over = np.array([(gain >= q).sum() for q in _LEVELS])
-    return np.concatenate([np.log1p(over), over / len(gain), [np.log(len(gain)), gain.max(), gain.mean(), (gain < 0).mean()]])
-
-
-def _trained(samples: list[bytes], size: int, per_sample: int) -> bytes:
+    return tuple(zstandard.ZstdCompressor(dict_data=zstandard.ZstdCompressionDict(x, dict_type=zstandard.DICT_TYPE_RAWCONTENT), compression_params=params).compress for x in (ordinary, toxic))
+
+
+def gains(text: str, ordinary: bytes, toxic: bytes) -> np.ndarray:
+    """Bytes that the toxic dictionary saves over the ordinary one, per window; [0] without words."""
+    a, b = _compressors(ordinary, toxic)
+    carrier = ordinary[-CARRIER:]
+    return np.array([len(a(w)) - len(b(w)) for w in (carrier + x for x in windows(text))] or [0])
+
+
+def _grams(text: bytes) -> np.ndarray:
+    """The sequences of GRAM bytes at each place, as numbers."""
+    raw = np.frombuffer(text, np.uint8).astype(np.uint64)
+    out = np.zeros(max(0, len(raw) - GRAM + 1), np.uint64)
+    for k in range(GRAM):
+        out = out << np.uint64(8) | raw[k : k + len(out)]
+    return out
+
+
+def _contexts(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct sequences of the texts, and in how many contexts (the sequences on both sides) each stands."""
+    seen = []
+    for t in texts:
+        found = _grams(t)
+        around = np.pad(found, GRAM)
+        context = around[: -2 * GRAM] * np.uint64(0x9E3779B97F4A7C15) ^ around[2 * GRAM :] * np.uint64(0xC2B2AE3D27D4EB4F)
+        seen.append(np.stack([found, found * np.uint64(0xD6E8FEB86659FD93) ^ context]))
+    both = np.concatenate(seen, axis=1) if seen else np.zeros((2, 0), np.uint64)
+    _, first = np.unique(both[1], return_index=True)
+    return np.unique(both[0, first], return_counts=True)
+
+
+def _typical(toxic: list[bytes], ordinary: list[bytes]) -> np.ndarray:
+    """Sequences with more contexts in toxic texts than their share, by the likelihood ratio."""
+    (grams, n1), (others, counts) = _contexts(toxic), _contexts(ordinary)
+    if not len(grams):
+        return grams
+    at = np.minimum(np.searchsorted(others, grams), max(0, len(others) - 1))
+    n0 = np.where(others[at] == grams, counts[at], 0) if len(others) else np.zeros_like(n1)
+    share = n1.sum() / (n1.sum() + counts.sum())
+    mean1, mean0 = (n1 + n0) * share, (n1 + n0) * (1 - share)
+    ratio = 2 * (n1 * np.log(n1 / mean1) + np.where(n0 > 0, n0 * np.log(np.maximum(n0, 1) / np.maximum(mean0, 1e-9)), 0))
+    return grams[(n1 >= LEAST_CONTEXTS) & (n1 > 2 * mean1) & (ratio >= LEAST_RATIO)]
+
+
+def spans(texts: list[bytes], typical: np.ndarray) -> list[bytes]:
+    """The stretches of the texts that these sequences cover."""
+    out = []
+    for t in texts:
+        hit = np.isin(_grams(t), typical)
+        covered = np.zeros(len(t) + 2, np.int8)
+        for k in range(GRAM):
+            covered[k + 1 : k + 1 + len(hit)] |= hit
+        edges = np.flatnonzero(np.diff(covered))
+        out += [t[a:b] for a, b in zip(edges[::2], edges[1::2])]
+    return out
+
+
+def _trained(samples: list[bytes], size: int, piece: int) -> bytes:
     """Content of a dictionary trained on ``samples``; their joined bytes where they are too few to train on."""
-    joined = [b"".join(samples[i : i + per_sample]) for i in range(0, len(samples), per_sample)]
     if not samples:
         return b""
     try:
-        return zstandard.train_dictionary(size, joined).as_bytes()[-size:]
+        return zstandard.train_dictionary(size, samples, k=piece, d=COUNTED).as_bytes()[-size:]
     except zstandard.ZstdError:
-        return b"".join(joined)[-size:]
+        return b"".join(samples)[-size:]
 
 
-def _distinctive(toxic: np.ndarray, other: np.ndarray) -> np.ndarray:
-    """Numbers of the words with more contexts in toxic texts than their share, by the likelihood ratio G2."""
-    share = toxic.sum() / max(1, toxic.sum() + other.sum())
-    mean1, mean0 = (toxic + other) * share, (toxic + other) * (1 - share)
-    with np.errstate(divide="ignore", invalid="ignore"):
-        g2 = 2 * (np.where(toxic > 0, toxic * np.log(toxic / mean1), 0) + np.where(other > 0, other * np.log(other / mean0), 0))
-    return np.flatnonzero((toxic >= 3) & (toxic > 2 * mean1) & (g2 >= 15))
+def dictionaries(toxic: list[str], ordinary: list[str]) -> tuple[bytes, bytes]:
+    """The ordinary and the toxic dictionary; the latter ends in the former."""
+    order = random.Random(0)
+    usual = sorted({w for t in ordinary for w in windows(t)})
+    order.shuffle(usual)
+    plain = lambda texts: sorted(b" " + b" ".join(t.encode().lower().split()) + b" " for t in texts)
+    texts = plain(toxic)
+    found = spans(texts, _typical(texts, plain(ordinary)))
+    order.shuffle(found)
+    of_ordinary = _trained(usual[:TRAINED_ON], ORDINARY, WINDOW_PIECES)
+    return of_ordinary, _trained(found, TOXIC, SPAN_PIECES) + of_ordinary
+
+
+def _features(gain: np.ndarray) -> np.ndarray:
+    over = np.array([(gain >= q).sum() for q in _LEVELS])
+    return np.concatenate([np.log1p(over), over / len(gain), [np.log(len(gain)), gain.max(), gain.mean(), (gain < 0).mean()]])
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 2e-2) -> tuple:
@@ -137,54 +174,38 @@ def best_cut(logit: np.ndarray, y: np.ndarray, weight: np.ndarray, beta: float =
 
 
 def fit(sample: labelled.Sample) -> Model | None:
-    """None where one of the labels is missing. Half of the rows train the dictionaries, the
-    other half the calibration and its threshold; then all rows train the dictionaries."""
+    """None where one of the labels is missing. The rows are dealt by a hash of their text, so
+    that their order is of no account: two halves in turn train dictionaries and give the gains
+    of the other half for the calibration and its threshold; then all rows train the dictionaries."""
     if len(set(sample.y)) < 2:
         return None
-    coded, label = _Coded(sample.texts), np.array(sample.y)
-
-    def dictionaries(part: np.ndarray) -> tuple[bytes, bytes]:
-        count = {y: coded.contexts([k for k in part if label[k] == y]) for y in (0, 1)}
-
-        def spaced(numbers, bag: np.ndarray, most: int) -> list[bytes]:
-            out = [b" " + coded.words[k] + b" " for k in numbers for _ in range(min(int(bag[k]), most))]
-            random.Random(0).shuffle(out)
-            return out
-
-        usual = spaced(np.flatnonzero(count[0]), count[0], 20)
-        half = len(usual) // 2
-        shared = _trained(usual[:half][:480_000], SHARED, 8)
-        toxic = _trained(spaced(_distinctive(count[1], count[0]), count[1], 5), OWN, 4)
-        own = _trained(usual[half:][:480_000], 4 * OWN, 8)[-len(toxic) :] if toxic else b""
-        return own + shared, toxic + shared
-
-    every = np.arange(len(label))
-    first, second = every[::2], every[1::2]
-    if len(set(label[first])) < 2 or len(set(label[second])) < 2:
-        first = second = every
-    ordinary, toxic = dictionaries(first)
-    gain, _ = _gain_of(ordinary, toxic)
-    table = np.zeros(len(coded.words), np.int64)
-    for k in np.unique(np.concatenate([coded.rows[r] for r in second])):
-        table[k] = gain(coded.words[k])
-    x = np.array([_features(table[coded.rows[r]] if len(coded.rows[r]) else np.array([0])) for r in second])
-    y = label[second].astype(float)
+    rows = sorted(zip(sample.texts, sample.y), key=lambda r: (zlib.crc32(r[0].encode()), r))
+    of = lambda part, y: [t for t, label in part if label == y]
+    made = lambda part: dictionaries(of(part, 1), of(part, 0))
+    halves = [of(rows, 1)[k::2] for k in (0, 1)], [of(rows, 0)[k::2] for k in (0, 1)]
+    halves = [[*((t, 1) for t in halves[0][k]), *((t, 0) for t in halves[1][k])] for k in (0, 1)]
+    if any(len({y for _, y in half}) < 2 for half in halves):
+        halves = [rows, rows]
+    seen = [(_features(gains(t, *pair)), label) for k, pair in enumerate(map(made, halves)) for t, label in halves[1 - k]]
+    x, y = np.array([f for f, _ in seen]), np.array([float(label) for _, label in seen])
     weight = np.array([sample.weight[int(v)] for v in y])
     mean, scale, w = _logistic(x, y, weight)
-    cut = best_cut(np.c_[(x - mean) / scale, np.ones(len(x))] @ w, y, weight, 0.5)
-    ordinary, toxic = dictionaries(every)
+    cut = best_cut(np.c_[(x - mean) / scale, np.ones(len(x))] @ w, y, weight)
+    ordinary, toxic = made(rows)
     return Model(ordinary, toxic, tuple(mean), tuple(scale), tuple(w), float(np.log(THRESHOLD / (1 - THRESHOLD)) - cut))
 
 
 def score_text(text: str, model: Model) -> float:
-    x = (_features(gains(words_of(text), model.ordinary, model.toxic)) - np.array(model.mean)) / np.array(model.scale)
+    x = (_features(gains(text, model.ordinary, model.toxic)) - np.array(model.mean)) / np.array(model.scale)
     logit = float(x @ np.array(model.weights[:-1])) + model.weights[-1] + model.shift
     return float(1 / (1 + np.exp(-np.clip(logit, -30, 30))))
 
 
 def score(docs: DataFrame, model: Model | None, text: str = "text", out: str = common.RESULT) -> DataFrame:
     """Adds double ``out``, 0 to 1. Null and empty texts score as one window without gain;
-    without a model (no labels of one kind) every score is 0. Other columns pass unchanged."""
+    without a model (no labels of one kind) every score is 0. Equal texts score alike, repeated
+    rows stay, an empty table stays empty, and a long text is cut into windows like any other.
+    Other columns pass unchanged, unless one is called ``out``."""
     if model is None:
         return docs.withColumn(out, F.lit(0.0))
 
@@ -195,9 +216,9 @@ def score(docs: DataFrame, model: Model | None, text: str = "text", out: str = c
     return docs.withColumn(out, scored(F.col(text)))
 
 
-def learn(docs: DataFrame, labels: DataFrame) -> Model | None:
+def learn(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "doc_id") -> Model | None:
     """Fits on a bounded sample (:data:`SAMPLE`) of rows whose remainder is not the held-out one."""
-    return fit(labelled.sample(docs, labels, "toxic", 3, 1, SAMPLE))
+    return fit(labelled.sample(docs, labels, "toxic", 3, 1, SAMPLE, text=text, doc_id=doc_id))
 
 
 def keep(docs: DataFrame, labels: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+import zstandard
 from pyspark.sql import functions as F
 
 from facejobs.llm import common, labelled, licences, quality_fm, quality_rules, toxicity
@@ -103,6 +104,44 @@ def test_classifiers_take_hard_rows(spark, hard, labels, module):
     assert none is None and {r[common.RESULT] for r in module.score(hard, none).collect()} == {0.0}
 
 
+def test_gains_are_differences_of_compressed_lengths(spark):
+    docs, marks = corpus(spark, 200)
+    model = toxicity.learn(docs, marks)
+    assert model.toxic.endswith(model.ordinary) and b"vile" in model.toxic[: -len(model.ordinary)]
+
+    def length(data, dictionary):
+        params = zstandard.ZstdCompressionParameters.from_level(9, write_content_size=False, write_checksum=False, write_dict_id=False, min_match=3, strategy=zstandard.STRATEGY_BTLAZY2, window_log=17)
+        held = zstandard.ZstdCompressionDict(dictionary, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        out = zstandard.ZstdCompressor(dict_data=held, compression_params=params).compress(data)
+        assert zstandard.ZstdDecompressor(dict_data=held).decompress(out, max_output_size=len(data)) == data
+        return len(out)
+
+    carrier = model.ordinary[-toxicity.CARRIER :]
+    for text in ["", "one", "vileba re ti", *(r.text for r in docs.limit(20).collect())]:
+        words = text.lower().encode().split()
+        cut = [b" " + b" ".join(words[k : k + toxicity.WINDOW]) + b" " for k in range(0, len(words), toxicity.WINDOW)]
+        want = [length(carrier + w, model.ordinary) - length(carrier + w, model.toxic) for w in cut] or [0]
+        assert toxicity.gains(text, model.ordinary, model.toxic).tolist() == want
+
+
+def test_typical_sequences_by_brute_force():
+    toxic = [b" you vile one and two ", b" you vile one and two ", b" a vile three ", b" some vile four ", b" six vile five "]
+    ordinary = [b" you one and two ", b" a three or four ", b" some five six "]
+    places = lambda texts: {(t[i - 6 : i] if i >= 6 else None, t[i : i + 6], t[i + 6 : i + 12] if i + 12 <= len(t) else None) for t in texts for i in range(len(t) - 5)}
+    count = lambda texts: Counter(g for _, g, _ in places(texts))
+    grams, n = toxicity._contexts(toxic)
+    assert {int(g).to_bytes(6, "big"): int(k) for g, k in zip(grams, n)} == count(toxic)
+    typical = {int(g).to_bytes(6, "big") for g in toxicity._typical(toxic * 3, ordinary)}
+    assert typical <= {b" vile ", b"e vile"} and toxicity.spans([b" x vile y "], np.array([int.from_bytes(b" vile ", "big")], np.uint64)) == [b" vile "]
+
+
+def test_the_order_of_rows_is_of_no_account(spark):
+    docs, marks = corpus(spark, 200)
+    sample = labelled.sample(docs, marks, "toxic", 3, 1, toxicity.SAMPLE)
+    back = labelled.Sample(sample.texts[::-1], sample.y[::-1], sample.weight, sample.more[::-1])
+    assert toxicity.fit(sample) == toxicity.fit(back)
+
+
 def test_held_out_rows_teach_nothing(spark):
     docs, marks = corpus(spark, 60)
     sample = labelled.sample(docs, marks, "toxic", 3, 1, {0: 100, 1: 100})

@@ -1,13 +1,17 @@
-"""Near copies by exact Jaccard similarity of word shingle sets, by prefix filtering.
-
-If two sets are similar enough, the first few of each in any one order share a shingle: of a set
-of n, the first n - ceil(t n) + 1. So the sets meet by the shingles of these prefixes, and every
-pair that meets is verified on its whole sets; none is missed. The order puts shingles that are
-frequent in a sample last, which bears on speed only, never on the pairs found.
-
-Equal sets collapse first. Then each set is compared with one leader per shingle, and only sets
-that are not joined by this are compared pair by pair, so a large group of copies stays linear.
-Shingles and sets are told apart by 64-bit hashes.
+"""Near copies by SimHash, completed to exact Jaccard similarity of word shingle sets.
+
+SimHash with multi-index hashing (:mod:`facejobs.llm.simhash`) over five-word shingles proposes
+pairs, which are verified on their whole sets. Fingerprints within 3 bits reach only part of the
+texts of similarity 0.8: those differ in some 10 of 64 bits, too many for small Hamming balls. So
+the rest is found by prefix filtering: if two sets are similar enough, the first few of each in
+any one order share a shingle: of a set of n, the first n - ceil(t n) + 1. The sets meet by the
+shingles of these prefixes, and every pair that meets is verified too; none is missed. The order
+puts shingles that are frequent in a sample last, which bears on speed only, never on the pairs
+found.
+
+Equal sets collapse first. Then each set is compared with the first of its fingerprint and of
+each of its shingles, and only sets that are not joined by this are compared pair by pair, so a
+large group of copies stays linear. Shingles and sets are told apart by 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -46,16 +50,18 @@ def frequent(docs: DataFrame, text: str = "text", words: int = WORDS) -> np.ndar
 
 
 def shingled(docs: DataFrame, last: np.ndarray, text: str = "text", words: int = WORDS, out: str = common.RESULT) -> DataFrame:
-    """Adds ``out``: the set's id, size and prefix. A text without words is the empty set, id 0."""
+    """Adds ``out``: the set's id, size, prefix and SimHash. A text without words is the empty set, id 0."""
     over, under = SIMILARITY
     rank = np.argsort(last)
     ordered = last[rank]
 
-    @F.arrow_udf("struct<id:long,n:int,prefix:array<long>>")
+    @F.arrow_udf("struct<id:long,n:int,prefix:array<long>,fp:long>")
     def prefixes(column: pa.Array) -> pa.Array:
-        ids, sizes, firsts = [], [], []
+        ids, sizes, firsts, prints = [], [], [], []
         for x in common.texts(column):
-            hashes = _set(x, words)
+            hashes = simhash.shingles(x, words)
+            prints.append(simhash.print_of(hashes))
+            hashes = np.unique(hashes)
             n = len(hashes)
             ids.append(xxhash.xxh3_64_intdigest(hashes.tobytes()) if n else 0)
             if len(ordered) and n:
@@ -64,7 +70,7 @@ def shingled(docs: DataFrame, last: np.ndarray, text: str = "text", words: int =
                 hashes = np.concatenate([hashes[~late], last[np.sort(rank[at[late]])]])
             sizes.append(n)
             firsts.append(hashes[: n - -(-over * n // under) + 1 if n else 0].view(np.int64))
-        return common.struct(id=pa.array(np.array(ids, np.uint64).view(np.int64)), n=pa.array(sizes, pa.int32()), prefix=pa.array(firsts, pa.list_(pa.int64())))
+        return common.struct(id=pa.array(np.array(ids, np.uint64).view(np.int64)), n=pa.array(sizes, pa.int32()), prefix=pa.array(firsts, pa.list_(pa.int64())), fp=pa.array(np.array(prints, np.uint64).view(np.int64)))
 
     return docs.withColumn(out, prefixes(F.col(text)))
 
@@ -91,8 +97,8 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 def links(held: DataFrame, words: int = WORDS) -> DataFrame:
     """(u, v): ids of similar sets, enough of them to join all that similar pairs join.
 
-    ``held`` has a row per set: id, n, prefix, text. Texts are shingled again only for sets that
-    meet another, so that whole sets are never stored for all.
+    ``held`` has a row per set: id, n, prefix, fp, text. Texts are shingled again only for sets
+    that meet another, so that whole sets are never stored for all.
     """
 
     @F.arrow_udf("array<long>")
@@ -105,21 +111,30 @@ def links(held: DataFrame, words: int = WORDS) -> DataFrame:
         sets = common.stage(held.select("id", "text").join(met, "id").select("id", whole("text").alias("shingles")), "met-sets")
         return common.stage(verified(pairs, sets), "similar")
 
-    entries = held.select("id", "n", F.posexplode("prefix").alias("pos", "key")).select("key", F.struct("id", "n", "pos").alias("x"))
+    pair = lambda a, b: (F.least(a, b).alias("u"), F.greatest(a, b).alias("v"))
+    prints = common.stage(held.select("id", "fp"), "prints")
+    first_of = common.stage(prints.groupBy("fp").agg(F.min("id").alias("first")), "first-of-print")
+    same = prints.join(first_of, "fp").where(F.col("id") != F.col("first")).select(*pair("id", "first"))
+    near = simhash.links(first_of.select("fp"))
+    named = lambda name: first_of.select(F.col("fp").alias(name), F.col("first").alias(f"{name}_first"))
+    found = checked(same.unionAll(near.join(named("u"), "u").join(named("v"), "v").select(*pair("u_first", "v_first"))))
+
+    roots = graph.components(found).select(F.col("node").alias("id"), "root")
+    placed = held.select("id", "n", "prefix").join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
+    entries = placed.select(F.posexplode("prefix").alias("pos", "key"), "id", "n", "root").select("key", F.struct("id", "n", "pos", "root").alias("x"))
     of_key = Window.partitionBy("key")
     shared = entries.withColumn("many", F.count("*").over(of_key)).withColumn("leader", F.first("x").over(of_key.orderBy("x.n", "x.id"))).where("many > 1")
     shared = common.stage(shared.select("key", "x", "leader"), "shared-shingles")
+    to_leader = checked(shared.where((F.col("x.root") != F.col("leader.root")) & _may("x", "leader")).select(*pair("x.id", "leader.id")))
+    found = found.unionAll(to_leader)
 
-    pair = lambda a, b: (F.least(f"{a}.id", f"{b}.id").alias("u"), F.greatest(f"{a}.id", f"{b}.id").alias("v"))
-    first = checked(shared.where((F.col("x.id") != F.col("leader.id")) & _may("x", "leader")).select(*pair("x", "leader")))
-
-    roots = graph.components(first).select(F.col("node").alias("id"), "root")
-    rooted = shared.select("key", "x", F.col("x.id").alias("id")).join(roots, "id", "left").select("key", "x", F.coalesce("root", "id").alias("root"))
+    roots = graph.components(found).select(F.col("node").alias("id"), F.col("root").alias("now"))
+    rooted = shared.select("key", "x", F.col("x.id").alias("id")).join(roots, "id", "left").select("key", "x", F.coalesce("now", "id").alias("root"))
     mixed = rooted.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("key")
     left = common.stage(rooted.join(mixed, "key", "left_semi"), "unjoined")
     a, b = left.select("key", F.col("x").alias("a"), F.col("root").alias("ra")), left.select("key", F.col("x").alias("b"), F.col("root").alias("rb"))
-    rest = a.join(b, "key").where((F.col("ra") < F.col("rb")) & _may("a", "b")).select(*pair("a", "b"))
-    return first.unionAll(checked(rest))
+    rest = a.join(b, "key").where((F.col("ra") < F.col("rb")) & _may("a", "b")).select(*pair("a.id", "b.id"))
+    return found.unionAll(checked(rest))
 
 
 def keep_one(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", words: int = WORDS) -> DataFrame:

@@ -44,9 +44,8 @@ def shingles(text: str, words: int = WORDS) -> np.ndarray:
     return np.fromiter((digest(line[a:b], SEED) for a, b in zip(starts[:n], last)), np.uint64, n)
 
 
-def fingerprint(text: str, words: int = WORDS) -> int:
-    """Unsigned 64-bit SimHash: a bit is set if it is in over half of the shingles' XXH64."""
-    hashes = shingles(text, words)
+def print_of(hashes: np.ndarray) -> int:
+    """Unsigned 64-bit number: a bit is set if it is in over half of the hashes."""
     n = len(hashes)
     votes = np.zeros(BITS, np.int64)
     for k in range(0, n, 1 << 15):
@@ -55,6 +54,11 @@ def fingerprint(text: str, words: int = WORDS) -> int:
     return int.from_bytes(np.packbits(2 * votes > n).tobytes(), "big")
 
 
+def fingerprint(text: str, words: int = WORDS) -> int:
+    """The SimHash of a text's shingles."""
+    return print_of(shingles(text, words))
+
+
 def fingerprints(docs: DataFrame, text: str = "text", words: int = WORDS, out: str = common.RESULT) -> DataFrame:
     """Adds long ``out``: the fingerprint's bits. Null text counts as empty and gives 0, as does
     any text without words; texts of fewer than ``words`` words are one shingle."""

@@ -85,30 +85,34 @@ def _grams(text: bytes) -> np.ndarray:
     return out
 
 
-def _contexts(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """The distinct sequences of the texts, and in how many contexts (the sequences on both sides) each stands."""
-    seen = []
+def _contexts(texts: list[bytes], only: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct sequences of the texts (of ``only``, if given), and in how many contexts (the
+    sequences on both sides) each stands."""
+    seen = [np.zeros((2, 0), np.uint64)]
     for t in texts:
         found = _grams(t)
         around = np.pad(found, GRAM)
         context = around[: -2 * GRAM] * np.uint64(0x9E3779B97F4A7C15) ^ around[2 * GRAM :] * np.uint64(0xC2B2AE3D27D4EB4F)
-        seen.append(np.stack([found, found * np.uint64(0xD6E8FEB86659FD93) ^ context]))
-    both = np.concatenate(seen, axis=1) if seen else np.zeros((2, 0), np.uint64)
+        both = np.stack([found, found * np.uint64(0xD6E8FEB86659FD93) ^ context])
+        seen.append(both if only is None else both[:, np.isin(found, only)])
+    both = np.concatenate(seen, axis=1)
     _, first = np.unique(both[1], return_index=True)
     return np.unique(both[0, first], return_counts=True)
 
 
 def _typical(toxic: list[bytes], ordinary: list[bytes]) -> np.ndarray:
     """Sequences with more contexts in toxic texts than their share, by the likelihood ratio."""
-    (grams, n1), (others, counts) = _contexts(toxic), _contexts(ordinary)
+    grams, n1 = _contexts(toxic)
+    grams, n1 = grams[n1 >= LEAST_CONTEXTS], n1[n1 >= LEAST_CONTEXTS]
     if not len(grams):
         return grams
-    at = np.minimum(np.searchsorted(others, grams), max(0, len(others) - 1))
-    n0 = np.where(others[at] == grams, counts[at], 0) if len(others) else np.zeros_like(n1)
-    share = n1.sum() / (n1.sum() + counts.sum())
+    others, counts = _contexts(ordinary, grams)
+    n0 = np.zeros(len(grams), np.int64)
+    n0[np.searchsorted(grams, others)] = counts
+    share = n1.sum() / (n1.sum() + n0.sum())
     mean1, mean0 = (n1 + n0) * share, (n1 + n0) * (1 - share)
     ratio = 2 * (n1 * np.log(n1 / mean1) + np.where(n0 > 0, n0 * np.log(np.maximum(n0, 1) / np.maximum(mean0, 1e-9)), 0))
-    return grams[(n1 >= LEAST_CONTEXTS) & (n1 > 2 * mean1) & (ratio >= LEAST_RATIO)]
+    return grams[(n1 > 2 * mean1) & (ratio >= LEAST_RATIO)]
 
 
 def spans(texts: list[bytes], typical: np.ndarray) -> list[bytes]:

@@ -42,6 +42,15 @@ def stage(df: DataFrame, label: str, compression: str = "zstd") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Rows of a few numbers each that :func:`sized` lets Spark broadcast: about 10 MB, its own default.
+BROADCAST_ROWS = 500_000
+
+
+def sized(df: DataFrame) -> DataFrame:
+    """A stored table of a few numbers a row, marked for broadcast if it is small; else joined by shuffle."""
+    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
+
+
 def small_batches(spark: SparkSession) -> None:
     """Bound an Arrow batch by bytes too, so that very long texts do not fill a worker."""
     for key, value in (

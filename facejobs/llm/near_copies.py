@@ -94,11 +94,12 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return pairs.join(of("u"), "u").join(of("v"), "v").where(_enough(both, F.size("u_set"), F.size("v_set"))).select("u", "v")
 
 
-def links(held: DataFrame, words: int = WORDS) -> DataFrame:
+def links(held: DataFrame, first_row: DataFrame, words: int = WORDS) -> DataFrame:
     """(u, v): ids of similar sets, enough of them to join all that similar pairs join.
 
-    ``held`` has a row per set: id, n, prefix, fp, text. Texts are shingled again only for sets
-    that meet another, so that whole sets are never stored for all.
+    ``held`` has a row per text: row, id, n, prefix, fp, text; ``first_row`` one per set: id, row.
+    Texts are shingled again only for sets that meet another, so that whole sets are never stored
+    for all; and where few do, their rows are broadcast and no text is shuffled.
     """
 
     @F.arrow_udf("array<long>")
@@ -107,26 +108,26 @@ def links(held: DataFrame, words: int = WORDS) -> DataFrame:
 
     def checked(pairs: DataFrame) -> DataFrame:
         pairs = common.stage(pairs.distinct(), "pairs")
-        met = common.stage(pairs.select(F.explode(F.array("u", "v")).alias("id")).distinct(), "met")
-        sets = common.stage(held.select("id", "text").join(met, "id").select("id", whole("text").alias("shingles")), "met-sets")
+        met = pairs.select(F.explode(F.array("u", "v")).alias("id")).distinct().join(first_row, "id").select("row")
+        met = common.sized(common.stage(met, "met"))
+        sets = common.stage(held.select("row", "id", "text").join(met, "row", "left_semi").select("id", whole("text").alias("shingles")), "met-sets")
         return common.stage(verified(pairs, sets), "similar")
 
     pair = lambda a, b: (F.least(a, b).alias("u"), F.greatest(a, b).alias("v"))
-    prints = common.stage(held.select("id", "fp"), "prints")
+    one = held.select("row", "id", "n", "prefix", "fp").join(common.sized(first_row.select("row")), "row", "left_semi")
+    prints = common.stage(one.select("id", "fp"), "prints")
     first_of = common.stage(prints.groupBy("fp").agg(F.min("id").alias("first")), "first-of-print")
     same = prints.join(first_of, "fp").where(F.col("id") != F.col("first")).select(*pair("id", "first"))
     near = simhash.links(first_of.select("fp"))
     named = lambda name: first_of.select(F.col("fp").alias(name), F.col("first").alias(f"{name}_first"))
-    found = checked(same.unionAll(near.join(named("u"), "u").join(named("v"), "v").select(*pair("u_first", "v_first"))))
+    by_print = same.unionAll(near.join(named("u"), "u").join(named("v"), "v").select(*pair("u_first", "v_first")))
 
-    roots = graph.components(found).select(F.col("node").alias("id"), "root")
-    placed = held.select("id", "n", "prefix").join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
-    entries = placed.select(F.posexplode("prefix").alias("pos", "key"), "id", "n", "root").select("key", F.struct("id", "n", "pos", "root").alias("x"))
+    entries = one.select("id", "n", F.posexplode("prefix").alias("pos", "key")).select("key", F.struct("id", "n", "pos").alias("x"))
     of_key = Window.partitionBy("key")
     shared = entries.withColumn("many", F.count("*").over(of_key)).withColumn("leader", F.first("x").over(of_key.orderBy("x.n", "x.id"))).where("many > 1")
     shared = common.stage(shared.select("key", "x", "leader"), "shared-shingles")
-    to_leader = checked(shared.where((F.col("x.root") != F.col("leader.root")) & _may("x", "leader")).select(*pair("x.id", "leader.id")))
-    found = found.unionAll(to_leader)
+    to_leader = shared.where((F.col("x.id") != F.col("leader.id")) & _may("x", "leader")).select(*pair("x.id", "leader.id"))
+    found = checked(by_print.unionAll(to_leader))
 
     roots = graph.components(found).select(F.col("node").alias("id"), F.col("root").alias("now"))
     rooted = shared.select("key", "x", F.col("x.id").alias("id")).join(roots, "id", "left").select("key", "x", F.coalesce("now", "id").alias("root"))
@@ -147,9 +148,8 @@ def keep_one(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", words:
     held = common.stage(shingled(docs, frequent(docs, text, words), text, words, found).withColumn(row, F.monotonically_increasing_id()), "near-copies")
     best = F.min(F.struct(F.col(doc_id).isNull().alias("last"), F.col(doc_id).alias("doc_id"), F.col(row).alias("row"))).alias("best")
     smallest = common.stage(held.groupBy(F.col(f"{found}.id").alias("id")).agg(best), "sets")
-    # staged tables, so that small ones are broadcast by their size and texts are not shuffled
-    one = held.select(row, f"{found}.*", F.col(text).alias("text")).join(smallest.select(F.col("best.row").alias(row)), row, "left_semi")
-    roots = graph.components(links(one, words)).withColumnRenamed("node", "id")
+    first_row = common.stage(smallest.select("id", F.col("best.row").alias("row")), "first-rows")
+    roots = graph.components(links(held.select(F.col(row).alias("row"), f"{found}.*", F.col(text).alias("text")), first_row, words)).withColumnRenamed("node", "id")
     placed = smallest.select("id", "best").join(roots, "id", "left")
     first = placed.groupBy(F.coalesce("root", "id").alias("root")).agg(F.min("best").alias("best")).select(F.col("best.row").alias(row))
-    return held.drop(found).join(common.stage(first, "kept"), row, "left_semi").drop(row)
+    return held.drop(found).join(common.sized(common.stage(first, "kept")), row, "left_semi").drop(row)

@@ -85,6 +85,13 @@ def _grams(text: bytes) -> np.ndarray:
     return out
 
 
+def _among(grams: np.ndarray, rising: np.ndarray) -> np.ndarray:
+    """Which of the numbers are in a sorted array."""
+    if not len(rising):
+        return np.zeros(len(grams), bool)
+    return rising[np.minimum(np.searchsorted(rising, grams), len(rising) - 1)] == grams
+
+
 def _contexts(texts: list[bytes], only: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """The distinct sequences of the texts (of ``only``, if given), and in how many contexts (the
     sequences on both sides) each stands."""
@@ -94,7 +101,7 @@ def _contexts(texts: list[bytes], only: np.ndarray | None = None) -> tuple[np.nd
         around = np.pad(found, GRAM)
         context = around[: -2 * GRAM] * np.uint64(0x9E3779B97F4A7C15) ^ around[2 * GRAM :] * np.uint64(0xC2B2AE3D27D4EB4F)
         both = np.stack([found, found * np.uint64(0xD6E8FEB86659FD93) ^ context])
-        seen.append(both if only is None else both[:, np.isin(found, only)])
+        seen.append(both if only is None else both[:, _among(found, only)])
     both = np.concatenate(seen, axis=1)
     _, first = np.unique(both[1], return_index=True)
     return np.unique(both[0, first], return_counts=True)
@@ -119,7 +126,7 @@ def spans(texts: list[bytes], typical: np.ndarray) -> list[bytes]:
     """The stretches of the texts that these sequences cover."""
     out = []
     for t in texts:
-        hit = np.isin(_grams(t), typical)
+        hit = _among(_grams(t), typical)
         covered = np.zeros(len(t) + 2, np.int8)
         for k in range(GRAM):
             covered[k + 1 : k + 1 + len(hit)] |= hit

@@ -1,9 +1,11 @@
 """Licence scans by a positional index of rare tokens, in DataFrame functions only.
 
 Templates are short licence notices with mandatory key phrases. Each template is indexed by the
-word of its key phrase with the highest inverse document frequency; a posting and a word's place
-in the file give an alignment of the template, so every place where a key phrase stands is
-looked at. An alignment counts if the key phrase stands whole at its place. Base phrases are found in
+two words of its key phrase with the highest inverse document frequency. The postings of the
+rarest meet the files that have it; a posting and the word's place give an alignment of the
+template, which the second word must confirm at its relative position. So every place where a
+key phrase stands is looked at, and no stop word is looked up but where a key phrase has nothing
+else. An alignment counts if the key phrase stands whole at its place. Base phrases are found in
 the same pass over the words.
 """
 
@@ -18,8 +20,6 @@ from facejobs.llm import common
 from facejobs.llm.quality_rules import LOWER, UPPER
 
 SEPARATOR = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-#: Licence words of a file that the SQL form looks up, rarest first; :func:`scan` has no such limit.
-RAREST = 8
 #: A notice of this many words in place, or more, can score 1.
 FULL = 8
 
@@ -118,7 +118,9 @@ def scan(docs: DataFrame, index: Index | None = None, text: str = "text", doc_id
 
     score is the best share of a notice's words in place where its key phrase stands, scaled by
     how many they are (:data:`FULL`); 0 without one. Null and empty texts have no words: counts
-    0, places null, labels empty. Repeated rows stay; an empty table gives no rows.
+    0, places null, labels empty. Repeated rows stay; an empty table gives no rows; columns of any
+    names beside the two are left out. A long text is one row, its licence words an array. Labels
+    of equal notices come once, and of equal scores the value is the same.
     """
     index = index or Index()
     spark = docs.sparkSession
@@ -131,13 +133,19 @@ def scan(docs: DataFrame, index: Index | None = None, text: str = "text", doc_id
     rank = {r["number"]: k for k, r in enumerate(ranks)}
 
     number = lambda h: h.bitwiseAND(1023).cast("int")
-    anchors = [min((rank[index.number[w]], index.number[w], n, q) for m, q, w, key in index.rows if m == n and key)[1:] for n in range(len(index.templates))]
-    postings = F.broadcast(spark.createDataFrame(anchors, "number int, template int, q int"))
-    anchored = F.filter("hits", lambda h: number(h).isin(*{a[0] for a in anchors}))
+    postings = []
+    for n in range(len(index.templates)):
+        (_, word, q), *more = sorted((rank[index.number[w]], index.number[w], q) for m, q, w, key in index.rows if m == n and key)
+        _, second, at = more[0] if more else (0, word, q)
+        postings.append((word, n, q, ((at - q) << 10) + second))
+    anchors = {p[0] for p in postings}
+    postings = F.broadcast(spark.createDataFrame(postings, "number int, template int, q int, confirms long"))
+    anchored = F.filter("hits", lambda h: number(h).isin(*anchors))
     aligned = (
         found.select("row", "hits", F.explode(anchored).alias("hit"))
-        .select("row", "hits", number(F.col("hit")).alias("number"), F.shiftright("hit", 10).alias("place"))
+        .select("row", "hits", "hit", number(F.col("hit")).alias("number"), F.shiftright("hit", 10).alias("place"))
         .join(postings, "number")
+        .where(F.array_contains("hits", F.shiftleft("place", 10) + F.col("confirms")))
         .select("row", "hits", "template", (F.col("place") - F.col("q")).alias("d"))
     )
     notices = F.broadcast(spark.createDataFrame([(n, t.label, index.packed(n), index.packed(n, True)) for n, t in enumerate(index.templates)], "template int, label string, notice array<bigint>, key array<bigint>"))
@@ -190,15 +198,7 @@ n AS (SELECT rid, i, w, lead(w, 1) OVER p AS w1, lead(w, 2) OVER p AS w2, lead(w
 b AS ({starts}),
 bs AS (SELECT rid, count(*) AS n_base, min(i) AS first_word, max(i) AS last_word FROM b GROUP BY rid),
 h AS (SELECT rid, w, i FROM u WHERE w IN ({", ".join(f"'{w}'" for w in index.words)})),
-f AS (SELECT w, count(DISTINCT rid) AS df FROM h GROUP BY w),
-r AS (
-  SELECT rid, w FROM (
-    SELECT rid, w, row_number() OVER (PARTITION BY rid ORDER BY df, w) AS k
-    FROM (SELECT DISTINCT rid, w FROM h) JOIN f USING (w)
-    WHERE rid IN (SELECT rid FROM h WHERE w IN ({", ".join(f"'{w}'" for w in index.keys)}))
-  ) WHERE k <= {RAREST}
-),
-a AS (SELECT DISTINCT rid, template, i - q AS d FROM h JOIN r USING (rid, w) JOIN t USING (w)),
+a AS (SELECT DISTINCT rid, template, i - q AS d FROM h JOIN t USING (w) WHERE is_key),
 m AS (
   SELECT a.rid, a.template, a.d, count(h.i) AS hit, count(*) AS size, count(*) FILTER (WHERE is_key AND h.i IS NULL) AS lacking
   FROM a JOIN t USING (template) LEFT JOIN h ON h.rid = a.rid AND h.i = a.d + t.q AND h.w = t.w GROUP BY ALL

@@ -10,3 +10,12 @@ def test_all_notices_of_a_file(spark):
     got = {r.doc_id: r for r in licences.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got[0].labels == "apache,apache-2.0,bsd,cc-by,cc-by-nc,gpl,gpl-3"
     assert got[0].score == 1.0 and len(got) == 31
+
+
+def test_every_template_in_one_file(spark):
+    notices = [t.notice for t in licences.TEMPLATES]
+    filler = " in the of and or to it any " * 200
+    rows = [(0, "\n".join(notices)), (1, filler.join(notices)), (2, filler)]
+    got = {r.doc_id: r for r in licences.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    every = ",".join(sorted({t.label for t in licences.TEMPLATES}))
+    assert got[0].labels == got[1].labels == every and got[2].labels == ""

@@ -3,7 +3,8 @@
 A segment's symbols are merged from an agenda of adjacent pairs, best score first, leftmost
 first among equals. Texts are cut where no piece of the vocabulary can cross: before a run of
 spaces, around newlines, and between a letter and a mark that follows letters in no piece. Each worker keeps the ids of segments it has
-met; in each Arrow batch, the new ones are checked against the sentencepiece library.
+met; in each Arrow batch, the new ones, one whole text, and every decoded text are checked
+against the sentencepiece library.
 """
 
 from __future__ import annotations
@@ -24,6 +25,8 @@ SPACE = "▁"
 FILE = "piece_bpe_32k.model"
 CACHE = 1_200_000
 LETTER = "[A-Za-zÀ-ÖØ-öø-ÿ]"
+#: Longest text, in characters, that is encoded whole as a check.
+CHECKED = 20_000
 #: Symbols up to which the agenda is a plain list.
 SHORT = 48
 
@@ -118,12 +121,12 @@ class Vocabulary:
         """Encode segments not met before, and check them against the library."""
         new = list(segments.difference(self.known))
         ids = [self.merge(s.replace(" ", SPACE)) for s in new]
-        # the library puts a space before what it is given; a segment without one goes after a newline
-        spaced = [s.startswith(" ") for s in new]
+        # the library puts a space before what it is given; a segment without one, and spaces alone, go after a newline
+        spaced = [s.startswith(" ") and bool(s.strip(" ")) for s in new]
         theirs = self.library.encode([s[1:] if f else "\n" + s for s, f in zip(new, spaced)], num_threads=1)
         skip = len(self.library.encode("\n")) if not all(spaced) else 0
         for s, mine, other, f in zip(new, ids, theirs, spaced):
-            if mine != (other if f or s == " " else other[skip:]) and s.strip(" "):
+            if mine != (other if f else other[skip:]):
                 raise MismatchError(f"segment {s!r}: {mine}, library {other}")
             self.known[s] = np.array(mine, np.int32).tobytes()
 
@@ -134,6 +137,10 @@ class Vocabulary:
         self.learn({s for c in cut for s in c})
         rows = [b"".join(map(self.known.__getitem__, c)) for c in cut]
         ends = np.concatenate([[0], np.cumsum([len(r) // 4 for r in rows])]).astype(np.int32)
+        # the longest text of moderate length, so that the cuts are checked as well
+        k = max((k for k, t in enumerate(texts) if len(t) <= CHECKED), key=lambda k: len(texts[k]), default=None)
+        if k is not None and np.frombuffer(rows[k], np.int32).tolist() != self.library.encode(texts[k]):
+            raise MismatchError(f"text {texts[k]!r}")
         return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(rows), np.int32)))
 
     def decode(self, ids: list[int]) -> str:
@@ -147,6 +154,19 @@ class Vocabulary:
         except UnicodeDecodeError:
             return re.sub("[\udc80-\udcff]", "�", raw.decode(errors="surrogateescape"))
 
+    def decode_all(self, column: pa.ListArray) -> list[str]:
+        """Texts of a column of ids, each as the library's decode gives it."""
+        if column.null_count:
+            rows = [x or [] for x in column.to_pylist()]
+        else:
+            flat, ends = column.values.to_numpy(zero_copy_only=False).tolist(), column.offsets.to_pylist()
+            rows = [flat[a:b] for a, b in zip(ends, ends[1:])]
+        found = [self.decode(x) for x in rows]
+        for mine, theirs, x in zip(found, self.library.decode(rows, num_threads=1) if rows else [], rows):
+            if mine != theirs:
+                raise MismatchError(f"ids {x}")
+        return found
+
 
 @lru_cache(maxsize=2)
 def vocabulary(path: str) -> Vocabulary:
@@ -154,7 +174,11 @@ def vocabulary(path: str) -> Vocabulary:
 
 
 def encode(docs: DataFrame, path: str, text: str = "text", out: str = common.RESULT) -> DataFrame:
-    """Adds array<int> ``out``: the ids of each whole text. Null and empty texts have none."""
+    """Adds array<int> ``out``: the ids of each whole text. Null and empty texts have none.
+
+    Repeated rows stay, an empty table stays empty, a text of any length is encoded whole, and
+    of equal scores the leftmost pair merges first. Other columns pass, unless one is called ``out``.
+    """
 
     @F.arrow_udf("array<int>")
     def ids(column: pa.Array) -> pa.Array:
@@ -164,12 +188,12 @@ def encode(docs: DataFrame, path: str, text: str = "text", out: str = common.RES
 
 
 def decode(rows: DataFrame, path: str, ids: str, out: str) -> DataFrame:
-    """Adds string ``out``: the text of each row's ids; null ids count as none."""
+    """Adds string ``out``: the text of each row's ids; null ids count as none. Repeated rows stay,
+    an empty table stays empty, and other columns pass, unless one is called ``out``."""
 
     @F.arrow_udf("string")
     def text(column: pa.Array) -> pa.Array:
-        v = vocabulary(path)
-        return pa.array((v.decode(x or []) for x in column.to_pylist()), pa.string())
+        return pa.array(vocabulary(path).decode_all(column), pa.string())
 
     return rows.withColumn(out, text(F.col(ids)))
 

@@ -1,14 +1,16 @@
 """Identification: each face's most similar member.
 
-Three plans give the same rows. ``columns`` compares by column functions with a gallery held in
-one array, ``matrix`` by one matrix product per Arrow batch, ``blocks`` by blocks of the gallery
-against groups of faces when the gallery is too large to send to every task.
+Three plans give the same rows. ``matrix`` takes one matrix product per Arrow batch, with the
+gallery in every task; ``blocks`` takes blocks of the gallery against groups of faces when it is
+too large for that; ``columns`` compares by column functions and serves as their cross-check. A
+face's best depends on its vector alone, so the plans join by nothing else.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -16,9 +18,9 @@ from facejobs.functions import dot
 from facejobs.params import DEFAULTS, Params
 from facejobs.schemas import GUEST, UNKNOWN
 
-#: Columns that identify a detection.
-KEY = ["sequence_id", "frame_index", "face_index"]
-_BEST = "struct<score: double, rank: int, person_id: string, name: string>"
+_BEST = "struct<minus: double, at: long, person_id: string, name: string>"
+#: Faces that meet one block of the gallery in one task.
+FACES = 20_000
 
 
 def filter_detections(detections: DataFrame, params: Params = DEFAULTS) -> DataFrame:
@@ -26,28 +28,28 @@ def filter_detections(detections: DataFrame, params: Params = DEFAULTS) -> DataF
     return detections.where(F.col("det_score") >= params.det_threshold)
 
 
-def ranked(members: DataFrame) -> DataFrame:
-    """Members that can be matched, with their place in gallery order: created_at, then person_id."""
-    usable = members.where("centroid IS NOT NULL").select("person_id", "name", "created_at", F.col("centroid").cast("array<double>").alias("centroid"))
-    # a gallery is people enrolled on purpose; only ids and times pass the one task that numbers them
-    order = usable.select("person_id", "created_at").groupBy().agg(F.array_sort(F.collect_list(F.struct("created_at", "person_id"))).alias("all"))
-    return usable.join(order.select(F.posexplode("all").alias("rank", "x")).select("rank", "x.person_id"), "person_id").drop("created_at")
+def usable(members: DataFrame) -> DataFrame:
+    """Members that can be matched: person_id, name, centroid, and ``at``, which with the id is
+    the gallery's order (microseconds of created_at; null first)."""
+    at = F.coalesce(F.unix_micros(F.col("created_at").cast("timestamp")), F.lit(-(1 << 63)))
+    return members.where("centroid IS NOT NULL").select("person_id", "name", at.alias("at"), F.col("centroid").cast("array<double>").alias("centroid"))
 
 
 def _identity(best: Column, params: Params) -> list[Column]:
-    known = F.coalesce(best["score"] >= params.threshold, F.lit(False))
+    score = -best["minus"]
+    known = F.coalesce(score >= params.threshold, F.lit(False))
     return [
         F.when(known, best["person_id"]).otherwise(UNKNOWN).alias("person_id"),
         F.when(known, best["name"]).otherwise(GUEST).alias("name"),
-        F.least(F.lit(1.0), F.when(known, best["score"]).otherwise(F.greatest(F.lit(0.0), F.coalesce(best["score"], F.lit(0.0))))).alias("confidence"),
+        F.least(F.lit(1.0), F.when(known, score).otherwise(F.greatest(F.lit(0.0), F.coalesce(score, F.lit(0.0))))).alias("confidence"),
     ]
 
 
 def _columns(faces: DataFrame, gallery: DataFrame) -> DataFrame:
     """One row holds the gallery, so joining it multiplies nothing."""
-    held = gallery.groupBy().agg(F.array_sort(F.collect_list(F.struct("rank", "person_id", "name", "centroid"))).alias("_gallery"))
-    scores = F.transform("_gallery", lambda m: F.struct(dot(F.col("embedding"), m["centroid"]).alias("score"), (-m["rank"]).alias("rank"), m["person_id"].alias("person_id"), m["name"].alias("name")))
-    best = F.array_max(F.filter(scores, lambda s: ~F.isnan(s["score"])))
+    held = gallery.groupBy().agg(F.collect_list(F.struct("at", "person_id", "name", "centroid")).alias("_gallery"))
+    scores = F.transform("_gallery", lambda m: F.struct((-dot(F.col("embedding"), m["centroid"])).alias("minus"), m["at"].alias("at"), m["person_id"].alias("person_id"), m["name"].alias("name")))
+    best = F.array_min(F.filter(scores, lambda s: ~F.isnan(s["minus"]) & s["minus"].isNotNull()))
     return faces.join(F.broadcast(held), F.lit(True), "left").withColumn("_best", best.cast(_BEST)).drop("_gallery")
 
 
@@ -59,36 +61,42 @@ def _arg_max(faces: np.ndarray, centroids: np.ndarray) -> tuple[np.ndarray, np.n
     return k, scores[np.arange(len(faces)), k]
 
 
-def _vectors(column: pa.Array, dimension: int) -> np.ndarray:
-    return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dimension)
-
-
-def _matrix(faces: DataFrame, gallery: DataFrame) -> DataFrame:
-    rows = gallery.orderBy("rank").collect()  # its size has been checked
+def _matrix(faces: DataFrame, gallery: DataFrame, dimension: int) -> DataFrame:
+    rows = gallery.where(F.size("centroid") == dimension).orderBy("at", "person_id").collect()  # its size has been checked
     if not rows:
         return faces.withColumn("_best", F.lit(None).cast(_BEST))
-    centroids = np.array([r["centroid"] for r in rows])
-    ids, names = ([r[k] for r in rows] for k in ("person_id", "name"))
+    centroids = np.array([r["centroid"] for r in rows], np.float64)
+    ids, names, at = ([r[k] for r in rows] for k in ("person_id", "name", "at"))
 
-    @F.arrow_udf("score double, rank int, person_id string, name string")
+    @F.arrow_udf("minus double, at long, person_id string, name string")
     def best(column: pa.Array) -> pa.Array:
-        k, score = _arg_max(_vectors(column, centroids.shape[1]), centroids) if len(column) else (np.zeros(0, int), np.zeros(0))
-        lost = ~np.isfinite(score)
-        pick = lambda values: pa.array([values[i] for i in k], pa.string())
-        return pa.StructArray.from_arrays([pa.array(score, mask=lost), pa.array(-k, pa.int32()), pick(ids), pick(names)], names=["score", "rank", "person_id", "name"])
+        # vectors that are null or of another length match nobody
+        fits = pc.equal(pc.fill_null(pc.list_value_length(column), -1), dimension)
+        vectors = column.filter(fits).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dimension)
+        won, place = np.full(len(column), -np.inf), np.zeros(len(column), int)
+        if len(vectors):
+            where = fits.to_numpy(zero_copy_only=False)
+            place[where], won[where] = _arg_max(vectors, centroids)
+        lost = ~np.isfinite(won)
+        pick = lambda values, kind: pa.array([None if gone else values[i] for i, gone in zip(place, lost)], kind)
+        return pa.StructArray.from_arrays([pa.array(-won, mask=lost), pick(at, pa.int64()), pick(ids, pa.string()), pick(names, pa.string())], names=["minus", "at", "person_id", "name"])
 
-    return faces.withColumn("_best", best("embedding"))
+    return faces.withColumn("_best", best(F.col("embedding").cast("array<double>")))
 
 
-def _blocks(faces: DataFrame, gallery: DataFrame, block_members: int, n_members: int, partitions: int) -> DataFrame:
-    """Every group of faces meets every block of members; only each face's best of a block is kept.
+def _blocks(faces: DataFrame, gallery: DataFrame, dimension: int, block_members: int, n_members: int) -> DataFrame:
+    """Every group of at most about FACES faces meets every block of members; only the best of a
+    block is kept, and joined by a 128-bit hash of the vector.
 
     Embeddings are copied once per block; scores never leave a task.
     """
-    n_blocks = -(-n_members // block_members)
-    groups = max(1, partitions // n_blocks)
-    keyed = faces.select(*KEY, "embedding", F.pmod(F.xxhash64(*KEY), F.lit(groups)).alias("_group"), F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))).alias("_block"))
-    members = gallery.select("rank", "person_id", "name", "centroid", (F.col("rank") / block_members).cast("int").alias("_block"))
+    n_blocks = max(1, -(-n_members // block_members))
+    key = [F.xxhash64("embedding").alias("_h1"), F.xxhash64(F.lit(1), "embedding").alias("_h2")]
+    probes = faces.where(F.size("embedding") == dimension).select(*key, F.col("embedding").cast("array<double>").alias("embedding"))
+    groups = max(1, -(-probes.count() // FACES))
+    # dealt by place, not by vector: copies of one vector are no hot group
+    probes = probes.withColumn("_group", F.pmod(F.monotonically_increasing_id(), F.lit(groups))).withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))))
+    members = gallery.where(F.size("centroid") == dimension).withColumn("_block", F.pmod(F.xxhash64("person_id"), F.lit(n_blocks)).cast("int"))
     members = members.withColumn("_group", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(groups - 1).cast("long"))))
 
     def best(left, right):
@@ -96,37 +104,41 @@ def _blocks(faces: DataFrame, gallery: DataFrame, block_members: int, n_members:
 
         if not len(left) or not len(right):
             return pd.DataFrame()
-        right = right.sort_values("rank")
-        k, score = _arg_max(np.stack(left["embedding"].to_numpy()).astype(np.float64), np.stack(right["centroid"].to_numpy()))
+        right = right.sort_values(["at", "person_id"])
+        k, score = _arg_max(np.stack(left["embedding"].to_numpy()).astype(np.float64), np.stack(right["centroid"].to_numpy()).astype(np.float64))
         won = np.isfinite(score)
         if not won.any():
             return pd.DataFrame()
-        columns = {c: left[c].to_numpy()[won] for c in KEY} | {"score": score[won], "rank": -right["rank"].to_numpy()[k][won]}
-        return pd.DataFrame(columns | {c: right[c].to_numpy()[k][won] for c in ("person_id", "name")})
+        columns = {c: left[c].to_numpy()[won] for c in ("_h1", "_h2")} | {"minus": -score[won]}
+        return pd.DataFrame(columns | {c: right[c].to_numpy()[k][won] for c in ("at", "person_id", "name")})
 
-    local = keyed.groupBy("_group", "_block").cogroup(members.groupBy("_group", "_block")).applyInPandas(best, "sequence_id string, frame_index int, face_index int, score double, rank int, person_id string, name string")
-    final = local.groupBy(*KEY).agg(F.max(F.struct("score", "rank", "person_id", "name")).cast(_BEST).alias("_best"))
-    return faces.join(final, KEY, "left")
+    local = probes.groupBy("_group", "_block").cogroup(members.groupBy("_group", "_block")).applyInPandas(best, "_h1 long, _h2 long, minus double, at long, person_id string, name string")
+    final = local.groupBy("_h1", "_h2").agg(F.min(F.struct("minus", "at", "person_id", "name")).cast(_BEST).alias("_best"))
+    return faces.select("*", *key).join(final, ["_h1", "_h2"], "left").drop("_h1", "_h2")
 
 
 def identify(detections: DataFrame, members: DataFrame, params: Params = DEFAULTS, plan: str = "auto", keep_embedding: bool = False) -> DataFrame:
     """Detections with person_id, name, confidence of their most similar member.
 
     From ``threshold`` on, the member and the raw score, at most 1; below, ``unknown``, ``Guest``
-    and the score, at least 0. The first in gallery order wins among equals; scores that are not
-    numbers never win; an empty gallery makes every face unknown with 0. Faces are independent of
-    each other. ``plan``: ``columns``, ``matrix``, ``blocks``, or by the gallery's measured size.
+    and the score, at least 0. The first in gallery order (created_at, then person_id) wins among
+    equals; scores that are not numbers never win; an empty gallery, and a vector that is null or
+    of another length than the gallery's, make a face unknown with 0. Faces are independent of
+    each other, whatever their keys: null and repeated ones stay as they are.
+
+    ``plan``: ``matrix``, ``columns`` or ``blocks``; ``auto`` is ``matrix``. A gallery of more
+    than ``broadcast_bytes`` always goes by ``blocks``.
     """
-    gallery = ranked(members)
-    if plan == "auto" or plan == "blocks":
-        size = gallery.agg(F.count("*").alias("n"), F.max(F.size("centroid")).alias("d")).first()
-        n, per_member = size["n"], 8 * (size["d"] or 1)
-    if plan == "auto":
-        plan = "columns" if n <= params.small_gallery else "matrix" if n * per_member <= params.broadcast_bytes else "blocks"
+    gallery = usable(members)
+    size = gallery.agg(F.count("*").alias("n"), F.max(F.size("centroid")).alias("d")).first()
+    n, dimension = size["n"], size["d"] or 1
+    if plan != "blocks" and n * 8 * dimension > params.broadcast_bytes:
+        plan = "blocks"
     if plan == "blocks":
-        partitions = max(1, int(detections.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-        found = _blocks(detections, gallery, max(1, params.broadcast_bytes // per_member), max(1, n), partitions)
+        found = _blocks(detections, gallery, dimension, max(1, params.broadcast_bytes // (8 * dimension)), n)
+    elif plan == "columns":
+        found = _columns(detections, gallery)
     else:
-        found = {"columns": _columns, "matrix": _matrix}[plan](detections, gallery)
+        found = _matrix(detections, gallery, dimension)
     kept = [c for c in detections.columns if keep_embedding or c != "embedding"]
     return found.select(*kept, *_identity(F.col("_best"), params))

@@ -24,8 +24,6 @@ class Params:
     #: Box colours of the overlay, blue-green-red.
     known_colour: tuple[int, int, int] = (0, 200, 0)
     unknown_colour: tuple[int, int, int] = (0, 165, 255)
-    #: Members up to which column functions compare a face with the whole gallery.
-    small_gallery: int = 200
     #: Bytes of centroids that may be broadcast as one matrix; larger galleries are cut into blocks.
     broadcast_bytes: int = 64 << 20
 
@@ -35,8 +33,8 @@ class Params:
                 raise ValueError(f"{name} must lie in [-1, 1]")
         if self.min_displacement_fraction <= 0 or self.area_change_fraction <= 0:
             raise ValueError("min_displacement_fraction and area_change_fraction must be positive")
-        if self.small_gallery < 0 or self.broadcast_bytes <= 0:
-            raise ValueError("gallery sizes must be positive")
+        if self.broadcast_bytes <= 0:
+            raise ValueError("broadcast_bytes must be positive")
 
 
 DEFAULTS = Params()

@@ -36,6 +36,8 @@ WINDOW, CARRIER = 4, 32
 #: Bytes of the sequences by which spans are found, and the least likelihood ratio (2 log L) and
 #: number of contexts of a sequence that stands for toxic text.
 GRAM, LEAST_RATIO, LEAST_CONTEXTS = 6, 15, 3
+#: Sequences are counted in so many parts, one after the other, to spare the driver's memory.
+PARTS = 7
 #: Length of the pieces that make up a trained dictionary, and of the sequences counted for it: toxic spans, windows.
 SPAN_PIECES, WINDOW_PIECES, COUNTED = 16, 64, 6
 #: Windows that a dictionary is trained on at most, of the bounded sample of rows.
@@ -95,14 +97,24 @@ def _among(grams: np.ndarray, rising: np.ndarray) -> np.ndarray:
 def _contexts(texts: list[bytes], only: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """The distinct sequences of the texts (of ``only``, if given), and in how many contexts (the
     sequences on both sides) each stands."""
+    found = [_contexts_of(texts, only, part) for part in range(PARTS)]
+    grams, counts = (np.concatenate([f[k] for f in found]) for k in (0, 1))
+    order = np.argsort(grams)
+    return grams[order], counts[order]
+
+
+def _contexts_of(texts: list[bytes], only: np.ndarray | None, part: int) -> tuple[np.ndarray, np.ndarray]:
     seen = [np.zeros((2, 0), np.uint64)]
     for t in texts:
         found = _grams(t)
         around = np.pad(found, GRAM)
         context = around[: -2 * GRAM] * np.uint64(0x9E3779B97F4A7C15) ^ around[2 * GRAM :] * np.uint64(0xC2B2AE3D27D4EB4F)
-        both = np.stack([found, found * np.uint64(0xD6E8FEB86659FD93) ^ context])
-        seen.append(both if only is None else both[:, _among(found, only)])
+        taken = found % np.uint64(PARTS) == part
+        if only is not None:
+            taken &= _among(found, only)
+        seen.append(np.stack([found[taken], found[taken] * np.uint64(0xD6E8FEB86659FD93) ^ context[taken]]))
     both = np.concatenate(seen, axis=1)
+    del seen
     _, first = np.unique(both[1], return_index=True)
     return np.unique(both[0, first], return_counts=True)
 

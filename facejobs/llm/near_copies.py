@@ -11,7 +11,9 @@ found.
 
 Equal sets collapse first. Then each set is compared with the first of its fingerprint and of
 each of its shingles, and only sets that are not joined by this are compared pair by pair, so a
-large group of copies stays linear. Shingles and sets are told apart by 64-bit hashes.
+large group of copies stays linear. Sets, and the shingles of prefixes, are told apart by 64-bit
+hashes; pairs are verified on 32 bits of each shingle's hash, which halves what is shuffled: two
+sets of 500 shingles share a false one with a chance of 6 in 100,000.
 """
 
 from __future__ import annotations
@@ -102,9 +104,9 @@ def links(held: DataFrame, first_row: DataFrame, words: int = WORDS) -> DataFram
     for all; and where few do, their rows are broadcast and no text is shuffled.
     """
 
-    @F.arrow_udf("array<long>")
+    @F.arrow_udf("array<int>")
     def whole(column: pa.Array) -> pa.Array:
-        return pa.array([_set(x, words).view(np.int64) for x in common.texts(column)], pa.list_(pa.int64()))
+        return pa.array([np.unique(_set(x, words).astype(np.uint32)).view(np.int32) for x in common.texts(column)], pa.list_(pa.int32()))
 
     def checked(pairs: DataFrame) -> DataFrame:
         pairs = common.stage(pairs.distinct(), "pairs")

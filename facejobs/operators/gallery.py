@@ -84,7 +84,7 @@ def enroll(gallery: Gallery, enroll_faces: DataFrame, now: datetime, params: Par
     embeddings = gallery.embeddings.select("person_id", "embedding_index", "embedding").unionByName(new)
     touched = new.groupBy("person_id").agg(F.count("*").cast("int").alias("n_added"))
     names = enroll_faces.groupBy("person_id").agg(F.max_by("name", F.struct("image_index", F.coalesce("face_index", F.lit(-1)))).alias("new_name"))
-    fresh = centroids(embeddings.join(touched, "person_id", "left_semi"))
+    fresh = centroids_at_scale(embeddings.join(touched, "person_id", "left_semi"))
     change = touched.join(names, "person_id").join(fresh.withColumnRenamed("centroid", "new_centroid"), "person_id", "left")
     old = gallery.members.select("person_id", "name", "created_at", "embedding_count", "centroid")
     is_new = F.col("n_added").isNotNull()

@@ -12,6 +12,7 @@ from facejobs.operators import gallery as G
 from facejobs.operators import motion as M
 from facejobs.operators import results as R
 from facejobs.operators.identify import filter_detections, identify
+from facejobs.params import Params
 from facejobs.sources import decode_payload, explode_frames, guest_file_names, validate_requests
 from facejobs.sources.stores import Gallery
 
@@ -215,6 +216,15 @@ def q_detect_motion(spark, sf_dir):
     return t.select("sequence_id", F.col("track_id").cast("int").alias("track_id"), "person_id", "name", "direction", F.round("confidence", 9).alias("confidence"))
 
 
+def q_detect_motion_linked(spark, sf_dir):
+    """Known people and linked guests of the detections, in frames of the same size. These vectors
+    are mostly unlike each other, so guests are linked from a similarity of 0.2 on."""
+    found = _identities(spark, sf_dir, keep_embedding=True)
+    frames = detections(spark, sf_dir).select("sequence_id", "frame_index", F.lit(480).alias("height"), F.lit(640).alias("width")).distinct()
+    tracks = M.detect_motion(frames, found, Params(cross_frame_similarity=0.2), trajectory=False)
+    return tracks.withColumn("confidence", F.round("confidence", 9))
+
+
 def q_link_unknowns(spark, sf_dir):
     found = M.link_unknowns(_identities(spark, sf_dir, keep_embedding=True))
     return found.select("sequence_id", "frame_index", "face_index", "link_no", "track_key")
@@ -253,6 +263,7 @@ def queries() -> dict:
         "motion_direction": q_motion_direction,
         "track_numbers": q_track_numbers,
         "detect_motion_known": q_detect_motion,
+        "detect_motion_linked": q_detect_motion_linked,
         "link_unknowns": q_link_unknowns,
     }
 

@@ -99,3 +99,29 @@ def test_mirror_swaps_sides(spark):
     for a, b in moves:
         mirror = lambda v: [640 - v[2], v[1], 640 - v[0], v[3]]
         assert model.direction(mirror(a), mirror(b), 640)[0] == swap[model.direction(a, b, 640)[0]]
+
+
+def test_linked_query_equals_the_model(spark):
+    """The query over the given tables against the rules restated in plain Python."""
+    from facejobs import queries
+
+    sf_dir = "/root/testdata/sf0.001"
+    got = {(r.sequence_id, r.person_id): (r.direction, r.confidence) for r in queries.queries()["detect_motion_linked"](spark, sf_dir).collect()}
+    sequences = {}
+    for r in queries._identities(spark, sf_dir, keep_embedding=True).collect():
+        sequences.setdefault(r.sequence_id, []).append(r)
+    want = {}
+    for name, rows in sequences.items():
+        rows.sort(key=lambda r: (r.frame_index, r.face_index))
+        guests = [r for r in rows if r.person_id == "unknown"]
+        numbers = model.link([(r.frame_index, r.face_index, r.embedding) for r in guests], 0.2)
+        tracks = {}
+        for r in rows:
+            key = r.person_id if r.person_id != "unknown" else f"unknown_{numbers[guests.index(r)]}"
+            tracks.setdefault(key, []).append(r)
+        for key, found in tracks.items():
+            if len(found) >= 2:
+                way, sure = model.direction(found[0].bbox, found[-1].bbox, 640)
+                want[name, key] = (way, round(min(sum(r.confidence for r in found) / len(found), sure), 9))
+    assert got.keys() == want.keys() and any(k.startswith("unknown_") for _, k in got)
+    assert all(got[k][0] == want[k][0] and abs(got[k][1] - want[k][1]) < 1e-8 for k in want)

@@ -10,8 +10,12 @@ puts shingles that are frequent in a sample last, which bears on speed only, nev
 found.
 
 Equal sets collapse first. Then each set is compared with the first of its fingerprint and of
-each of its shingles, and only sets that are not joined by this are compared pair by pair, so a
-large group of copies stays linear. Sets, and the shingles of prefixes, are told apart by 64-bit
+each of its shingles, and only sets that are not joined by this are paired with each other, so a
+large group of copies stays linear. Of these, pairs that cannot be similar are never made: a set's
+parity map has a bit for each residue of its hashes, set where an odd number of them fall. Two maps
+differ in no more bits than the sets differ in shingles, so too many differing bits rule a pair out,
+and no similar pair is lost. Sets of more than about 1,100 shingles fill the map; their pairs go on
+to the comparison of whole sets. Sets, and the shingles of prefixes, are told apart by 64-bit
 hashes; pairs are verified on 32 bits of each shingle's hash, which halves what is shuffled: two
 sets of 500 shingles share a false one with a chance of 6 in 100,000.
 """
@@ -32,12 +36,21 @@ WORDS = 5
 SIMILARITY = (4, 5)
 #: Documents looked at for frequent shingles, and how many of these are ordered last at most.
 LOOKED_AT, FREQUENT = 10_000, 1 << 16
+#: 64-bit words of a set's parity map.
+MAP_WORDS = 8
 
 
 def _set(text: str, words: int) -> np.ndarray:
     return np.unique(simhash.shingles(text, words))
 
 
+def parity(hashes: np.ndarray) -> np.ndarray:
+    """The parity map of a set of distinct hashes."""
+    bits = 64 * MAP_WORDS
+    odd = np.bincount((hashes % np.uint64(bits)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 def frequent(docs: DataFrame, text: str = "text", words: int = WORDS) -> np.ndarray:
     """Shingles that several documents of a sample share, rarest first."""
 
@@ -52,19 +65,20 @@ def frequent(docs: DataFrame, text: str = "text", words: int = WORDS) -> np.ndar
 
 
 def shingled(docs: DataFrame, last: np.ndarray, text: str = "text", words: int = WORDS, out: str = common.RESULT) -> DataFrame:
-    """Adds ``out``: the set's id, size, prefix and SimHash. A text without words is the empty set, id 0."""
+    """Adds ``out``: the set's id, size, prefix, SimHash and parity map. A text without words is the empty set, id 0."""
     over, under = SIMILARITY
     rank = np.argsort(last)
     ordered = last[rank]
 
-    @F.arrow_udf("struct<id:long,n:int,prefix:array<long>,fp:long>")
+    @F.arrow_udf("struct<id:long,n:int,prefix:array<long>,fp:long,map:array<long>>")
     def prefixes(column: pa.Array) -> pa.Array:
-        ids, sizes, firsts, prints = [], [], [], []
+        ids, sizes, firsts, prints, maps = [], [], [], [], []
         for x in common.texts(column):
             hashes = simhash.shingles(x, words)
             prints.append(simhash.print_of(hashes))
             hashes = np.unique(hashes)
             n = len(hashes)
+            maps.append(parity(hashes))
             ids.append(xxhash.xxh3_64_intdigest(hashes.tobytes()) if n else 0)
             if len(ordered) and n:
                 at = np.minimum(np.searchsorted(ordered, hashes), len(ordered) - 1)
@@ -72,7 +86,7 @@ def shingled(docs: DataFrame, last: np.ndarray, text: str = "text", words: int =
                 hashes = np.concatenate([hashes[~late], last[np.sort(rank[at[late]])]])
             sizes.append(n)
             firsts.append(hashes[: n - -(-over * n // under) + 1 if n else 0].view(np.int64))
-        return common.struct(id=pa.array(np.array(ids, np.uint64).view(np.int64)), n=pa.array(sizes, pa.int32()), prefix=pa.array(firsts, pa.list_(pa.int64())), fp=pa.array(np.array(prints, np.uint64).view(np.int64)))
+        return common.struct(id=pa.array(np.array(ids, np.uint64).view(np.int64)), n=pa.array(sizes, pa.int32()), prefix=pa.array(firsts, pa.list_(pa.int64())), fp=pa.array(np.array(prints, np.uint64).view(np.int64)), map=pa.array(maps, pa.list_(pa.int64())))
 
     return docs.withColumn(out, prefixes(F.col(text)))
 
@@ -89,6 +103,14 @@ def _may(a: str, b: str) -> Column:
     return _enough(F.least(left(a), left(b)), F.col(f"{a}.n"), F.col(f"{b}.n"))
 
 
+def _maps_allow(a: str, b: str) -> Column:
+    """Whether structs (n, map) differ in few enough bits for their sets to be similar."""
+    over, under = SIMILARITY
+    x, y = F.col(f"{a}.map"), F.col(f"{b}.map")
+    differ = sum((F.bit_count(x[k].bitwiseXOR(y[k])) for k in range(MAP_WORDS)), F.lit(0))
+    return differ * (over + under) <= (F.col(f"{a}.n") + F.col(f"{b}.n")) * (under - over)
+
+
 def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """Those of the (u, v) whose whole ``sets`` (id, shingles) are similar enough."""
     of = lambda name: sets.select(F.col("id").alias(name), F.col("shingles").alias(f"{name}_set"))
@@ -99,7 +121,7 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 def links(held: DataFrame, first_row: DataFrame, words: int = WORDS) -> DataFrame:
     """(u, v): ids of similar sets, enough of them to join all that similar pairs join.
 
-    ``held`` has a row per text: row, id, n, prefix, fp, text; ``first_row`` one per set: id, row.
+    ``held`` has a row per text: row, id, n, prefix, fp, map, text; ``first_row`` one per set: id, row.
     Texts are shingled again only for sets that meet another, so that whole sets are never stored
     for all; and where few do, their rows are broadcast and no text is shuffled.
     """
@@ -116,8 +138,8 @@ def links(held: DataFrame, first_row: DataFrame, words: int = WORDS) -> DataFram
         return common.stage(verified(pairs, sets), "similar")
 
     pair = lambda a, b: (F.least(a, b).alias("u"), F.greatest(a, b).alias("v"))
-    one = held.select("row", "id", "n", "prefix", "fp").join(common.sized(first_row.select("row")), "row", "left_semi")
-    prints = common.stage(one.select("id", "fp"), "prints")
+    one = held.select("row", "id", "n", "prefix", "fp", "map").join(common.sized(first_row.select("row")), "row", "left_semi")
+    prints = common.stage(one.select("id", "fp", "map"), "prints")
     first_of = common.stage(prints.groupBy("fp").agg(F.min("id").alias("first")), "first-of-print")
     same = prints.join(first_of, "fp").where(F.col("id") != F.col("first")).select(*pair("id", "first"))
     near = simhash.links(first_of.select("fp"))
@@ -134,9 +156,10 @@ def links(held: DataFrame, first_row: DataFrame, words: int = WORDS) -> DataFram
     roots = graph.components(found).select(F.col("node").alias("id"), F.col("root").alias("now"))
     rooted = shared.select("key", "x", F.col("x.id").alias("id")).join(roots, "id", "left").select("key", "x", F.coalesce("now", "id").alias("root"))
     mixed = rooted.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("key")
-    left = common.stage(rooted.join(mixed, "key", "left_semi"), "unjoined")
+    unjoined = rooted.join(mixed, "key", "left_semi").withColumn("id", F.col("x.id")).join(prints.select("id", "map"), "id")
+    left = common.stage(unjoined.select("key", F.struct("id", "x.n", "x.pos", "map").alias("x"), "root"), "unjoined")
     a, b = left.select("key", F.col("x").alias("a"), F.col("root").alias("ra")), left.select("key", F.col("x").alias("b"), F.col("root").alias("rb"))
-    rest = a.join(b, "key").where((F.col("ra") < F.col("rb")) & _may("a", "b")).select(*pair("a.id", "b.id"))
+    rest = a.join(b, "key").where((F.col("ra") < F.col("rb")) & _may("a", "b") & _maps_allow("a", "b")).select(*pair("a.id", "b.id"))
     return found.unionAll(checked(rest))
 
 

@@ -3,7 +3,9 @@
 import random
 
 import corpus_pipeline
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from facejobs.llm import common, near_copies
 
@@ -59,6 +61,23 @@ def test_order_of_shingles_does_not_matter(spark, texts, monkeypatch):
     assert {r.doc_id for r in near_copies.keep_one(docs).collect()} == kept(texts)
 
 
+def test_parity_maps_rule_out_no_similar_pair(spark):
+    rng = np.random.default_rng(4)
+    rows, similar = [], []
+    for n in (1, 5, 9, 60, 300, 1000, 4000):
+        for changed in (0, n // 10, n // 9, n // 5, n):
+            a = rng.integers(0, 1 << 63, n, dtype=np.uint64)
+            b = np.concatenate([a[changed:], rng.integers(0, 1 << 63, changed, dtype=np.uint64)])
+            similar.append(9 * (n - changed) >= 8 * n)
+            rows.append((len(rows), (n, near_copies.parity(a).tolist()), (n, near_copies.parity(b).tolist())))
+    side = "struct<n:int,map:array<long>>"
+    found = spark.createDataFrame(rows, f"k int, a {side}, b {side}").select("k", near_copies._maps_allow("a", "b").alias("ok")).where(F.col("ok")).collect()
+    allowed = {r.k for r in found}
+    assert {k for k, x in enumerate(similar) if x} <= allowed
+    unlike = {k for k, (_, a, b) in enumerate(rows) if a[0] == 300 and k % 5 == 4}
+    assert unlike and not unlike & allowed
+
+
 def test_hard_rows(spark, hard):
     out = near_copies.keep_one(hard)
     assert out.columns == hard.columns

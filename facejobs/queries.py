@@ -17,7 +17,6 @@ from facejobs.sources import decode_payload, explode_frames, guest_file_names, v
 from facejobs.sources.stores import Gallery
 
 NOW = datetime(2026, 1, 1)
-PER_LABEL = 5
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,14 +27,19 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def member_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The vectors of the five lowest vec_id of each label."""
+    """All vectors, those of a label being a person's."""
     rank = F.expr("row_number() over (partition by label order by vec_id)")
-    rows = _table(spark, sf_dir, "embeddings").withColumn("k", rank).where(F.col("k") <= PER_LABEL)
+    rows = _table(spark, sf_dir, "embeddings").withColumn("k", rank)
     return rows.select(F.concat(F.lit("p"), F.col("label").cast("string")).alias("person_id"), (F.col("k") - 1).cast("int").alias("embedding_index"), F.col("embedding").cast("array<float>").alias("embedding"), "vec_id", "label")
 
 
-def members(spark: SparkSession, sf_dir: str) -> DataFrame:
-    vectors = member_embeddings(spark, sf_dir)
+def held_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is in the gallery before enrolment: every other vector, none of p0; the rest is enrolled."""
+    return member_embeddings(spark, sf_dir).where("embedding_index % 2 = 0 AND label > 0").withColumn("embedding_index", F.expr("cast(embedding_index div 2 as int)"))
+
+
+def members(spark: SparkSession, sf_dir: str, embeddings=member_embeddings) -> DataFrame:
+    vectors = embeddings(spark, sf_dir)
     who = vectors.groupBy("person_id", "label").agg(F.count("*").cast("int").alias("embedding_count"))
     return who.join(G.centroids(vectors), "person_id").select(
         "person_id", F.concat(F.lit("Person "), F.col("label").cast("string")).alias("name"), F.timestamp_seconds(F.col("label")).alias("created_at"), "embedding_count", "centroid"
@@ -53,19 +57,20 @@ def detections(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def enroll_faces(spark: SparkSession, sf_dir: str, label: str = "label >= 0") -> DataFrame:
-    faces = detections(spark, sf_dir).where(label)
-    return faces.select(
+def enroll_faces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return detections(spark, sf_dir).select(
         F.concat(F.lit("p"), F.col("label").cast("string")).alias("person_id"), F.concat(F.lit("New "), F.col("label").cast("string")).alias("name"),
         F.expr("cast(vec_id div 10 as int)").alias("image_index"), F.lit(True).alias("decode_ok"), F.col("vec_id").cast("int").alias("face_index"), "bbox", "det_score", "embedding", "vec_id",
     )
 
 
 def _enroll(spark: SparkSession, sf_dir: str) -> tuple[Gallery, DataFrame]:
-    old = Gallery(members(spark, sf_dir).where("person_id <> 'p0'"), member_embeddings(spark, sf_dir).where("label > 0").select("person_id", "embedding_index", "embedding"))
-    taken = member_embeddings(spark, sf_dir).select("vec_id")
-    new = enroll_faces(spark, sf_dir, "label <= 5").join(taken, "vec_id", "left_anti").drop("vec_id")
-    return G.enroll(old, new, NOW)
+    old = Gallery(members(spark, sf_dir, held_embeddings), held_embeddings(spark, sf_dir).select("person_id", "embedding_index", "embedding"))
+    return G.enroll(old, _new_faces(spark, sf_dir).drop("vec_id"), NOW)
+
+
+def _new_faces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return enroll_faces(spark, sf_dir).join(held_embeddings(spark, sf_dir).select("vec_id"), "vec_id", "left_anti")
 
 
 def _identities(spark: SparkSession, sf_dir: str, **how) -> DataFrame:
@@ -85,8 +90,9 @@ def _tracks_input(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFram
 
 
 def _ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Ids asked for: those of the lowest labels' and of nobody, made of the embeddings table."""
-    return _table(spark, sf_dir, "embeddings").where("label % 3 = 0").select(F.when(F.col("vec_id") % 7 == 0, F.concat(F.lit("nobody"), F.col("label").cast("string"))).otherwise(F.concat(F.lit("p"), F.col("label").cast("string"))).alias("person_id")).distinct()
+    """Ids asked for: some people's, and for each other vector one that nobody has."""
+    known, nobody = F.concat(F.lit("p"), F.col("label").cast("string")), F.concat(F.lit("nobody"), F.col("vec_id").cast("string"))
+    return _table(spark, sf_dir, "embeddings").select(F.when(F.col("label") % 3 == 0, known).otherwise(nobody).alias("person_id")).distinct()
 
 
 # --- queries --------------------------------------------------------------------------------
@@ -147,10 +153,8 @@ def q_largest_face(spark, sf_dir):
 
 
 def q_embedding_index(spark, sf_dir):
-    taken = member_embeddings(spark, sf_dir).select("vec_id")
-    new = enroll_faces(spark, sf_dir, "label <= 5").join(taken, "vec_id", "left_anti")
-    best = G.largest_face(filter_detections(new))
-    return G.assign_embedding_index(best, members(spark, sf_dir).where("person_id <> 'p0'")).select("person_id", "image_index", "embedding_index")
+    best = G.largest_face(filter_detections(_new_faces(spark, sf_dir)))
+    return G.assign_embedding_index(best, members(spark, sf_dir, held_embeddings)).select("person_id", "image_index", "embedding_index")
 
 
 def q_enroll_members(spark, sf_dir):
@@ -270,13 +274,15 @@ def queries() -> dict:
 
 # --- SQL ------------------------------------------------------------------------------------
 
-_GALLERY = f"""
-me AS (SELECT 'p' || label AS person_id, label, vec_id, embedding, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS k FROM embeddings QUALIFY k <= {PER_LABEL}),
+_MEMBERS = "me AS (SELECT 'p' || label AS person_id, label, vec_id, embedding FROM embeddings),"
+_HELD = "me AS (SELECT 'p' || label AS person_id, label, vec_id, embedding, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS k FROM embeddings QUALIFY k % 2 = 1 AND label > 0),"
+_MEANS = """
 mean AS (SELECT person_id, label, pos, avg(x::DOUBLE) AS m, count(*) AS n FROM (SELECT person_id, label, unnest(embedding) AS x, generate_subscripts(embedding, 1) - 1 AS pos FROM me) GROUP BY ALL),
 norm AS (SELECT person_id, sqrt(sum(m * m)) AS l FROM mean GROUP BY 1),
 cent AS (SELECT person_id, label, pos, m / l AS x, n FROM mean JOIN norm USING (person_id)),
 mem AS (SELECT person_id, 'Person ' || label AS name, label, max(n) AS embedding_count, list(x ORDER BY pos) AS centroid FROM cent GROUP BY ALL)
 """
+_GALLERY = _MEMBERS + _MEANS
 _DET = """
 det AS (SELECT vec_id, label, embedding, (vec_id // 50)::VARCHAR AS sequence_id, (vec_id % 50) // 2 AS frame_index, vec_id % 2 AS face_index,
   ((vec_id * 37) % 400)::DOUBLE AS x1, ((vec_id * 53) % 300)::DOUBLE AS y1, (60 + (vec_id * 17) % 80)::DOUBLE AS w, (80 + (vec_id * 29) % 90)::DOUBLE AS h,
@@ -290,13 +296,13 @@ ident AS (SELECT det.*, CASE WHEN s >= 0.4::DOUBLE THEN person_id ELSE 'unknown'
 """
 _KEPT = f"WITH {_GALLERY}, {_DET}, {_BEST}, kept AS (SELECT * FROM ident WHERE det_score >= 0.5::DOUBLE)"
 _FACES = f"WITH {_DET}, f AS (SELECT 'p' || label AS person_id, label, vec_id // 10 AS image_index, vec_id, w * h AS a, det_score, embedding FROM det)"
-_IDS = "ids AS (SELECT DISTINCT CASE WHEN vec_id % 7 = 0 THEN 'nobody' || label ELSE 'p' || label END AS person_id FROM embeddings WHERE label % 3 = 0)"
+_IDS = "ids AS (SELECT DISTINCT CASE WHEN label % 3 = 0 THEN 'p' || label ELSE 'nobody' || vec_id END AS person_id FROM embeddings)"
 _NEW = f"""
-WITH {_GALLERY}, {_DET},
-f AS (SELECT 'p' || label AS person_id, label, (vec_id // 10)::INT AS image_index, vec_id, w * h AS a, det_score, embedding FROM det WHERE label <= 5 AND vec_id NOT IN (SELECT vec_id FROM me)),
+WITH {_HELD}{_MEANS}, {_DET},
+f AS (SELECT 'p' || label AS person_id, label, (vec_id // 10)::INT AS image_index, vec_id, w * h AS a, det_score, embedding FROM det WHERE vec_id NOT IN (SELECT vec_id FROM me)),
 fresh AS (SELECT * FROM f WHERE det_score >= 0.5::DOUBLE QUALIFY row_number() OVER (PARTITION BY person_id, image_index ORDER BY a DESC, vec_id) = 1),
 added AS (SELECT person_id, label, count(*) AS n_added FROM fresh GROUP BY ALL),
-old AS (SELECT * FROM mem WHERE person_id <> 'p0'),
+old AS (SELECT * FROM mem),
 failed AS (SELECT person_id, count(*) AS n_failed FROM (SELECT DISTINCT person_id, image_index FROM f EXCEPT SELECT person_id, image_index FROM fresh) GROUP BY 1)
 """
 _TRACKS = """
@@ -330,7 +336,7 @@ def oracle_sql() -> dict[str, str]:
         "largest_face": f"{_FACES} SELECT person_id, image_index::INT AS image_index, vec_id FROM f WHERE det_score >= 0.5::DOUBLE QUALIFY row_number() OVER (PARTITION BY person_id, image_index ORDER BY a DESC, vec_id) = 1",
         "embedding_index": f"{_NEW} SELECT person_id, image_index, (coalesce(embedding_count, 0) + row_number() OVER (PARTITION BY person_id ORDER BY image_index) - 1)::INT AS embedding_index FROM fresh LEFT JOIN old USING (person_id)",
         "enroll_members": f"""{_NEW},
-            allv AS (SELECT person_id, embedding FROM me WHERE label > 0 UNION ALL SELECT person_id, embedding FROM fresh),
+            allv AS (SELECT person_id, embedding FROM me UNION ALL SELECT person_id, embedding FROM fresh),
             m2 AS (SELECT person_id, pos, avg(x::DOUBLE) AS m FROM (SELECT person_id, unnest(embedding) AS x, generate_subscripts(embedding, 1) - 1 AS pos FROM allv) GROUP BY ALL),
             n2 AS (SELECT person_id, sqrt(sum(m * m)) AS l, max(pos) AS top FROM m2 GROUP BY 1)
             SELECT person_id, CASE WHEN n_added IS NULL THEN old.name ELSE 'New ' || added.label END AS name,

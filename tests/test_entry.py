@@ -12,7 +12,7 @@ def test_names_and_columns_of_oracles(spark):
 def test_entry_runs(spark):
     rows = importlib.import_module("__spark_entry__").entry(spark).collect()
     known = [r for r in rows if not r.guest]
-    assert len(rows) == 500 and len(known) == 38
+    assert len(rows) == 500 and len(known) == 9
 
 
 def test_entry_without_training_data_package(monkeypatch):

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from facejobs.llm import huffman, licences, media, packing, quality_fm, quality_rules, sentencepieces, simhash, token_counts, toxicity
+from facejobs.llm import audit, bond, huffman, licences, media, packing, quality_fm, quality_rules, sentencepieces, simhash, token_counts, toxicity, warc
 
 
 def queries() -> dict:
@@ -17,6 +17,9 @@ def queries() -> dict:
         "op8_token_files": huffman.query,
         "op9_best_fit_packing": packing.query,
         "op10_media_columns": media.query,
+        "op11_hard_negatives": bond.query,
+        "op12_filter_audit": audit.query,
+        "op13_warc": warc.query,
     }
 
 
@@ -24,4 +27,7 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op1_quality_rules": quality_rules.SQL,
         "op2_license_scans": licences.SQL,
+        "op11_hard_negatives": bond.SQL,
+        "op12_filter_audit": audit.SQL,
+        "op13_warc": warc.SQL,
     }

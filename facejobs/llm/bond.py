@@ -199,8 +199,8 @@ def hard_negatives(rows: DataFrame, vector: str = "embedding", label: str = "lab
     Rows with a null id, label, vector or component, or one that is not finite, take no part; so
     do others with rows of another vector length only. Rows that repeat an id are rows of their
     own, but an id is an anchor once (its smallest label, then vector, counts) and never its own
-    positive. Scores come in descending order, of equals the smaller id first; what does not fit
-    a long is clipped to it. No anchors, positives or rows in a window give no rows; other
+    positive. Scores come in descending order, of equals the smaller id first; a score that does
+    not fit a long is clipped to it before windows and ranks. No anchors, positives or rows in a window give no rows; other
     columns are left out whatever their names.
     """
     held = common.stage(usable(rows, vector, label, row_id), "vectors")

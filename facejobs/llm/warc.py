@@ -129,13 +129,14 @@ def parse(stored: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
 
     def more() -> bool:
         nonlocal at, unzip
-        if at >= len(stored) and not unzip.unconsumed_tail:
+        piece = unzip.unconsumed_tail or stored[at : at + (1 << 18)]
+        if not piece:
             return False
-        piece, at = (unzip.unconsumed_tail, at) if unzip.unconsumed_tail else (stored[at : at + (1 << 18)], at + (1 << 18))
+        at += 0 if unzip.unconsumed_tail else len(piece)
         held.extend(unzip.decompress(piece, 1 << 20))
         if unzip.eof:  # the next member begins in what is left over
             at -= len(unzip.unused_data)
-            at, unzip = min(at, len(stored)), zlib.decompressobj(31)
+            unzip = zlib.decompressobj(31)
         return True
 
     while True:

@@ -4,49 +4,42 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from facejobs.functions import classify_direction, geometry, is_guest
+from facejobs.operators.linking import linked
 from facejobs.params import DEFAULTS, Params
 
 
-def link_unknowns(identities: DataFrame, params: Params = DEFAULTS) -> DataFrame:
-    """Guests' rows with ``link_no`` and ``track_key`` ``unknown_<link_no>``; known rows are left out.
+def link_unknowns(identities: DataFrame, params: Params = DEFAULTS, laid_out: bool = False) -> DataFrame:
+    """Guests' rows with ``link_no`` and ``track_key`` ``unknown_<link_no>``, without their
+    embeddings; known rows are left out.
 
     In a sequence, by frame and then detector order, a guest joins the first track, oldest first,
     whose last face is similar enough, or else opens one. Two faces of a frame may join one
-    track. Numbers count all tracks, also those of one face. Order matters, so a sequence is one
-    group; only guests' rows and the columns needed go there.
+    track. Numbers count all tracks, also those of one face. A guest without a usable vector
+    opens a track of its own, only vectors of one length are compared, null keys order first and
+    a null sequence is one like any other, and rows that repeat a key are rows of their own, in
+    the order of a hash.
+
+    Order matters, so a sequence lies in one partition, sorted; it is read batch by batch, and
+    only its tracks' last vectors are held. ``laid_out`` says that rows are partitioned by
+    sequence already.
     """
     least = params.cross_frame_similarity
-
-    def link(pdf):
-        import numpy as np
-
-        pdf = pdf.sort_values(["frame_index", "face_index"], kind="stable")
-        faces = np.stack(pdf["embedding"].to_numpy()).astype(np.float64)
-        last, n, numbers = np.empty((16, faces.shape[1])), 0, []
-        for face in faces:
-            fits = last[:n] @ face >= least
-            k = int(fits.argmax()) if fits.any() else n
-            if k == n:
-                n += 1
-                if n > len(last):
-                    last = np.concatenate([last, np.empty_like(last)])
-            last[k] = face
-            numbers.append(k)
-        return pdf[["sequence_id", "frame_index", "face_index"]].assign(link_no=np.array(numbers, np.int32))
-
     guests = identities.where(is_guest("person_id"))
-    numbered = guests.select("sequence_id", "frame_index", "face_index", "embedding").groupBy("sequence_id").applyInPandas(link, "sequence_id string, frame_index int, face_index int, link_no int")
-    linked = guests.drop("embedding").join(numbered, ["sequence_id", "frame_index", "face_index"])
-    return linked.withColumn("track_key", F.concat(F.lit("unknown_"), F.col("link_no").cast("string")))
+    guests = guests if laid_out else guests.repartition("sequence_id")
+    ordered = guests.sortWithinPartitions("sequence_id", "frame_index", "face_index", F.xxhash64("embedding", "bbox"))
+    schema = StructType([*guests.drop("embedding").schema, StructField("link_no", IntegerType())])
+    found = ordered.mapInArrow(lambda batches: linked(batches, least), schema)
+    return found.withColumn("track_key", F.concat(F.lit("unknown_"), F.col("link_no").cast("string")))
 
 
-def entries_of(identities: DataFrame, params: Params = DEFAULTS, link: bool = True) -> DataFrame:
+def entries_of(identities: DataFrame, params: Params = DEFAULTS, link: bool = True, laid_out: bool = False) -> DataFrame:
     """Track entries: known faces under their person_id, guests under their link."""
     columns = ["sequence_id", "frame_index", "face_index", "track_key", "link_no", "name", "confidence", "bbox"]
     known = identities.where(~is_guest("person_id")).withColumn("track_key", F.col("person_id")).withColumn("link_no", F.lit(None).cast("int"))
-    return known.select(*columns).unionByName(link_unknowns(identities, params).select(*columns)) if link else known.select(*columns)
+    return known.select(*columns).unionByName(link_unknowns(identities, params, laid_out).select(*columns)) if link else known.select(*columns)
 
 
 def track_summary(entries: DataFrame, frames: DataFrame, trajectory: bool = True) -> DataFrame:
@@ -80,14 +73,14 @@ def number_tracks(tracks: DataFrame) -> DataFrame:
     return tracks.withColumn("track_id", F.row_number().over(order) - 1)
 
 
-def detect_motion(frames: DataFrame, identities: DataFrame, params: Params = DEFAULTS, link: bool = True, trajectory: bool = True) -> DataFrame:
+def detect_motion(frames: DataFrame, identities: DataFrame, params: Params = DEFAULTS, link: bool = True, trajectory: bool = True, laid_out: bool = False) -> DataFrame:
     """Tracks: sequence_id, track_id, person_id, name, direction, confidence, trajectory.
 
     ``identities`` carry embeddings if guests are to be linked. Sequences of fewer than two
     frames have no motion; frames that could not be read count and hold no faces.
     """
     long_enough = frames.groupBy("sequence_id").agg(F.count("*").alias("n")).where("n >= 2").select("sequence_id")
-    entries = entries_of(identities, params, link).join(long_enough, "sequence_id", "left_semi")
+    entries = entries_of(identities, params, link, laid_out).join(long_enough, "sequence_id", "left_semi")
     tracks = number_tracks(motion_direction(track_summary(entries, frames, trajectory), params))
     return tracks.select("sequence_id", "track_id", F.col("track_key").alias("person_id"), "name", "direction", "confidence", *(["trajectory"] if trajectory else []))
 

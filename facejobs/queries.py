@@ -226,7 +226,7 @@ def q_detect_motion_linked(spark, sf_dir):
     found = _identities(spark, sf_dir, keep_embedding=True)
     frames = detections(spark, sf_dir).select("sequence_id", "frame_index", F.lit(480).alias("height"), F.lit(640).alias("width")).distinct()
     tracks = M.detect_motion(frames, found, Params(cross_frame_similarity=0.2), trajectory=False)
-    return tracks.withColumn("confidence", F.round("confidence", 9))
+    return tracks.withColumns({"track_id": F.col("track_id").cast("int"), "confidence": F.round("confidence", 9)})
 
 
 def q_link_unknowns(spark, sf_dir):
@@ -294,7 +294,7 @@ best AS (SELECT vec_id, person_id, name, s FROM score QUALIFY row_number() OVER
 ident AS (SELECT det.*, CASE WHEN s >= 0.4::DOUBLE THEN person_id ELSE 'unknown' END AS person_id, CASE WHEN s >= 0.4::DOUBLE THEN name ELSE 'Guest' END AS name,
   least(1.0::DOUBLE, greatest(0.0::DOUBLE, s)) AS confidence FROM det JOIN best USING (vec_id))
 """
-_KEPT = f"WITH {_GALLERY}, {_DET}, {_BEST}, kept AS (SELECT * FROM ident WHERE det_score >= 0.5::DOUBLE)"
+_KEPT = f"WITH RECURSIVE {_GALLERY}, {_DET}, {_BEST}, kept AS (SELECT * FROM ident WHERE det_score >= 0.5::DOUBLE)"
 _FACES = f"WITH {_DET}, f AS (SELECT 'p' || label AS person_id, label, vec_id // 10 AS image_index, vec_id, w * h AS a, det_score, embedding FROM det)"
 _IDS = "ids AS (SELECT DISTINCT CASE WHEN label % 3 = 0 THEN 'p' || label ELSE 'nobody' || vec_id END AS person_id FROM embeddings)"
 _NEW = f"""
@@ -305,22 +305,44 @@ added AS (SELECT person_id, label, count(*) AS n_added FROM fresh GROUP BY ALL),
 old AS (SELECT * FROM mem),
 failed AS (SELECT person_id, count(*) AS n_failed FROM (SELECT DISTINCT person_id, image_index FROM f EXCEPT SELECT person_id, image_index FROM fresh) GROUP BY 1)
 """
-_TRACKS = """
+_DIRECTION = """mv AS (SELECT *, abs(last_cx - first_cx) / 640 AS side, (a1 - a0) / ((a0 + a1) / 2) AS depth FROM tr),
+dir AS (SELECT *, side >= 0.05::DOUBLE AND (abs(depth) < 0.15::DOUBLE OR side > abs(depth)) AS is_side, abs(depth) >= 0.15::DOUBLE AS is_depth FROM mv),
+out AS (SELECT *, CASE WHEN is_side THEN CASE WHEN last_cx > first_cx THEN 'left-to-right' ELSE 'right-to-left' END WHEN is_depth THEN CASE WHEN depth > 0 THEN 'towards-camera' ELSE 'away-from-camera' END ELSE 'stationary' END AS direction,
+  least(mean_confidence, CASE WHEN is_side THEN least(1.0::DOUBLE, side / 0.05::DOUBLE * 0.5::DOUBLE) WHEN is_depth THEN least(1.0::DOUBLE, abs(depth)) ELSE greatest(0.0::DOUBLE, 1 - greatest(side / 0.05::DOUBLE, abs(depth) / 0.15::DOUBLE)) END) AS confidence,"""
+_TRACKS = f"""
 WITH e AS (SELECT CAST(ts AS DATE)::VARCHAR AS sequence_id, row_number() OVER (PARTITION BY CAST(ts AS DATE) ORDER BY ts, event_id) - 1 AS frame_index, 'u' || user_id AS person_id, 'User ' || user_id AS name,
   value::DOUBLE AS x1, (80 + (event_id * 7) % 13)::DOUBLE AS w, (40 + event_id % 60)::DOUBLE / 100 AS confidence FROM events),
 tr AS (SELECT sequence_id, person_id, count(*) AS n_entries, min_by(name, frame_index) AS name, avg(confidence) AS mean_confidence, min(frame_index) AS first_frame,
   min_by((x1 + (x1 + w)) / 2, frame_index) AS first_cx, max_by((x1 + (x1 + w)) / 2, frame_index) AS last_cx, min_by(((x1 + w) - x1) * w, frame_index) AS a0, max_by(((x1 + w) - x1) * w, frame_index) AS a1,
   sum((x1 + (x1 + w)) / 2) AS sum_cx FROM e GROUP BY ALL HAVING count(*) >= 2),
-mv AS (SELECT *, abs(last_cx - first_cx) / 640 AS side, (a1 - a0) / ((a0 + a1) / 2) AS depth FROM tr),
-dir AS (SELECT *, side >= 0.05::DOUBLE AND (abs(depth) < 0.15::DOUBLE OR side > abs(depth)) AS is_side, abs(depth) >= 0.15::DOUBLE AS is_depth FROM mv),
-out AS (SELECT *, CASE WHEN is_side THEN CASE WHEN last_cx > first_cx THEN 'left-to-right' ELSE 'right-to-left' END WHEN is_depth THEN CASE WHEN depth > 0 THEN 'towards-camera' ELSE 'away-from-camera' END ELSE 'stationary' END AS direction,
-  least(mean_confidence, CASE WHEN is_side THEN least(1.0::DOUBLE, side / 0.05::DOUBLE * 0.5::DOUBLE) WHEN is_depth THEN least(1.0::DOUBLE, abs(depth)) ELSE greatest(0.0::DOUBLE, 1 - greatest(side / 0.05::DOUBLE, abs(depth) / 0.15::DOUBLE)) END) AS confidence,
+{_DIRECTION}
   row_number() OVER (PARTITION BY sequence_id ORDER BY first_frame) - 1 AS track_id FROM dir)
 """
+#: Tracks of guests by a recursive walk: one guest of every sequence a step, the tracks' last vectors in a list.
+_LINK = """
+guest AS (SELECT sequence_id, frame_index, face_index, embedding::DOUBLE[] AS e, row_number() OVER (PARTITION BY sequence_id ORDER BY frame_index, face_index) AS k FROM kept WHERE person_id = 'unknown'),
+walk AS (
+  SELECT sequence_id, k, frame_index, face_index, 0 AS link_no, [e] AS last FROM guest WHERE k = 1
+  UNION ALL
+  SELECT sequence_id, k, frame_index, face_index, link_no, list_concat(last[:link_no], [e], last[link_no + 2:]) FROM (
+    SELECT w.sequence_id, g.k, g.frame_index, g.face_index, g.e, w.last,
+      (coalesce(nullif(list_position(list_transform(w.last, lambda v: list_dot_product(v, g.e) >= {least}::DOUBLE), true), 0), len(w.last) + 1) - 1)::INT AS link_no
+    FROM walk w JOIN guest g ON g.sequence_id = w.sequence_id AND g.k = w.k + 1))
+"""
 _IDENTIFY = f"WITH {_GALLERY}, {_DET}, {_BEST} SELECT vec_id, sequence_id, frame_index::INT AS frame_index, face_index::INT AS face_index, person_id, name, round(confidence, 6) AS confidence FROM ident"
 _CENTROIDS = f"WITH {_GALLERY} SELECT person_id, pos::INT AS pos, round(x, 6) AS x FROM cent"
 
 
+def _linked_sql(least: float) -> str:
+    return f"""{_KEPT}, {_LINK.format(least=least)},
+      entry AS (SELECT k.sequence_id, k.frame_index, k.face_index, k.confidence, k.name, k.x1, k.w, k.h, link_no, coalesce('unknown_' || link_no, k.person_id) AS key FROM kept k LEFT JOIN walk USING (sequence_id, frame_index, face_index)),
+      tr AS (SELECT sequence_id, key AS person_id, min(link_no) AS link_no, min(frame_index * 2 + face_index) AS first_at, min_by(name, frame_index * 2 + face_index) AS name, avg(confidence) AS mean_confidence,
+        min_by(x1 + w / 2, frame_index * 2 + face_index) AS first_cx, max_by(x1 + w / 2, frame_index * 2 + face_index) AS last_cx, min_by(w * h, frame_index * 2 + face_index) AS a0, max_by(w * h, frame_index * 2 + face_index) AS a1
+        FROM entry GROUP BY ALL HAVING count(*) >= 2),
+      {_DIRECTION} 0 AS nothing FROM dir)
+      SELECT sequence_id, (row_number() OVER (PARTITION BY sequence_id ORDER BY link_no IS NOT NULL, link_no, first_at) - 1)::INT AS track_id, person_id, name, direction, round(confidence, 9) AS confidence FROM out"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "identify": _IDENTIFY,
@@ -368,6 +390,8 @@ def oracle_sql() -> dict[str, str]:
         "track_summary": f"""{_TRACKS} SELECT sequence_id, person_id, n_entries, name, round(mean_confidence, 6) AS mean_confidence, first_cx, last_cx, n_entries::INT AS n_points, sum_cx, 480 AS height, 640 AS width FROM tr""",
         "motion_direction": f"{_TRACKS} SELECT sequence_id, person_id, direction, round(confidence, 9) AS confidence FROM out",
         "track_numbers": f"{_TRACKS} SELECT sequence_id, person_id, track_id::INT AS track_id FROM out",
+        "link_unknowns": f"{_KEPT}, {_LINK.format(least=0.5)} SELECT sequence_id, frame_index::INT AS frame_index, face_index::INT AS face_index, link_no, 'unknown_' || link_no AS track_key FROM walk",
+        "detect_motion_linked": _linked_sql(0.2),
         "detect_motion_known": f"{_TRACKS} SELECT sequence_id, track_id::INT AS track_id, person_id, name, direction, round(confidence, 9) AS confidence FROM out",
     }
 

@@ -102,7 +102,7 @@ def test_mirror_swaps_sides(spark):
 
 
 def test_linked_query_equals_the_model(spark):
-    """The query over the given tables against the rules restated in plain Python."""
+    """The query over the given tables against the rules restated in plain Python, beside its SQL form."""
     from facejobs import queries
 
     sf_dir = "/root/testdata/sf0.001"

@@ -15,6 +15,12 @@ def dot(a: Column | str, b: Column | str) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 
 
+def usable_vector(c: Column | str) -> Column:
+    """Whether a vector can be compared: not null or empty, and only finite numbers in it."""
+    v = F.col(c) if isinstance(c, str) else c
+    return F.coalesce((F.size(v) > 0) & F.forall(v, lambda x: F.coalesce(F.abs(x) < float("inf"), F.lit(False))), F.lit(False))
+
+
 def geometry(bbox: Column | str) -> Column:
     """Struct cx, cy, width, height of a box [x1, y1, x2, y2]."""
     b = F.col(bbox) if isinstance(bbox, str) else bbox

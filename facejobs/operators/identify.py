@@ -1,9 +1,9 @@
 """Identification: each face's most similar member.
 
 Three plans give the same rows. ``matrix`` takes one matrix product per Arrow batch, with the
-gallery in every task; ``blocks`` takes blocks of the gallery against groups of faces when it is
-too large for that; ``columns`` compares by column functions and serves as their cross-check. A
-face's best depends on its vector alone, so the plans join by nothing else.
+gallery in every task; ``blocks`` leaves a gallery that is too large for that in the shared
+storage, as blocks under a pruning index; ``columns`` compares by column functions and serves as
+their cross-check. In all of them faces stay where they lie.
 """
 
 from __future__ import annotations
@@ -14,13 +14,13 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from facejobs.functions import dot
+from facejobs.functions import dot, usable_vector
+from facejobs.operators.gallery_index import BEST, GalleryIndex, build_index, identify_by_index
 from facejobs.params import DEFAULTS, Params
 from facejobs.schemas import GUEST, UNKNOWN
+from facejobs.sources.shared import new_path
 
-_BEST = "struct<minus: double, at: long, person_id: string, name: string>"
-#: Faces that meet one block of the gallery in one task.
-FACES = 20_000
+_BEST = f"struct<{BEST}>"
 
 
 def filter_detections(detections: DataFrame, params: Params = DEFAULTS) -> DataFrame:
@@ -30,9 +30,10 @@ def filter_detections(detections: DataFrame, params: Params = DEFAULTS) -> DataF
 
 def usable(members: DataFrame) -> DataFrame:
     """Members that can be matched: person_id, name, centroid, and ``at``, which with the id is
-    the gallery's order (microseconds of created_at; null first)."""
+    the gallery's order (microseconds of created_at; null first). A centroid that is null, empty
+    or holds anything but finite numbers matches nobody."""
     at = F.coalesce(F.unix_micros(F.col("created_at").cast("timestamp")), F.lit(-(1 << 63)))
-    return members.where("centroid IS NOT NULL").select("person_id", "name", at.alias("at"), F.col("centroid").cast("array<double>").alias("centroid"))
+    return members.where(usable_vector("centroid")).select("person_id", "name", at.alias("at"), F.col("centroid").cast("array<double>").alias("centroid"))
 
 
 def _identity(best: Column, params: Params) -> list[Column]:
@@ -49,34 +50,38 @@ def _columns(faces: DataFrame, gallery: DataFrame) -> DataFrame:
     """One row holds the gallery, so joining it multiplies nothing."""
     held = gallery.groupBy().agg(F.collect_list(F.struct("at", "person_id", "name", "centroid")).alias("_gallery"))
     scores = F.transform("_gallery", lambda m: F.struct((-dot(F.col("embedding"), m["centroid"])).alias("minus"), m["at"].alias("at"), m["person_id"].alias("person_id"), m["name"].alias("name")))
-    best = F.array_min(F.filter(scores, lambda s: ~F.isnan(s["minus"]) & s["minus"].isNotNull()))
+    best = F.array_min(F.filter(scores, lambda s: F.abs(s["minus"]) < float("inf")))
     return faces.join(F.broadcast(held), F.lit(True), "left").withColumn("_best", best.cast(_BEST)).drop("_gallery")
 
 
 def _arg_max(faces: np.ndarray, centroids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Column and score of each row's best product; NaN never wins, the first of equals does."""
-    scores = faces @ centroids.T
-    scores[np.isnan(scores)] = -np.inf
+    """Column and score of each row's best product; only finite ones win, the first of equals does."""
+    with np.errstate(invalid="ignore", over="ignore"):
+        scores = faces @ centroids.T
+    scores[~np.isfinite(scores)] = -np.inf
     k = scores.argmax(axis=1)
     return k, scores[np.arange(len(faces)), k]
 
 
-def _matrix(faces: DataFrame, gallery: DataFrame, dimension: int) -> DataFrame:
-    rows = gallery.where(F.size("centroid") == dimension).orderBy("at", "person_id").collect()  # its size has been checked
+def _matrix(faces: DataFrame, gallery: DataFrame) -> DataFrame:
+    rows = gallery.orderBy("at", "person_id").collect()  # its size has been checked
     if not rows:
         return faces.withColumn("_best", F.lit(None).cast(_BEST))
-    centroids = np.array([r["centroid"] for r in rows], np.float64)
+    places: dict[int, list[int]] = {}
+    for k, r in enumerate(rows):
+        places.setdefault(len(r["centroid"]), []).append(k)
+    matrices = {size: (np.array(k), np.array([rows[j]["centroid"] for j in k], np.float64)) for size, k in places.items()}
     ids, names, at = ([r[k] for r in rows] for k in ("person_id", "name", "at"))
 
     @F.arrow_udf("minus double, at long, person_id string, name string")
     def best(column: pa.Array) -> pa.Array:
-        # vectors that are null or of another length match nobody
-        fits = pc.equal(pc.fill_null(pc.list_value_length(column), -1), dimension)
-        vectors = column.filter(fits).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dimension)
+        lengths = pc.fill_null(pc.list_value_length(column), -1).to_numpy(zero_copy_only=False)
         won, place = np.full(len(column), -np.inf), np.zeros(len(column), int)
-        if len(vectors):
-            where = fits.to_numpy(zero_copy_only=False)
-            place[where], won[where] = _arg_max(vectors, centroids)
+        for size, (of, centroids) in matrices.items():  # vectors that are null or of another length match nobody
+            if len(where := np.flatnonzero(lengths == size)):
+                vectors = column.take(pa.array(where)).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, size)
+                k, won[where] = _arg_max(vectors, centroids)
+                place[where] = of[k]
         lost = ~np.isfinite(won)
         pick = lambda values, kind: pa.array([None if gone else values[i] for i, gone in zip(place, lost)], kind)
         return pa.StructArray.from_arrays([pa.array(-won, mask=lost), pick(at, pa.int64()), pick(ids, pa.string()), pick(names, pa.string())], names=["minus", "at", "person_id", "name"])
@@ -84,61 +89,30 @@ def _matrix(faces: DataFrame, gallery: DataFrame, dimension: int) -> DataFrame:
     return faces.withColumn("_best", best(F.col("embedding").cast("array<double>")))
 
 
-def _blocks(faces: DataFrame, gallery: DataFrame, dimension: int, block_members: int, n_members: int) -> DataFrame:
-    """Every group of at most about FACES faces meets every block of members; only the best of a
-    block is kept, and joined by a 128-bit hash of the vector.
-
-    Embeddings are copied once per block; scores never leave a task.
-    """
-    n_blocks = max(1, -(-n_members // block_members))
-    key = [F.xxhash64("embedding").alias("_h1"), F.xxhash64(F.lit(1), "embedding").alias("_h2")]
-    probes = faces.where(F.size("embedding") == dimension).select(*key, F.col("embedding").cast("array<double>").alias("embedding"))
-    groups = max(1, -(-probes.count() // FACES))
-    # dealt by place, not by vector: copies of one vector are no hot group
-    probes = probes.withColumn("_group", F.pmod(F.monotonically_increasing_id(), F.lit(groups))).withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))))
-    members = gallery.where(F.size("centroid") == dimension).withColumn("_block", F.pmod(F.xxhash64("person_id"), F.lit(n_blocks)).cast("int"))
-    members = members.withColumn("_group", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(groups - 1).cast("long"))))
-
-    def best(left, right):
-        import pandas as pd
-
-        if not len(left) or not len(right):
-            return pd.DataFrame()
-        right = right.sort_values(["at", "person_id"])
-        k, score = _arg_max(np.stack(left["embedding"].to_numpy()).astype(np.float64), np.stack(right["centroid"].to_numpy()).astype(np.float64))
-        won = np.isfinite(score)
-        if not won.any():
-            return pd.DataFrame()
-        columns = {c: left[c].to_numpy()[won] for c in ("_h1", "_h2")} | {"minus": -score[won]}
-        return pd.DataFrame(columns | {c: right[c].to_numpy()[k][won] for c in ("at", "person_id", "name")})
-
-    local = probes.groupBy("_group", "_block").cogroup(members.groupBy("_group", "_block")).applyInPandas(best, "_h1 long, _h2 long, minus double, at long, person_id string, name string")
-    final = local.groupBy("_h1", "_h2").agg(F.min(F.struct("minus", "at", "person_id", "name")).cast(_BEST).alias("_best"))
-    return faces.select("*", *key).join(final, ["_h1", "_h2"], "left").drop("_h1", "_h2")
-
-
-def identify(detections: DataFrame, members: DataFrame, params: Params = DEFAULTS, plan: str = "auto", keep_embedding: bool = False) -> DataFrame:
+def identify(detections: DataFrame, members: DataFrame | None, params: Params = DEFAULTS, plan: str = "auto", keep_embedding: bool = False, index: GalleryIndex | None = None) -> DataFrame:
     """Detections with person_id, name, confidence of their most similar member.
 
     From ``threshold`` on, the member and the raw score, at most 1; below, ``unknown``, ``Guest``
     and the score, at least 0. The first in gallery order (created_at, then person_id) wins among
-    equals; scores that are not numbers never win; an empty gallery, and a vector that is null or
-    of another length than the gallery's, make a face unknown with 0. Faces are independent of
-    each other, whatever their keys: null and repeated ones stay as they are.
+    equals. A face is compared with the members whose vectors are as long as its own; scores that
+    are not finite never win. An empty gallery, and a vector that is null, holds nulls or has a
+    length that no member's has, make a face unknown with 0. Faces are independent of each other,
+    whatever their keys: null and repeated ones stay as they are.
 
     ``plan``: ``matrix``, ``columns`` or ``blocks``; ``auto`` is ``matrix``. A gallery of more
-    than ``broadcast_bytes`` always goes by ``blocks``.
+    than ``broadcast_bytes`` always goes by ``blocks``. ``index`` is a stored index of the
+    gallery; it takes the place of ``members``, so that a large gallery is indexed once.
     """
-    gallery = usable(members)
-    size = gallery.agg(F.count("*").alias("n"), F.max(F.size("centroid")).alias("d")).first()
-    n, dimension = size["n"], size["d"] or 1
-    if plan != "blocks" and n * 8 * dimension > params.broadcast_bytes:
-        plan = "blocks"
-    if plan == "blocks":
-        found = _blocks(detections, gallery, dimension, max(1, params.broadcast_bytes // (8 * dimension)), n)
-    elif plan == "columns":
-        found = _columns(detections, gallery)
+    if index is None:
+        gallery = usable(members)
+        if plan != "blocks":
+            held = gallery.agg(F.coalesce(F.sum(F.size("centroid")), F.lit(0)).alias("n")).first()["n"]
+            plan = "blocks" if 8 * held > params.broadcast_bytes else plan
+        if plan == "blocks":
+            index = build_index(gallery, new_path(detections.sparkSession, "gallery-index"), params)
+    if index is not None:
+        found = identify_by_index(detections, index, params)
     else:
-        found = _matrix(detections, gallery, dimension)
+        found = _columns(detections, gallery) if plan == "columns" else _matrix(detections, gallery)
     kept = [c for c in detections.columns if keep_embedding or c != "embedding"]
     return found.select(*kept, *_identity(F.col("_best"), params))

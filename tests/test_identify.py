@@ -44,6 +44,15 @@ def test_odd_vectors_and_keys(spark, plan):
     assert got == [("", -1, "a", 1.0), ("s", 0, "a", 1.0), ("s", 0, "b", 1.0), *unknown, ("s", 6, "a", 1.0)]
 
 
+@pytest.mark.parametrize("plan", PLANS)
+def test_vectors_of_two_lengths_infinite_and_odd_centroids(spark, plan):
+    inf = float("inf")
+    people = [("a", [1.0, 0.0]), ("b", [0.0, 1.0, 0.0]), ("c", [1.0]), ("x", [NAN, 1.0]), ("y", [inf, 0.0]), ("z", []), ("n", [None, 1.0])]
+    got = run(spark, [[1.0, 0.0], [0.0, 1.0, 0.0], [1.0], [inf, 1.0], [-inf, 0.0], [0.0, 1.0], [], [None, 1.0, 0.0], [1e30, 1e30], [0.5, 0.5, 0.5, 0.5]], people, plan)
+    unknown = ("unknown", "Guest", 0.0)
+    assert got == [("a", "Name a", 1.0), ("b", "Name b", 1.0), ("c", "Name c", 1.0), unknown, unknown, unknown, unknown, unknown, ("a", "Name a", 1.0), unknown]
+
+
 @pytest.mark.parametrize("plan", PLANS)
 def test_first_enrolled_wins_and_nulls_come_first(spark, plan):
     people = members(spark, [("b", [1.0, 0.0]), ("a", [1.0, 0.0])])

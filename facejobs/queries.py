@@ -65,7 +65,8 @@ def enroll_faces(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _enroll(spark: SparkSession, sf_dir: str) -> tuple[Gallery, DataFrame]:
-    old = Gallery(members(spark, sf_dir, held_embeddings), held_embeddings(spark, sf_dir).select("person_id", "embedding_index", "embedding"))
+    held = held_embeddings(spark, sf_dir).select("person_id", "embedding_index", "embedding")
+    old = Gallery(members(spark, sf_dir, held_embeddings), held, G.vector_sums(held))
     return G.enroll(old, _new_faces(spark, sf_dir).drop("vec_id"), NOW)
 
 
@@ -159,7 +160,7 @@ def q_embedding_index(spark, sf_dir):
 
 def q_enroll_members(spark, sf_dir):
     rows = _enroll(spark, sf_dir)[0].members
-    return rows.select("person_id", "name", F.col("created_at").cast("string").alias("created_at"), "embedding_count", r6(F.col("centroid")[0], "c0"), r6(F.element_at("centroid", -1), "c_last"))
+    return rows.select("person_id", "name", F.col("created_at").cast("string").alias("created_at"), "embedding_count", F.posexplode("centroid").alias("pos", "x")).withColumn("x", F.round("x", 6))
 
 
 def q_enroll_report(spark, sf_dir):
@@ -360,13 +361,11 @@ def oracle_sql() -> dict[str, str]:
         "enroll_members": f"""{_NEW},
             allv AS (SELECT person_id, embedding FROM me UNION ALL SELECT person_id, embedding FROM fresh),
             m2 AS (SELECT person_id, pos, avg(x::DOUBLE) AS m FROM (SELECT person_id, unnest(embedding) AS x, generate_subscripts(embedding, 1) - 1 AS pos FROM allv) GROUP BY ALL),
-            n2 AS (SELECT person_id, sqrt(sum(m * m)) AS l, max(pos) AS top FROM m2 GROUP BY 1)
-            SELECT person_id, CASE WHEN n_added IS NULL THEN old.name ELSE 'New ' || added.label END AS name,
+            n2 AS (SELECT person_id, sqrt(sum(m * m)) AS l FROM m2 GROUP BY 1)
+            SELECT x.person_id, CASE WHEN n_added IS NULL THEN old.name ELSE 'New ' || added.label END AS name,
               CASE WHEN old.label IS NULL THEN '2026-01-01 00:00:00' ELSE strftime(TIMESTAMP '1970-01-01' + to_seconds(old.label), '%Y-%m-%d %H:%M:%S') END AS created_at,
-              (coalesce(embedding_count, 0) + coalesce(n_added, 0))::INT AS embedding_count,
-              (SELECT round(m / l, 6) FROM m2 JOIN n2 USING (person_id) WHERE person_id = x.person_id AND pos = 0) AS c0,
-              (SELECT round(m / l, 6) FROM m2 JOIN n2 USING (person_id) WHERE person_id = x.person_id AND pos = top) AS c_last
-            FROM (SELECT DISTINCT person_id FROM allv) x LEFT JOIN old USING (person_id) LEFT JOIN added USING (person_id)""",
+              (coalesce(embedding_count, 0) + coalesce(n_added, 0))::INT AS embedding_count, pos::INT AS pos, round(m / l, 6) AS x
+            FROM (SELECT person_id, pos, m / l AS m, 1 AS l FROM m2 JOIN n2 USING (person_id)) x LEFT JOIN old USING (person_id) LEFT JOIN added USING (person_id)""",
         "enroll_report": f"""{_NEW} SELECT person_id, CASE WHEN n_added IS NULL THEN 'failed' WHEN embedding_count IS NULL THEN 'enrolled' ELSE 'updated' END AS status,
             (coalesce(embedding_count, 0) + coalesce(n_added, 0))::INT AS embedding_count, coalesce(n_failed, 0)::INT AS n_failed
             FROM (SELECT DISTINCT person_id FROM f) LEFT JOIN added USING (person_id) LEFT JOIN old USING (person_id) LEFT JOIN failed USING (person_id)""",

@@ -68,8 +68,13 @@ def test_guest_names_and_sink(spark, tmp_path):
     rows = spark.createDataFrame([("s", 3, 2, b"x", datetime(2026, 3, 23, 1, 2, 3, 45))], "sequence_id string, frame_index int, guest_count int, image binary, saved_at timestamp")
     r = guest_file_names(rows).first()
     assert (r.file_name, str(r.date)) == ("010203-000045_f3_2guests.jpg", "2026-03-23")
-    write_guest_frames(rows, str(tmp_path / "g"))
-    assert bytes(spark.read.parquet(str(tmp_path / "g")).first().image) == b"x"
+    path = str(tmp_path / "g")
+    for run in ("one", "two", "one"):  # a run that is tried again leaves the same table
+        write_guest_frames(rows, path, run)
+    later = rows.withColumn("saved_at", F.expr("saved_at + interval 1 day")).withColumn("image", F.lit(b"y"))
+    write_guest_frames(later, path, "two")
+    got = sorted((str(r.date), r.run, bytes(r.image)) for r in spark.read.parquet(path).collect())
+    assert got == [("2026-03-23", "one", b"x"), ("2026-03-23", "two", b"x"), ("2026-03-24", "two", b"y")]
 
 
 def test_overlay_labels_round_half_to_even(spark):

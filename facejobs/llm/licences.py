@@ -66,6 +66,8 @@ class Index:
         self.templates = templates
         self.words = sorted({w for t in templates for w in t.notice.split()} | {w for p in BASE for w in p.split()})
         self.number = {w: k for k, w in enumerate(self.words)}
+        if len(self.words) > 1 << 10:
+            raise ValueError("a word's number must fit 10 bits")
         self.rows = []
         for n, t in enumerate(templates):
             words, key = t.notice.split(), t.key.split()
@@ -119,8 +121,8 @@ def scan(docs: DataFrame, index: Index | None = None, text: str = "text", doc_id
     score is the best share of a notice's words in place where its key phrase stands, scaled by
     how many they are (:data:`FULL`); 0 without one. Null and empty texts have no words: counts
     0, places null, labels empty. Repeated rows stay; an empty table gives no rows; columns of any
-    names beside the two are left out. A long text is one row, its licence words an array. Labels
-    of equal notices come once, and of equal scores the value is the same.
+    names beside the two are left out. A long text is one row, its licence words an array; the
+    work is linear in them. Labels of equal notices come once, and of equal scores the value is the same.
     """
     index = index or Index()
     spark = docs.sparkSession
@@ -140,17 +142,20 @@ def scan(docs: DataFrame, index: Index | None = None, text: str = "text", doc_id
         postings.append((word, n, q, ((at - q) << 10) + second))
     anchors = {p[0] for p in postings}
     postings = F.broadcast(spark.createDataFrame(postings, "number int, template int, q int, confirms long"))
-    anchored = F.filter("hits", lambda h: number(h).isin(*anchors))
+    # hits are in order of place, so as many as the longest notice has words, either way, hold all of it
+    reach = max(len(t.notice.split()) for t in index.templates)
+    near = F.slice("hits", F.greatest(F.col("i") + 1 - reach, F.lit(1)), F.lit(2 * reach + 1))
     aligned = (
-        found.select("row", "hits", F.explode(anchored).alias("hit"))
-        .select("row", "hits", "hit", number(F.col("hit")).alias("number"), F.shiftright("hit", 10).alias("place"))
+        found.select("row", "hits", F.posexplode("hits").alias("i", "hit"))
+        .where(number(F.col("hit")).isin(*anchors))
+        .select("row", near.alias("near"), number(F.col("hit")).alias("number"), F.shiftright("hit", 10).alias("place"))
         .join(postings, "number")
-        .where(F.array_contains("hits", F.shiftleft("place", 10) + F.col("confirms")))
-        .select("row", "hits", "template", (F.col("place") - F.col("q")).alias("d"))
+        .where(F.array_contains("near", F.shiftleft("place", 10) + F.col("confirms")))
+        .select("row", "near", "template", (F.col("place") - F.col("q")).alias("d"))
     )
     notices = F.broadcast(spark.createDataFrame([(n, t.label, index.packed(n), index.packed(n, True)) for n, t in enumerate(index.templates)], "template int, label string, notice array<bigint>, key array<bigint>"))
     moved = lambda x: F.transform(x, lambda p: p + F.shiftleft(F.col("d"), 10))
-    around = F.filter("hits", lambda h: F.shiftright(h, 10).between(F.col("d"), F.col("d") + F.size("notice")))
+    around = F.filter("near", lambda h: F.shiftright(h, 10).between(F.col("d"), F.col("d") + F.size("notice")))
     verified = (
         aligned.join(notices, "template")
         .withColumn("around", around)

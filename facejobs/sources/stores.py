@@ -138,6 +138,14 @@ def update_gallery(spark: SparkSession, path: str, change: Callable[[Gallery], G
     raise RuntimeError(f"other writers were first {attempts} times")
 
 
+def gallery_version(spark: SparkSession, path: str, wanted: int | None = None) -> int:
+    """``wanted`` if there is such a version, else the newest."""
+    found = _versions(spark, path)
+    if not found:
+        raise FileNotFoundError(f"no gallery in {path}")
+    return wanted if wanted in found else found[-1]
+
+
 def read_gallery(spark: SparkSession, path: str, version: int | None = None) -> Gallery:
     """A version, by default the newest."""
     if version is None:

@@ -10,9 +10,9 @@ puts shingles that are frequent in a sample last, which bears on speed only, nev
 found.
 
 Equal sets collapse first. Then each set is compared with the first of its fingerprint and of
-each of its shingles, and twice more with a leader drawn for each shingle that sets still apart
+each of its shingles, and once more with a leader drawn for each shingle that sets still apart
 share; every such round is linear. Only sets that are not joined by this are paired with each
-other, each pair once, at the first shingle that both prefixes hold. Of these, pairs that cannot be similar are never made: a set's
+other. Of these, pairs that cannot be similar are never made: a set's
 parity map has a bit for each residue of its hashes, set where an odd number of them fall. Two maps
 differ in no more bits than the sets differ in shingles, so too many differing bits rule a pair out,
 and no similar pair is lost. Sets of more than about 1,100 shingles fill the map; their pairs go on
@@ -38,7 +38,7 @@ SIMILARITY = (4, 5)
 #: Documents looked at for frequent shingles, and how many of these are ordered last at most.
 LOOKED_AT, FREQUENT = 10_000, 1 << 16
 #: Further rounds in which sets are compared with one leader of each of their shingles.
-MORE_LEADERS = 2
+MORE_LEADERS = 1
 #: 64-bit words of a set's parity map.
 MAP_WORDS = 8
 
@@ -150,36 +150,34 @@ def links(held: DataFrame, first_row: DataFrame, words: int = WORDS) -> DataFram
     named = lambda name: first_of.select(F.col("fp").alias(name), F.col("first").alias(f"{name}_first"))
     by_print = same.unionAll(near.join(named("u"), "u").join(named("v"), "v").select(*pair("u_first", "v_first")))
 
-    entries = one.select("id", "n", F.posexplode("prefix").alias("pos", "key")).select("key", F.struct("n", "id", "pos").alias("x"))
-    leaders = entries.groupBy("key").agg(F.count("*").alias("many"), F.min("x").alias("leader")).where("many > 1").drop("many")
-    shared = common.stage(entries.join(leaders, "key"), "shared-shingles")
-    to_leader = shared.where((F.col("x.id") != F.col("leader.id")) & _may("x", "leader")).select(*pair("x.id", "leader.id"))
+    keys = one.select(F.explode("prefix").alias("key")).groupBy("key").agg(F.count("*").alias("many")).where("many > 1").select("key")
+    keys = common.sized(common.stage(keys, "shared-keys"))
+    entries = one.select("id", "n", F.posexplode("prefix").alias("pos", "key")).join(keys, "key", "left_semi")
+    shared = common.stage(entries.select("key", F.struct("n", "id", "pos").alias("x")), "shared-shingles")
+    leaders = shared.groupBy("key").agg(F.min("x").alias("leader"))
+    to_leader = shared.join(leaders, "key").where((F.col("x.id") != F.col("leader.id")) & _may("x", "leader")).select(*pair("x.id", "leader.id"))
     found = checked(by_print.unionAll(to_leader))
 
-    whole_rows = prints.select("id", "map").join(one.select("id", "prefix"), "id")
-    left = _unjoined(shared.select("key", "x"), found, whole_rows)
+    left = _unjoined(shared, found, prints.select("id", "map"))
     for turn in range(MORE_LEADERS):
         leaders = left.groupBy("key").agg(F.min_by(F.struct("x", "root"), F.xxhash64(F.lit(turn), "x.id", "key")).alias("l")).select("key", "l.*").withColumnsRenamed({"x": "leader", "root": "leader_root"})
         tried = left.join(leaders, "key").where((F.col("root") != F.col("leader_root")) & _may("x", "leader") & _maps_allow("x", "leader"))
         found = common.stage(found.unionAll(checked(tried.select(*pair("x.id", "leader.id")))), "found")
-        left = _unjoined(left.select("key", "x"), found, None)
+        left = _unjoined(left.select("key", "x"), found)
     a, b = left.select("key", F.col("x").alias("a"), F.col("root").alias("ra")), left.select("key", F.col("x").alias("b"), F.col("root").alias("rb"))
-    # a pair is made at the first shingle that its prefixes share
-    first_shared = ~F.arrays_overlap("a.before", "b.before")
-    rest = a.join(b, "key").where((F.col("ra") < F.col("rb")) & _may("a", "b") & _maps_allow("a", "b") & first_shared).select(*pair("a.id", "b.id"))
+    rest = a.join(b, "key").where((F.col("ra") < F.col("rb")) & _may("a", "b") & _maps_allow("a", "b")).select(*pair("a.id", "b.id"))
     return found.unionAll(checked(rest))
 
 
-def _unjoined(shared: DataFrame, found: DataFrame, sets: DataFrame | None) -> DataFrame:
+def _unjoined(shared: DataFrame, found: DataFrame, maps: DataFrame | None = None) -> DataFrame:
     """(key, x, root): those rows of ``shared`` (key, x) whose shingle is one of sets that ``found``
-    has not all joined. ``sets`` (id, map, prefix) completes the structs x."""
+    has not all joined. ``maps`` (id, map) completes the structs x."""
     roots = graph.components(found).select(F.col("node").alias("id"), F.col("root").alias("now"))
     rooted = shared.withColumn("id", F.col("x.id")).join(roots, "id", "left").select("key", "x", "id", F.coalesce("now", "id").alias("root"))
     mixed = rooted.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("key")
     kept = rooted.join(mixed, "key", "left_semi")
-    if sets is not None:
-        before = F.slice("prefix", F.lit(1), F.col("x.pos"))
-        kept = kept.join(sets, "id").withColumn("x", F.struct("x.n", "x.id", "x.pos", "map", before.alias("before")))
+    if maps is not None:
+        kept = kept.join(maps, "id").withColumn("x", F.struct("x.n", "x.id", "x.pos", "map"))
     return common.stage(kept.select("key", "x", "root"), "unjoined")
 
 

@@ -31,3 +31,13 @@ def overlay(identities: DataFrame, params: Params = DEFAULTS) -> DataFrame:
         F.when(is_known("person_id"), colour(params.known_colour)).otherwise(colour(params.unknown_colour)).alias("colour"),
         label("name", "confidence").alias("label"),
     )
+
+
+def frame_overlays(frames: DataFrame, identities: DataFrame, params: Params = DEFAULTS) -> DataFrame:
+    """(sequence_id, frame_index, marks): what is drawn on each frame, in detector order. Empty
+    where a frame has no faces, null where it could not be read (``decode_ok`` false)."""
+    mark = F.struct("face_index", "x1", "y1", "x2", "y2", "colour", "label")
+    marks = overlay(identities, params).groupBy("sequence_id", "frame_index").agg(F.array_sort(F.collect_list(mark)).alias("marks"))
+    empty = F.array().cast(marks.schema["marks"].dataType)
+    found = frames.select("sequence_id", "frame_index", "decode_ok").join(marks, ["sequence_id", "frame_index"], "left")
+    return found.select("sequence_id", "frame_index", F.when(F.col("decode_ok"), F.coalesce("marks", empty)).alias("marks"))

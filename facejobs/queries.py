@@ -13,8 +13,10 @@ from facejobs.operators import motion as M
 from facejobs.operators import results as R
 from facejobs.operators.identify import filter_detections, identify
 from facejobs.params import Params
-from facejobs.sources import decode_payload, explode_frames, guest_file_names, validate_requests
-from facejobs.sources.stores import Gallery
+from facejobs.plans import identify_batch
+from facejobs.sources import Gallery, decode_payload, detect_faces, explode_frames, guest_file_names, purge_versions, read_gallery, read_image_files, update_gallery, validate_requests, write_gallery
+from facejobs.sources.shared import new_path
+from facejobs.streaming import identify_stream, motion_stream, table_sink
 
 NOW = datetime(2026, 1, 1)
 
@@ -235,6 +237,108 @@ def q_link_unknowns(spark, sf_dir):
     return found.select("sequence_id", "frame_index", "face_index", "link_no", "track_key")
 
 
+def _shots(spark, sf_dir):
+    """(frames, detections) of the identify-batch job: every sixth frame could not be
+    read and holds no faces."""
+    found = detections(spark, sf_dir)
+    frames = found.select("sequence_id", "frame_index", F.lit(480).alias("height"), F.lit(640).alias("width")).distinct()
+    frames = frames.withColumns({"decode_ok": F.col("frame_index") % 6 != 5, "image": F.concat_ws(":", "sequence_id", "frame_index").cast("binary"), "ts": F.timestamp_seconds(F.col("sequence_id").cast("long") * 1000 + F.col("frame_index"))})
+    return frames, found.where("frame_index % 6 <> 5").drop("vec_id", "label")
+
+
+def q_identify_batch(spark, sf_dir, part):
+    frames, found = _shots(spark, sf_dir)
+    out = identify_batch(frames, found, members(spark, sf_dir), Params(cross_frame_similarity=0.2), include_motion=part == "motion", save_guests=part == "guests", include_overlay=part == "marks")
+    rows = out[part]
+    nested = lambda c, f: F.array_join(F.transform(c, f), ",")
+    if part == "frames":
+        return rows.select("sequence_id", "frame_index", nested("faces", lambda f: F.concat_ws(":", f["face_index"], f["person_id"], f["name"], F.format_number(f["confidence"], 4), f["bbox"][0].cast("int"))).alias("faces"))
+    if part == "guests":
+        return rows.select("sequence_id", "frame_index", "guest_count", F.col("image").cast("string").alias("image"), "file_name", F.col("date").cast("string").alias("date"))
+    if part == "marks":
+        return rows.select("sequence_id", "frame_index", nested("marks", lambda m: F.concat_ws(":", m["face_index"], m["x1"], m["y1"], m["x2"], m["y2"], m["colour"][2], m["label"])).alias("marks"))
+    return rows.select("sequence_id", F.col("track_id").cast("int").alias("track_id"), "person_id", "name", "direction", F.round("confidence", 9).alias("confidence"), F.size("trajectory").alias("n_points"))
+
+
+def _letters():
+    """A stand-in for a detector: what it finds follows from the number of bytes."""
+
+    def detector(data):
+        n = len(data)
+        return None if n % 10 == 9 else (n, 640, [((k, 0.0, k + n % 50, 10.0), (float(n % 97), float(k)), (n % 100) / 100) for k in range(n % 3)])
+
+    return detector
+
+
+def _detected(spark, sf_dir):
+    images = _table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("sequence_id"), F.lit(0).alias("frame_index"), F.col("text").cast("binary").alias("image"))
+    return detect_faces(images, _letters)
+
+
+def q_detect_faces(spark, sf_dir):
+    rows = _detected(spark, sf_dir)[0]
+    return rows.select("sequence_id", "face_index", F.col("bbox")[0].alias("x1"), F.col("bbox")[2].alias("x2"), "det_score", F.col("embedding")[0].cast("double").alias("e0"))
+
+
+def q_image_files(spark, sf_dir):
+    """Texts by language as files, read back as images."""
+    folder = new_path(spark, "images")
+    _table(spark, sf_dir, "documents").select("lang", F.coalesce("text", F.lit("")).alias("text")).write.partitionBy("lang").text(folder)
+    rows = read_image_files(spark, folder).groupBy("person_id").agg(F.sum(F.octet_length("image")).alias("n_bytes"), F.min("image_index").alias("first_index"), (F.max("image_index") - F.count("*") + 1).alias("gaps"), (F.count("*") - F.countDistinct("image_index")).alias("repeats"))
+    return rows.select("person_id", "n_bytes", *(F.col(c).cast("long").alias(c) for c in ("first_index", "gaps", "repeats")))
+
+
+def q_gallery_versions(spark, sf_dir):
+    """A gallery written, extended by enrolment, reduced by removal, purged and read back."""
+    path = new_path(spark, "gallery")
+    held = held_embeddings(spark, sf_dir).select("person_id", "embedding_index", "embedding")
+    write_gallery(Gallery(members(spark, sf_dir, held_embeddings), held), path)
+    update_gallery(spark, path, lambda g: G.enroll(g, _new_faces(spark, sf_dir).drop("vec_id"), NOW)[0])
+    update_gallery(spark, path, lambda g: G.remove_members(g, _ids(spark, sf_dir))[0])
+    purged = len(purge_versions(spark, path))
+    left = read_gallery(spark, path)
+    n, total = (t.groupBy("person_id").agg(f) for t, f in ((left.embeddings, F.count("*").alias("n_vectors")), (left.sums, F.sum("n").alias("n_summed"))))
+    return left.members.join(n, "person_id", "full_outer").join(total, "person_id", "full_outer").select("person_id", "name", "embedding_count", "n_vectors", "n_summed", F.lit(purged).alias("n_purged"))
+
+
+def q_identify_stream(spark, sf_dir):
+    """Identification as a stream over the embeddings, into a table."""
+    folder, schema = new_path(spark, "identify-stream"), _table(spark, sf_dir, "embeddings").schema
+    write_gallery(Gallery(members(spark, sf_dir), member_embeddings(spark, sf_dir).select("person_id", "embedding_index", "embedding")), f"{folder}/gallery")
+    rows = detections(_Stream(spark, schema), sf_dir).drop("label")
+    writer = identify_stream(rows, f"{folder}/gallery", table_sink(f"{folder}/out"), pins=f"{folder}/pins")
+    writer.option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(f"{folder}/out").select("vec_id", "sequence_id", "frame_index", "face_index", "person_id", "name", r6("confidence", "confidence"))
+
+
+def q_motion_stream(spark, sf_dir):
+    """Motion as a stream over the events: a user is a sequence, which a pause of two hours ends;
+    those that later events have not closed yet are left out."""
+    folder = new_path(spark, "motion-stream")
+    side, value = (80 + (F.col("event_id") * 7) % 13).cast("double"), F.col("value").cast("double")
+    face = F.struct(
+        F.lit(0).alias("face_index"), F.array(value, F.lit(0.0), value + side, side).alias("bbox"), F.concat(F.lit("k"), (F.col("event_id") % 2).cast("string")).alias("person_id"), F.lit("N").alias("name"),
+        ((40 + F.col("event_id") % 60).cast("double") / 100).alias("confidence"), F.lit(None).cast("array<float>").alias("embedding"),
+    )
+    rows = _Stream(spark, _table(spark, sf_dir, "events").schema).read.parquet(f"{sf_dir}/events.parquet")
+    frames = rows.select(F.col("user_id").cast("string").alias("sequence_id"), F.col("event_id").cast("int").alias("frame_index"), F.lit(480).alias("height"), F.lit(640).alias("width"), F.col("ts").cast("timestamp").alias("ts"), F.array(face).alias("faces"))
+    writer = motion_stream(frames, table_sink(f"{folder}/out"), "2 hours", "1 hour")
+    writer.option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    at = F.unix_micros(F.substring_index("sequence_id", "@", -1).cast("timestamp"))
+    return spark.read.parquet(f"{folder}/out").select(F.substring_index("sequence_id", "@", 1).alias("sequence_id"), at.alias("start_us"), F.col("track_id").cast("int").alias("track_id"), "person_id", "direction", F.round("confidence", 9).alias("confidence"))
+
+
+class _Stream:
+    """Reads a table as a stream where a session reads it as a table. A stream of files takes a
+    folder or a pattern, so the name of a table that may be either is made a pattern."""
+
+    def __init__(self, spark: SparkSession, schema):
+        self.read, self.stream = self, spark.readStream.schema(schema)
+
+    def parquet(self, path: str) -> DataFrame:
+        return self.stream.parquet(f"{path[:-1]}[{path[-1]}]")
+
+
 def queries() -> dict:
     return {
         "identify": q_identify,
@@ -270,6 +374,13 @@ def queries() -> dict:
         "detect_motion_known": q_detect_motion,
         "detect_motion_linked": q_detect_motion_linked,
         "link_unknowns": q_link_unknowns,
+        **{f"identify_batch_{part}": lambda s, d, part=part: q_identify_batch(s, d, part) for part in ("frames", "motion", "guests", "marks")},
+        "detect_faces": q_detect_faces,
+        "detect_status": lambda s, d: _detected(s, d)[1],
+        "image_files": q_image_files,
+        "gallery_versions": q_gallery_versions,
+        "identify_stream": q_identify_stream,
+        "motion_stream": q_motion_stream,
     }
 
 
@@ -295,6 +406,7 @@ best AS (SELECT vec_id, person_id, name, s FROM score QUALIFY row_number() OVER
 ident AS (SELECT det.*, CASE WHEN s >= 0.4::DOUBLE THEN person_id ELSE 'unknown' END AS person_id, CASE WHEN s >= 0.4::DOUBLE THEN name ELSE 'Guest' END AS name,
   least(1.0::DOUBLE, greatest(0.0::DOUBLE, s)) AS confidence FROM det JOIN best USING (vec_id))
 """
+_BATCH = f"WITH RECURSIVE {_GALLERY}, {_DET}, {_BEST}, kept AS (SELECT * FROM ident WHERE det_score >= 0.5::DOUBLE AND frame_index % 6 <> 5)"
 _KEPT = f"WITH RECURSIVE {_GALLERY}, {_DET}, {_BEST}, kept AS (SELECT * FROM ident WHERE det_score >= 0.5::DOUBLE)"
 _FACES = f"WITH {_DET}, f AS (SELECT 'p' || label AS person_id, label, vec_id // 10 AS image_index, vec_id, w * h AS a, det_score, embedding FROM det)"
 _IDS = "ids AS (SELECT DISTINCT CASE WHEN label % 3 = 0 THEN 'p' || label ELSE 'nobody' || vec_id END AS person_id FROM embeddings)"
@@ -334,14 +446,26 @@ _IDENTIFY = f"WITH {_GALLERY}, {_DET}, {_BEST} SELECT vec_id, sequence_id, frame
 _CENTROIDS = f"WITH {_GALLERY} SELECT person_id, pos::INT AS pos, round(x, 6) AS x FROM cent"
 
 
-def _linked_sql(least: float) -> str:
-    return f"""{_KEPT}, {_LINK.format(least=least)},
+_BYTES = "WITH b AS (SELECT doc_id::VARCHAR AS sequence_id, strlen(text) AS n FROM documents)"
+_SESSIONS = f"""
+WITH e AS (SELECT user_id::VARCHAR AS sequence_id, event_id, ts, value::DOUBLE AS x1, (80 + (event_id * 7) % 13)::DOUBLE AS w, 'k' || (event_id % 2) AS person_id, (40 + event_id % 60)::DOUBLE / 100 AS confidence FROM events),
+g AS (SELECT *, CASE WHEN ts - lag(ts) OVER u >= INTERVAL 2 HOUR THEN 1 ELSE 0 END AS new FROM e WINDOW u AS (PARTITION BY sequence_id ORDER BY ts, event_id)),
+s AS (SELECT *, sum(new) OVER (PARTITION BY sequence_id ORDER BY ts, event_id) AS part FROM g),
+c AS (SELECT sequence_id, part, epoch_us(min(ts)) AS start_us FROM s GROUP BY ALL HAVING count(*) >= 2 AND max(ts) + INTERVAL 2 HOUR <= (SELECT max(ts) FROM events) - INTERVAL 1 HOUR),
+tr AS (SELECT sequence_id, start_us, person_id, avg(confidence) AS mean_confidence, min(event_id) AS first_frame, min_by((x1 + (x1 + w)) / 2, (ts, event_id)) AS first_cx, max_by((x1 + (x1 + w)) / 2, (ts, event_id)) AS last_cx,
+  min_by(w * w, (ts, event_id)) AS a0, max_by(w * w, (ts, event_id)) AS a1 FROM s JOIN c USING (sequence_id, part) GROUP BY ALL HAVING count(*) >= 2),
+{_DIRECTION} 0 AS nothing FROM dir)
+SELECT sequence_id, start_us, (row_number() OVER (PARTITION BY sequence_id, start_us ORDER BY first_frame) - 1)::INT AS track_id, person_id, direction, round(confidence, 9) AS confidence FROM out"""
+
+
+def _linked_sql(least: float, kept: str = _KEPT, more: str = "") -> str:
+    return f"""{kept}, {_LINK.format(least=least)},
       entry AS (SELECT k.sequence_id, k.frame_index, k.face_index, k.confidence, k.name, k.x1, k.w, k.h, link_no, coalesce('unknown_' || link_no, k.person_id) AS key FROM kept k LEFT JOIN walk USING (sequence_id, frame_index, face_index)),
-      tr AS (SELECT sequence_id, key AS person_id, min(link_no) AS link_no, min(frame_index * 2 + face_index) AS first_at, min_by(name, frame_index * 2 + face_index) AS name, avg(confidence) AS mean_confidence,
+      tr AS (SELECT sequence_id, key AS person_id, min(link_no) AS link_no, min(frame_index * 2 + face_index) AS first_at, min_by(name, frame_index * 2 + face_index) AS name, avg(confidence) AS mean_confidence, count(*)::INT AS n_points,
         min_by(x1 + w / 2, frame_index * 2 + face_index) AS first_cx, max_by(x1 + w / 2, frame_index * 2 + face_index) AS last_cx, min_by(w * h, frame_index * 2 + face_index) AS a0, max_by(w * h, frame_index * 2 + face_index) AS a1
         FROM entry GROUP BY ALL HAVING count(*) >= 2),
       {_DIRECTION} 0 AS nothing FROM dir)
-      SELECT sequence_id, (row_number() OVER (PARTITION BY sequence_id ORDER BY link_no IS NOT NULL, link_no, first_at) - 1)::INT AS track_id, person_id, name, direction, round(confidence, 9) AS confidence FROM out"""
+      SELECT sequence_id, (row_number() OVER (PARTITION BY sequence_id ORDER BY link_no IS NOT NULL, link_no, first_at) - 1)::INT AS track_id, person_id, name, direction, round(confidence, 9) AS confidence{more} FROM out"""
 
 
 def oracle_sql() -> dict[str, str]:
@@ -391,11 +515,29 @@ def oracle_sql() -> dict[str, str]:
         "track_numbers": f"{_TRACKS} SELECT sequence_id, person_id, track_id::INT AS track_id FROM out",
         "link_unknowns": f"{_KEPT}, {_LINK.format(least=0.5)} SELECT sequence_id, frame_index::INT AS frame_index, face_index::INT AS face_index, link_no, 'unknown_' || link_no AS track_key FROM walk",
         "detect_motion_linked": _linked_sql(0.2),
+        "identify_batch_motion": _linked_sql(0.2, _BATCH, ", n_points"),
+        "identify_batch_frames": f"""{_BATCH}, fr AS (SELECT DISTINCT sequence_id, frame_index FROM det)
+            SELECT sequence_id, frame_index::INT AS frame_index, coalesce(string_agg(face_index || ':' || person_id || ':' || name || ':' || format('{{:.4f}}', confidence) || ':' || x1::INT, ',' ORDER BY face_index), '') AS faces
+            FROM fr LEFT JOIN kept USING (sequence_id, frame_index) GROUP BY ALL""",
+        "identify_batch_guests": f"""{_BATCH}, g AS (SELECT sequence_id, frame_index, count(*) AS guest_count, TIMESTAMP '1970-01-01' + to_seconds(sequence_id::BIGINT * 1000 + frame_index) AS ts FROM kept WHERE person_id = 'unknown' GROUP BY ALL)
+            SELECT sequence_id, frame_index::INT AS frame_index, guest_count, sequence_id || ':' || frame_index AS image, strftime(ts, '%H%M%S-%f') || '_f' || frame_index || '_' || guest_count || 'guests.jpg' AS file_name, CAST(ts AS DATE)::VARCHAR AS date FROM g""",
+        "identify_batch_marks": f"""{_BATCH}, fr AS (SELECT DISTINCT sequence_id, frame_index FROM det)
+            SELECT sequence_id, frame_index::INT AS frame_index, CASE WHEN frame_index % 6 <> 5 THEN coalesce(string_agg(face_index || ':' || x1::INT || ':' || y1::INT || ':' || (x1 + w)::INT || ':' || (y1 + h)::INT || ':' || CASE WHEN person_id = 'unknown' THEN '255' ELSE '0' END || ':' ||
+              name || ' ' || round_even(confidence * 100, 0)::INT || '%', ',' ORDER BY face_index), '') END AS marks
+            FROM fr LEFT JOIN kept USING (sequence_id, frame_index) GROUP BY sequence_id, frame_index""",
+        "detect_faces": f"""{_BYTES} SELECT sequence_id, k::INT AS face_index, k::DOUBLE AS x1, (k + n % 50)::DOUBLE AS x2, (n % 100)::DOUBLE / 100 AS det_score, (n % 97)::DOUBLE AS e0 FROM (SELECT sequence_id, n, unnest(range(n % 3)) AS k FROM b WHERE n % 10 <> 9)""",
+        "detect_status": f"{_BYTES} SELECT sequence_id, 0 AS frame_index, CASE WHEN n % 10 = 9 THEN 0 ELSE n END::INT AS height, CASE WHEN n % 10 = 9 THEN 0 ELSE 640 END AS width, n % 10 <> 9 AS decode_ok FROM b",
+        "image_files": "SELECT 'lang=' || lang AS person_id, sum(strlen(coalesce(text, '')) + 1)::BIGINT AS n_bytes, 0::BIGINT AS first_index, 0::BIGINT AS gaps, 0::BIGINT AS repeats FROM documents GROUP BY lang",
+        "gallery_versions": f"""{_NEW}, {_IDS}, allv AS (SELECT person_id, label FROM me UNION ALL SELECT person_id, label FROM fresh)
+            SELECT person_id, CASE WHEN any_value(n_added) IS NULL THEN 'Person ' ELSE 'New ' END || allv.label AS name, count(*)::INT AS embedding_count, count(*) AS n_vectors, count(*) AS n_summed, 2 AS n_purged
+            FROM allv LEFT JOIN added USING (person_id) WHERE person_id NOT IN (SELECT person_id FROM ids) GROUP BY person_id, allv.label""",
+        "identify_stream": _IDENTIFY,
+        "motion_stream": _SESSIONS,
         "detect_motion_known": f"{_TRACKS} SELECT sequence_id, track_id::INT AS track_id, person_id, name, direction, round(confidence, 9) AS confidence FROM out",
     }
 
 
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The flagship: every vector identified against the gallery, with guests counted apart."""
-    found = identify(detections(spark, sf_dir).drop("label"), members(spark, sf_dir))
-    return found.select("vec_id", "sequence_id", "frame_index", "face_index", "person_id", "name", "confidence", is_guest("person_id").alias("guest"))
+    """The flagship: the identify-batch job, each frame with its faces."""
+    frames, found = _shots(spark, sf_dir)
+    return identify_batch(frames, found, members(spark, sf_dir))["frames"]

@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Iterator
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from facejobs import schemas
 from facejobs.schemas import UNKNOWN
+from facejobs.sources.shared import BROADCAST_ROWS, new_path, sized, stage
 
 
 def explode_frames(batches: DataFrame, images: str = "images") -> DataFrame:
@@ -20,15 +21,36 @@ def explode_frames(batches: DataFrame, images: str = "images") -> DataFrame:
     return batches.select(*rest, F.posexplode(images).alias("frame_index", "payload"))
 
 
-def read_image_files(spark: SparkSession, path: str) -> DataFrame:
-    """(person_id, image_index, image): files below ``path``, one folder per person, in path order."""
+def read_image_files(spark: SparkSession, path: str, chunk: int = BROADCAST_ROWS) -> DataFrame:
+    """(person_id, image_index, image): files below ``path``, one folder per person, in path order.
+
+    Files are numbered from their paths alone, which Spark lists on the driver anyhow; then each
+    is read once, where it lies, and meets its number by a broadcast. Where there are more than
+    ``chunk`` files, each chunk of people reads its own folders with its own numbers; only a
+    person of more files than that is a larger chunk.
+    """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    person = F.regexp_extract("path", r"([^/]+)/[^/]+$", 1)
-    numbered = files.select(F.url_decode(person).alias("person_id"), "path", F.col("content").alias("image"))
-    order = numbered.groupBy("person_id").agg(F.array_sort(F.collect_list("path")).alias("paths"))
-    # only paths are grouped; the bytes join their number
-    index = order.select("person_id", F.posexplode("paths").alias("image_index", "path"))
-    return numbered.join(index, ["person_id", "path"]).select("person_id", "image_index", "image")
+    person = F.url_decode(F.regexp_extract("path", r"([^/]+)/[^/]+$", 1))
+    order = Window.partitionBy("person_id").orderBy("path")
+    paths = files.select(person.alias("person_id"), "path").withColumn("image_index", F.row_number().over(order) - 1)
+    paths = stage(paths, "image-paths")
+    counts = paths.groupBy("person_id").agg(F.count("*").alias("n")).orderBy("person_id").collect()  # a row per folder that Spark has listed
+    if sum(r["n"] for r in counts) <= chunk:
+        return files.select("path", F.col("content").alias("image")).join(F.broadcast(paths), "path").select("person_id", "image_index", "image")
+    chunks, held = [[]], 0
+    for r in counts:
+        if chunks[-1] and held + r["n"] > chunk:
+            chunks.append([])
+            held = 0
+        chunks[-1].append(r["person_id"])
+        held += r["n"]
+    parts = []
+    for people in chunks:
+        mine = paths.where(F.col("person_id").between(people[0], people[-1]))
+        folders = [r["f"] for r in mine.select(F.regexp_extract("path", r"^(.*)/[^/]+$", 1).alias("f")).distinct().collect()]
+        part = spark.read.format("binaryFile").load([f.replace("{", "\\{").replace("[", "\\[").replace("*", "\\*").replace("?", "\\?") for f in folders])
+        parts.append(part.select("path", F.col("content").alias("image")).join(F.broadcast(mine), "path").select("person_id", "image_index", "image"))
+    return reduce(DataFrame.unionByName, parts)
 
 
 def decode_payload(frames: DataFrame, payload: str = "payload") -> DataFrame:
@@ -40,30 +62,84 @@ def decode_payload(frames: DataFrame, payload: str = "payload") -> DataFrame:
     return frames.withColumn("image", image).withColumn("decode_ok", F.col("image").isNotNull())
 
 
-def detect_faces(frames: DataFrame, detector_factory: Callable[[], Callable[[bytes], tuple[int, int, list[tuple]] | None]]) -> tuple[DataFrame, DataFrame]:
-    """(detections, frame_status) of decoded frames, by a detector that the caller supplies.
+FACE = "struct<bbox: array<double>, det_score: double, embedding: array<float>>"
+#: What a detector found in an image, by the SHA-256 of its bytes.
+FOUND = f"digest string, height int, width int, decode_ok boolean, faces array<{FACE}>"
+Detector = Callable[[bytes], tuple[int, int, list[tuple]] | None]
 
-    ``detector_factory`` is called once per task; what it returns maps image bytes to (height,
-    width, faces), a face being (bbox, embedding, det_score), or to None if it cannot read them.
-    Such frames have shape (0, 0) and no faces. The faces of a frame keep the detector's order.
-    """
+
+def _detected(images: DataFrame, detector_factory: Callable[[], Detector]) -> DataFrame:
+    """:data:`FOUND` of images (digest, image), each digest of a task once."""
 
     def detect(batches: Iterable) -> Iterator:
         import pandas as pd
 
-        detector = detector_factory()
+        detector, seen = detector_factory(), set()
         for pdf in batches:
             rows = []
-            for s, f, image in zip(pdf["sequence_id"], pdf["frame_index"], pdf["image"]):
-                found = detector(bytes(image)) if image is not None else None
+            for digest, image in zip(pdf["digest"], pdf["image"]):
+                if digest in seen:
+                    continue
+                seen.add(digest)
+                found = detector(bytes(image))
                 h, w, faces = found if found is not None else (0, 0, [])
-                rows.append((s, f, h, w, found is not None, [{"bbox": list(map(float, b)), "det_score": float(d), "embedding": list(map(float, e))} for b, e, d in faces]))
-            yield pd.DataFrame(rows, columns=["sequence_id", "frame_index", "height", "width", "decode_ok", "faces"])
+                rows.append((digest, h, w, found is not None, [{"bbox": list(map(float, b)), "det_score": float(d), "embedding": list(map(float, e))} for b, e, d in faces]))
+            yield pd.DataFrame(rows, columns=["digest", "height", "width", "decode_ok", "faces"])
+
+    return images.mapInPandas(detect, FOUND)
+
 
-    face = "struct<bbox: array<double>, det_score: double, embedding: array<float>>"
-    found = frames.select("sequence_id", "frame_index", "image").mapInPandas(detect, f"{schemas.FRAME_STATUS}, faces array<{face}>")
+def detect_once(frames: DataFrame, detector_factory: Callable[[], Detector], table: str, parts: int = 1) -> None:
+    """Run the detector on every image whose result is not in ``table`` yet, and store it there.
+
+    Images are told apart by the SHA-256 of their bytes, so copies are detected once, and a run
+    that is repeated detects what it has not committed: with ``parts`` the work is cut by digest
+    into so many commits. Digests alone are shuffled; the images to be read are found by a
+    broadcast of their keys where a count finds few. One run at a time writes a table.
+    """
+    spark = frames.sparkSession
+    keyed = frames.where("image IS NOT NULL").select("sequence_id", "frame_index", "image", F.sha2("image", 256).alias("digest"))
+    asked = keyed.groupBy("digest").agg(F.min(F.struct("sequence_id", "frame_index")).alias("at"))
+    for part in range(parts):
+        mine = asked.where(F.pmod(F.xxhash64("digest"), F.lit(parts)) == part)
+        known = _stored(spark, table)
+        todo = stage(mine.join(known.select("digest"), "digest", "left_anti") if known is not None else mine, "to-detect")
+        left = sized(todo.select("digest", "at.*"))
+        same = [F.col(f"f.{c}").eqNullSafe(F.col(f"t.{c}")) for c in ("sequence_id", "frame_index")]
+        images = keyed.alias("f").join(left.alias("t"), (F.col("f.digest") == F.col("t.digest")) & same[0] & same[1], "left_semi").select("digest", "image")
+        _detected(images, detector_factory).dropDuplicates(["digest"]).write.mode("append").parquet(table)
+
+
+def _stored(spark: SparkSession, table: str) -> DataFrame | None:
+    from pyspark.errors import AnalysisException
+
+    try:
+        return spark.read.schema(FOUND).parquet(table)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
+
+
+def detect_faces(frames: DataFrame, detector_factory: Callable[[], Detector], table: str | None = None, parts: int = 1) -> tuple[DataFrame, DataFrame]:
+    """(detections, frame_status) of decoded frames, by a detector that the caller supplies.
+
+    ``detector_factory`` is called once per task; what it returns maps image bytes to (height,
+    width, faces), a face being (bbox, embedding, det_score), or to None if it cannot read them.
+    Such frames, and null images, have shape (0, 0) and no faces. The faces of a frame keep the
+    detector's order. Frames that repeat a key are rows of their own.
+
+    The detector runs once for an image, here and now, by :func:`detect_once`; both results are
+    read from ``table``, by default one in the shared folder.
+    """
+    spark = frames.sparkSession
+    table = table or new_path(spark, "detected")
+    detect_once(frames, detector_factory, table, parts)
+    keys = frames.select("sequence_id", "frame_index", F.sha2("image", 256).alias("digest"))
+    found = keys.join(spark.read.schema(FOUND).parquet(table), "digest", "left")
+    status = found.select("sequence_id", "frame_index", *(F.coalesce(c, F.lit(0)).alias(c) for c in ("height", "width")), F.coalesce("decode_ok", F.lit(False)).alias("decode_ok"))
     detections = found.select("sequence_id", "frame_index", F.posexplode("faces").alias("face_index", "face")).select("sequence_id", "frame_index", "face_index", "face.bbox", "face.det_score", "face.embedding")
-    return detections, found.drop("faces")
+    return detections, status
 
 
 def validate_requests(requests: DataFrame, kind: str) -> DataFrame:

@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -30,6 +31,15 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Rows of a few numbers each that :func:`sized` lets Spark broadcast.
+BROADCAST_ROWS = 500_000
+
+
+def sized(df: DataFrame) -> DataFrame:
+    """A stored or persisted table of small rows, marked for broadcast if a count finds few."""
+    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
+
+
 def delete(spark: SparkSession, path: str) -> None:
     """Delete a folder of the shared storage; one that is not there is no fault."""
     root = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)

@@ -63,6 +63,7 @@ class OpenTracks(StatefulProcessor):
     def _fold(self, key: tuple, waiting: list[tuple], passed: int) -> Iterator[Row]:
         """Take the rows that the watermark has passed, in order; then close the sequence or have
         a timer close it later."""
+        self.touched: dict[str, tuple] = {}  # tracks of this turn, written once at its end
         order = lambda w: (w[0], w[1] is not None, w[1] or 0)
         ready, rest = sorted((w for w in waiting if w[0] <= passed), key=order), [w for w in waiting if w[0] > passed]
         session = list(self.session.get()) if self.session.exists() else None
@@ -77,6 +78,8 @@ class OpenTracks(StatefulProcessor):
         if session and session[1] + self.gap <= passed:
             yield from self._closed(key, session)
             session = None
+        for track, held in self.touched.items():
+            self.tracks.updateValue((track,), held)
         if rest:
             self.waiting.put([(w[0], json.dumps(w[1:])) for w in rest])
         else:
@@ -84,9 +87,12 @@ class OpenTracks(StatefulProcessor):
         if session:
             self.session.update(tuple(session))
             self.links.update((json.dumps(links.state()),))
-        ends = [w[0] for w in rest] + ([session[1]] if session else [])
-        if ends:
-            self.handle.registerTimer(-(-(max(ends) + self.gap) // 1000))
+        end = session[1] + self.gap if session else None
+        for us, *_ in sorted(rest, key=order):
+            if end is None or us < end:
+                end = us + self.gap
+        if end is not None:  # the first moment at which a part of the sequence can close
+            self.handle.registerTimer(-(-end // 1000))
 
     def _held(self) -> list[tuple]:
         return [(us, *json.loads(body)) for us, body in self.waiting.get()]
@@ -102,18 +108,23 @@ class OpenTracks(StatefulProcessor):
             link = links.add(np.array(vector, np.float64) if usable else None)
         track = person if link is None else f"{UNKNOWN}_{link}"
         point = _point(bbox)
-        if self.tracks.containsKey((track,)):
-            n, total, *rest = self.tracks.getValue((track,))
-            self.tracks.updateValue((track,), (n + 1, total + sure, *rest[:10], *point))
+        held = self.touched.get(track)
+        if held is None and self.tracks.containsKey((track,)):
+            held = self.tracks.getValue((track,))
+        if held:
+            n, total, *rest = held
+            self.touched[track] = (n + 1, total + sure, *rest[:10], *point)
         else:
-            self.tracks.updateValue((track,), (1, sure, link, name, frame, number, height, width, *point, *point))
+            self.touched[track] = (1, sure, link, name, frame, number, height, width, *point, *point)
 
     def _closed(self, key: tuple, session: list) -> Iterator[Row]:
         start, _, frames = session
         if frames >= 2:
-            for (track,), held in self.tracks.iterator():
+            tracks = {track: tuple(held) for (track,), held in self.tracks.iterator()} | self.touched
+            for track, held in tracks.items():
                 n, total, link, name, frame, face, height, width, *points = held
                 if n >= 2:
                     yield Row(sequence_id=key[0], start=start, track_key=track, n_entries=n, mean_confidence=total / n, link_no=link, name=name, first_at=(frame, face), first_point=tuple(points[:4]), last_point=tuple(points[4:]), height=height, width=width)
+        self.touched = {}
         for state in (self.tracks, self.session, self.links):
             state.clear()

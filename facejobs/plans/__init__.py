@@ -1,5 +1,5 @@
 """Whole jobs, composed of operators."""
 
-from facejobs.plans.jobs import enroll_batch, identify_batch
+from facejobs.plans.jobs import BatchResults, enroll_batch, enroll_images, identify_batch
 
-__all__ = ["enroll_batch", "identify_batch"]
+__all__ = ["BatchResults", "enroll_batch", "enroll_images", "identify_batch"]

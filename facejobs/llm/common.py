@@ -39,7 +39,17 @@ def stage(df: DataFrame, label: str, compression: str = "zstd") -> DataFrame:
     the loss of the executors that made it."""
     path = new_path(df.sparkSession, label)
     df.write.option("compression", compression).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    held = df.sparkSession.read.schema(df.schema).parquet(path)
+    held.staged_path = path
+    return held
+
+
+def discard(*staged: DataFrame) -> None:
+    """Delete tables of :func:`stage` that nothing reads any more."""
+    for df in staged:
+        spark = df.sparkSession
+        root = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(df.staged_path)
+        root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(root, True)
 
 
 #: Rows of a few numbers each that :func:`sized` lets Spark broadcast: about 10 MB, its own default.

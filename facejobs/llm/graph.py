@@ -45,7 +45,8 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     edges = common.stage(edges.select("u", "v").where("u <> v"), "edges")
     before = _state(edges)
     for _ in range(most_rounds):
-        edges = common.stage(_small_star(_large_star(edges)), "edges")
+        earlier, edges = edges, common.stage(_small_star(_large_star(edges)), "edges")
+        common.discard(earlier)
         if (now := _state(edges)) == before:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).unionAll(edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
         before = now

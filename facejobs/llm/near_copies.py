@@ -29,6 +29,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from facejobs.llm import common, graph, simhash
 
@@ -137,9 +138,11 @@ def links(held: DataFrame, first_row: DataFrame, words: int = WORDS) -> DataFram
     def checked(pairs: DataFrame) -> DataFrame:
         pairs = common.stage(pairs.distinct(), "pairs")
         met = pairs.select(F.explode(F.array("u", "v")).alias("id")).distinct().join(first_row, "id").select("row")
-        met = common.sized(common.stage(met, "met"))
-        sets = common.stage(held.select("row", "id", "text").join(met, "row", "left_semi").select("id", whole("text").alias("shingles")), "met-sets")
-        return common.stage(verified(pairs, sets), "similar")
+        met = common.stage(met, "met")
+        sets = common.stage(held.select("row", "id", "text").join(common.sized(met), "row", "left_semi").select("id", whole("text").alias("shingles")), "met-sets")
+        similar = common.stage(verified(pairs, sets), "similar")
+        common.discard(pairs, met, sets)
+        return similar
 
     pair = lambda a, b: (F.least(a, b).alias("u"), F.greatest(a, b).alias("v"))
     one = held.select("row", "id", "n", "prefix", "fp", "map").join(common.sized(first_row.select("row")), "row", "left_semi")
@@ -150,35 +153,45 @@ def links(held: DataFrame, first_row: DataFrame, words: int = WORDS) -> DataFram
     named = lambda name: first_of.select(F.col("fp").alias(name), F.col("first").alias(f"{name}_first"))
     by_print = same.unionAll(near.join(named("u"), "u").join(named("v"), "v").select(*pair("u_first", "v_first")))
 
-    keys = one.select(F.explode("prefix").alias("key")).groupBy("key").agg(F.count("*").alias("many")).where("many > 1").select("key")
-    keys = common.sized(common.stage(keys, "shared-keys"))
-    entries = one.select("id", "n", F.posexplode("prefix").alias("pos", "key")).join(keys, "key", "left_semi")
-    shared = common.stage(entries.select("key", F.struct("n", "id", "pos").alias("x")), "shared-shingles")
-    leaders = shared.groupBy("key").agg(F.min("x").alias("leader"))
-    to_leader = shared.join(leaders, "key").where((F.col("x.id") != F.col("leader.id")) & _may("x", "leader")).select(*pair("x.id", "leader.id"))
+    # one shuffle of narrow rows finds both the shingles that several sets share and their leaders
+    entries = one.select("id", "n", F.posexplode("prefix").alias("pos", "key"))
+    of_key = Window.partitionBy("key")
+    many = entries.withColumn("many", F.count("*").over(of_key))
+    for c in ("n", "id", "pos"):
+        many = many.withColumn(f"leader_{c}", F.first(c).over(of_key.orderBy("n", "id")))
+    set_of = lambda prefix="": F.struct(*(F.col(f"{prefix}{c}").alias(c) for c in ("n", "id", "pos")))
+    shared = common.stage(many.where("many > 1").select("key", set_of().alias("x"), set_of("leader_").alias("leader")), "shared-shingles")
+    to_leader = shared.where((F.col("x.id") != F.col("leader.id")) & _may("x", "leader")).select(*pair("x.id", "leader.id"))
     found = checked(by_print.unionAll(to_leader))
 
-    left = _unjoined(shared, found, prints.select("id", "map"))
+    left = _unjoined(shared.select("key", "x"), found, prints.select("id", "map"))
+    common.discard(shared)
     for turn in range(MORE_LEADERS):
         leaders = left.groupBy("key").agg(F.min_by(F.struct("x", "root"), F.xxhash64(F.lit(turn), "x.id", "key")).alias("l")).select("key", "l.*").withColumnsRenamed({"x": "leader", "root": "leader_root"})
         tried = left.join(leaders, "key").where((F.col("root") != F.col("leader_root")) & _may("x", "leader") & _maps_allow("x", "leader"))
         found = common.stage(found.unionAll(checked(tried.select(*pair("x.id", "leader.id")))), "found")
-        left = _unjoined(left.select("key", "x"), found)
+        before, left = left, _unjoined(left.select("key", "x"), found)
+        common.discard(before)
     a, b = left.select("key", F.col("x").alias("a"), F.col("root").alias("ra")), left.select("key", F.col("x").alias("b"), F.col("root").alias("rb"))
     rest = a.join(b, "key").where((F.col("ra") < F.col("rb")) & _may("a", "b") & _maps_allow("a", "b")).select(*pair("a.id", "b.id"))
-    return found.unionAll(checked(rest))
+    found = common.stage(found.unionAll(checked(rest)), "similar")
+    common.discard(left, prints, first_of)
+    return found
 
 
 def _unjoined(shared: DataFrame, found: DataFrame, maps: DataFrame | None = None) -> DataFrame:
     """(key, x, root): those rows of ``shared`` (key, x) whose shingle is one of sets that ``found``
     has not all joined. ``maps`` (id, map) completes the structs x."""
-    roots = graph.components(found).select(F.col("node").alias("id"), F.col("root").alias("now"))
+    edges = common.stage(graph.components(found), "roots")
+    roots = edges.select(F.col("node").alias("id"), F.col("root").alias("now"))
     rooted = shared.withColumn("id", F.col("x.id")).join(roots, "id", "left").select("key", "x", "id", F.coalesce("now", "id").alias("root"))
     mixed = rooted.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("key")
     kept = rooted.join(mixed, "key", "left_semi")
     if maps is not None:
         kept = kept.join(maps, "id").withColumn("x", F.struct("x.n", "x.id", "x.pos", "map"))
-    return common.stage(kept.select("key", "x", "root"), "unjoined")
+    left = common.stage(kept.select("key", "x", "root"), "unjoined")
+    common.discard(edges)
+    return left
 
 
 def keep_one(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", words: int = WORDS) -> DataFrame:
@@ -195,4 +208,6 @@ def keep_one(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", words:
     roots = graph.components(links(held.select(F.col(row).alias("row"), f"{found}.*", F.col(text).alias("text")), first_row, words)).withColumnRenamed("node", "id")
     placed = smallest.select("id", "best").join(roots, "id", "left")
     first = placed.groupBy(F.coalesce("root", "id").alias("root")).agg(F.min("best").alias("best")).select(F.col("best.row").alias(row))
-    return held.drop(found).join(common.sized(common.stage(first, "kept")), row, "left_semi").drop(row)
+    kept = common.stage(first, "kept")
+    common.discard(smallest, first_row)
+    return held.drop(found).join(common.sized(kept), row, "left_semi").drop(row)

@@ -4,10 +4,13 @@ A text is cut into windows of a few words. A window's gain is how many bytes sho
 compresses with the toxic dictionary than with the ordinary one; before it stands a fixed carrier
 that both hold, so that even short windows are compressed rather than stored.
 
-The ordinary dictionary is trained on windows of ordinary text. The toxic one is trained on spans
-of toxic text and goes on with the ordinary one, so that what toxic texts share with others costs
-the same in both. Spans are stretches whose byte sequences stand in many more contexts in toxic
-texts than elsewhere (contexts, not counts, so copies of a text add none), by the likelihood ratio.
+The toxic dictionary starts as one that zstandard trains on windows of toxic text, most of which are
+ordinary. So its words are tried again one by one: each is put before the ordinary dictionary, and
+the windows of labelled text that then compress to fewer bytes are counted. Words that shorten
+far more windows of toxic text than of ordinary text, by the likelihood ratio, stay, each cut to the
+beginning that does so best. The ordinary dictionary is trained on windows of ordinary text, less
+those that these words shorten, and the toxic one goes on with it, so that what toxic texts share
+with others costs the same in both.
 
 A logistic calibration of the gains' distribution over a text's windows, fitted on rows that the
 dictionaries did not see, gives the score; its threshold, of the best F1 there, lies at 0.7.
@@ -16,6 +19,7 @@ dictionaries did not see, gives the score; its threshold, of the best F1 there,
 from __future__ import annotations
 
 import random
+import re
 import zlib
 from dataclasses import dataclass
 from functools import lru_cache
@@ -29,19 +33,26 @@ from pyspark.sql import functions as F
 from facejobs.llm import common, labelled
 
 THRESHOLD = 0.7
-#: Bytes of the ordinary dictionary, and of the toxic one before that.
-ORDINARY, TOXIC = 65536, 8192
-#: Words of a window, and bytes of the carrier before it.
-WINDOW, CARRIER = 4, 32
-#: Bytes of the sequences by which spans are found, and the least likelihood ratio (2 log L) and
-#: number of contexts of a sequence that stands for toxic text.
-GRAM, LEAST_RATIO, LEAST_CONTEXTS = 6, 15, 3
-#: Sequences are counted in so many parts, one after the other, to spare the driver's memory.
-PARTS = 7
-#: Length of the pieces that make up a trained dictionary, and of the sequences counted for it: toxic spans, windows.
-SPAN_PIECES, WINDOW_PIECES, COUNTED = 16, 64, 6
-#: Windows that a dictionary is trained on at most, of the bounded sample of rows.
-TRAINED_ON = 60_000
+#: Bytes of the ordinary dictionary, and of the toxic one before its words are tried.
+ORDINARY, TOXIC = 16384, 8192
+#: Words of a window in a score, and of one in which words of the toxic dictionary are tried.
+WINDOW, TRIED = 4, 2
+#: Bytes of the carrier before a window.
+CARRIER = 32
+#: Bytes of a word of the toxic dictionary: it is tried from the first number on, cut to the second.
+SHORTEST, LONGEST_WORD = 5, 12
+#: A word stays if its likelihood ratio (2 log L) and its share of toxic over its share of ordinary
+#: windows are no less, and if it shortens windows of so many toxic texts.
+LEAST_RATIO, LEAST_SHARE, LEAST_TEXTS = 20, 8, 3
+#: Words that are tried together before their windows are tried with each of them.
+FAN = 16
+#: Length of the pieces that zstandard puts together to a dictionary, and of the sequences it counts.
+TOXIC_PIECES, ORDINARY_PIECES, COUNTED = 16, 64, 6
+#: Of the bounded sample of rows: windows that a dictionary is trained on, and windows of either
+#: kind of text that words are tried in, at most.
+TRAINED_ON, TRIED_ON = 60_000, 100_000
+#: Parts of the sample; each is calibrated on with dictionaries of the others.
+FOLDS = 3
 #: Bound of the labelled rows fitted on, per label.
 SAMPLE = {0: 2500, 1: 1500}
 _LEVELS = (1, 2, 3, 4, 5)
@@ -57,10 +68,10 @@ class Model:
     shift: float
 
 
-def windows(text: str) -> list[bytes]:
-    """The words in lower case, a few at a time, with a space on either side."""
+def windows(text: str, size: int = WINDOW) -> list[bytes]:
+    """The words in lower case, ``size`` at a time, with a space on either side."""
     words = text.encode().lower().split()
-    return [b" " + b" ".join(words[k : k + WINDOW]) + b" " for k in range(0, len(words), WINDOW)]
+    return [b" " + b" ".join(words[k : k + size]) + b" " for k in range(0, len(words), size)]
 
 
 @lru_cache(maxsize=4)
@@ -78,75 +89,6 @@ def gains(text: str, ordinary: bytes, toxic: bytes) -> np.ndarray:
     return np.array([len(a(w)) - len(b(w)) for w in (carrier + x for x in windows(text))] or [0])
 
 
-def _grams(text: bytes) -> np.ndarray:
-    """The sequences of GRAM bytes at each place, as numbers."""
-    raw = np.frombuffer(text, np.uint8).astype(np.uint64)
-    out = np.zeros(max(0, len(raw) - GRAM + 1), np.uint64)
-    for k in range(GRAM):
-        out = out << np.uint64(8) | raw[k : k + len(out)]
-    return out
-
-
-def _among(grams: np.ndarray, rising: np.ndarray) -> np.ndarray:
-    """Which of the numbers are in a sorted array."""
-    if not len(rising):
-        return np.zeros(len(grams), bool)
-    return rising[np.minimum(np.searchsorted(rising, grams), len(rising) - 1)] == grams
-
-
-def _contexts(texts: list[bytes], only: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """The distinct sequences of the texts (of ``only``, if given), and in how many contexts (the
-    sequences on both sides) each stands."""
-    found = [_contexts_of(texts, only, part) for part in range(PARTS)]
-    grams, counts = (np.concatenate([f[k] for f in found]) for k in (0, 1))
-    order = np.argsort(grams)
-    return grams[order], counts[order]
-
-
-def _contexts_of(texts: list[bytes], only: np.ndarray | None, part: int) -> tuple[np.ndarray, np.ndarray]:
-    seen = [np.zeros((2, 0), np.uint64)]
-    for t in texts:
-        found = _grams(t)
-        around = np.pad(found, GRAM)
-        context = around[: -2 * GRAM] * np.uint64(0x9E3779B97F4A7C15) ^ around[2 * GRAM :] * np.uint64(0xC2B2AE3D27D4EB4F)
-        taken = found % np.uint64(PARTS) == part
-        if only is not None:
-            taken &= _among(found, only)
-        seen.append(np.stack([found[taken], found[taken] * np.uint64(0xD6E8FEB86659FD93) ^ context[taken]]))
-    both = np.concatenate(seen, axis=1)
-    del seen
-    _, first = np.unique(both[1], return_index=True)
-    return np.unique(both[0, first], return_counts=True)
-
-
-def _typical(toxic: list[bytes], ordinary: list[bytes]) -> np.ndarray:
-    """Sequences with more contexts in toxic texts than their share, by the likelihood ratio."""
-    grams, n1 = _contexts(toxic)
-    grams, n1 = grams[n1 >= LEAST_CONTEXTS], n1[n1 >= LEAST_CONTEXTS]
-    if not len(grams):
-        return grams
-    others, counts = _contexts(ordinary, grams)
-    n0 = np.zeros(len(grams), np.int64)
-    n0[np.searchsorted(grams, others)] = counts
-    share = n1.sum() / (n1.sum() + n0.sum())
-    mean1, mean0 = (n1 + n0) * share, (n1 + n0) * (1 - share)
-    ratio = 2 * (n1 * np.log(n1 / mean1) + np.where(n0 > 0, n0 * np.log(np.maximum(n0, 1) / np.maximum(mean0, 1e-9)), 0))
-    return grams[(n1 > 2 * mean1) & (ratio >= LEAST_RATIO)]
-
-
-def spans(texts: list[bytes], typical: np.ndarray) -> list[bytes]:
-    """The stretches of the texts that these sequences cover."""
-    out = []
-    for t in texts:
-        hit = _among(_grams(t), typical)
-        covered = np.zeros(len(t) + 2, np.int8)
-        for k in range(GRAM):
-            covered[k + 1 : k + 1 + len(hit)] |= hit
-        edges = np.flatnonzero(np.diff(covered))
-        out += [t[a:b] for a, b in zip(edges[::2], edges[1::2])]
-    return out
-
-
 def _trained(samples: list[bytes], size: int, piece: int) -> bytes:
     """Content of a dictionary trained on ``samples``; their joined bytes where they are too few to train on."""
     if not samples:
@@ -157,17 +99,85 @@ def _trained(samples: list[bytes], size: int, piece: int) -> bytes:
         return b"".join(samples)[-size:]
 
 
+def _lengths(among: list[bytes], ordinary: bytes) -> np.ndarray:
+    """Compressed lengths of the windows with the ordinary dictionary."""
+    plain, carrier = _compressors(ordinary, b"")[0], ordinary[-CARRIER:]
+    return np.array([len(plain(carrier + w)) for w in among], np.int64)
+
+
+def _shortened(words: list[bytes], among: list[bytes], lengths: np.ndarray, ordinary: bytes, which: np.ndarray | None = None) -> dict[bytes, np.ndarray]:
+    """For each word, the places in ``among`` of windows that it saves bytes of. What a group of
+    words saves nothing of is not tried with its members."""
+    which = np.arange(len(among)) if which is None else which
+    more, carrier = _compressors(ordinary, b"".join(words) + ordinary)[1], ordinary[-CARRIER:]
+    which = which[np.array([len(more(carrier + among[k])) for k in which], np.int64) < lengths[which]]
+    if len(words) == 1 or not len(which):
+        return dict.fromkeys(words, which)
+    size = -(-len(words) // FAN)
+    found = {}
+    for k in range(0, len(words), size):
+        found |= _shortened(words[k : k + size], among, lengths, ordinary, which)
+    return found
+
+
+def _best(shortened: dict[bytes, np.ndarray], of_text: np.ndarray, total: tuple[int, int]) -> list[bytes]:
+    """Words by falling likelihood ratio, each over the windows that no word before it shortens.
+    ``of_text`` numbers a window's toxic text, -1 for ordinary ones; ``total`` counts the windows
+    of toxic and of ordinary text."""
+    words = sorted(shortened)
+    any_of = np.unique(np.concatenate(list(shortened.values())))
+    of_text = of_text[any_of]
+    hits = np.zeros((len(words), len(of_text)), bool)
+    for k, w in enumerate(words):
+        hits[k, np.searchsorted(any_of, shortened[w])] = True
+    left, toxic, kept = np.ones(len(of_text), bool), of_text >= 0, []
+    share = total[0] / max(1, sum(total))
+    while words:
+        n1, n0 = hits[:, left & toxic].sum(1), hits[:, left & ~toxic].sum(1)
+        mean1, mean0 = np.maximum((n1 + n0) * share, 1e-9), np.maximum((n1 + n0) * (1 - share), 1e-9)
+        ratio = 2 * (n1 * np.log(np.maximum(n1, 1) / mean1) + n0 * np.log(np.maximum(n0, 1) / mean0))
+        ratio[n1 * total[1] < LEAST_SHARE * (n0 + 1) * total[0]] = 0
+        for k in np.argsort(-ratio, kind="stable"):
+            if ratio[k] < LEAST_RATIO or len(set(of_text[hits[k] & left & toxic])) >= LEAST_TEXTS:
+                break
+        if ratio[k] < LEAST_RATIO:
+            break
+        kept.append(words[k])
+        left &= ~hits[k]
+    return kept
+
+
 def dictionaries(toxic: list[str], ordinary: list[str]) -> tuple[bytes, bytes]:
     """The ordinary and the toxic dictionary; the latter ends in the former."""
-    order = random.Random(0)
-    usual = sorted({w for t in ordinary for w in windows(t)})
-    order.shuffle(usual)
-    plain = lambda texts: sorted(b" " + b" ".join(t.encode().lower().split()) + b" " for t in texts)
-    texts = plain(toxic)
-    found = spans(texts, _typical(texts, plain(ordinary)))
-    order.shuffle(found)
-    of_ordinary = _trained(usual[:TRAINED_ON], ORDINARY, WINDOW_PIECES)
-    return of_ordinary, _trained(found, TOXIC, SPAN_PIECES) + of_ordinary
+    toxic, ordinary, order = sorted(set(toxic)), sorted(set(ordinary)), random.Random(0)
+
+    def dealt(texts: list[str], size: int) -> list[tuple[bytes, int]]:
+        found = [(w, k) for k, t in enumerate(texts) for w in windows(t, size)]
+        order.shuffle(found)
+        return found
+
+    short = [dealt(texts, TRIED)[:TRIED_ON] for texts in (toxic, ordinary)]
+    among, of_text = [w for part in short for w, _ in part], np.array([k for _, k in short[0]] + [-1] * len(short[1]), np.int64)
+    total = len(short[0]), len(short[1])
+    first = _trained([w for w, _ in short[1]][:TRAINED_ON], ORDINARY, ORDINARY_PIECES)
+    start = _trained([w for w, _ in short[0]][:TRAINED_ON], TOXIC, TOXIC_PIECES)
+    words = sorted({w[:LONGEST_WORD] for w in re.findall(rb" ?[^ \x00-\x1f]+", start) if len(w) >= SHORTEST})
+    if words:
+        lengths = _lengths(among, first)
+        found = _shortened(words, among, lengths, first)
+        words = _best(found, of_text, total)
+        which = np.unique(np.concatenate([found[w] for w in words] or [np.zeros(0, np.int64)]))
+    if words:
+        words = sorted({w[:n] for w in words for n in range(SHORTEST, len(w) + 1)})
+        words = _best(_shortened(words, among, lengths, first, which), of_text, total)
+    usual = [w for w, _ in dealt(ordinary, WINDOW)][:TRAINED_ON]
+    if words:
+        joined = b"".join(words)
+        held = set(_shortened([joined], usual, _lengths(usual, first), first)[joined].tolist())
+        usual = [w for k, w in enumerate(usual) if k not in held]
+    of_ordinary = _trained(usual, ORDINARY, ORDINARY_PIECES)
+    # the likeliest words last, next to the text
+    return of_ordinary, b"".join(reversed(words)) + of_ordinary
 
 
 def _features(gain: np.ndarray) -> np.ndarray:
@@ -198,18 +208,18 @@ def best_cut(logit: np.ndarray, y: np.ndarray, weight: np.ndarray, beta: float =
 
 def fit(sample: labelled.Sample) -> Model | None:
     """None where one of the labels is missing. The rows are dealt by a hash of their text, so
-    that their order is of no account: two halves in turn train dictionaries and give the gains
-    of the other half for the calibration and its threshold; then all rows train the dictionaries."""
+    that their order is of no account: dictionaries of all parts but one give the gains of
+    that one for the calibration and its threshold; then all rows make the dictionaries."""
     if len(set(sample.y)) < 2:
         return None
     rows = sorted(zip(sample.texts, sample.y), key=lambda r: (zlib.crc32(r[0].encode()), r))
     of = lambda part, y: [t for t, label in part if label == y]
     made = lambda part: dictionaries(of(part, 1), of(part, 0))
-    halves = [of(rows, 1)[k::2] for k in (0, 1)], [of(rows, 0)[k::2] for k in (0, 1)]
-    halves = [[*((t, 1) for t in halves[0][k]), *((t, 0) for t in halves[1][k])] for k in (0, 1)]
-    if any(len({y for _, y in half}) < 2 for half in halves):
-        halves = [rows, rows]
-    seen = [(_features(gains(t, *pair)), label) for k, pair in enumerate(map(made, halves)) for t, label in halves[1 - k]]
+    parts = [[(t, y) for y in (0, 1) for t in of(rows, y)[k::FOLDS]] for k in range(FOLDS)]
+    others = [[r for j, part in enumerate(parts) if j != k for r in part] for k in range(FOLDS)]
+    if any(len({y for _, y in part}) < 2 for part in others):
+        others = [rows] * FOLDS
+    seen = [(_features(gains(t, *pair)), label) for pair, part in zip(map(made, others), parts) for t, label in part]
     x, y = np.array([f for f, _ in seen]), np.array([float(label) for _, label in seen])
     weight = np.array([sample.weight[int(v)] for v in y])
     mean, scale, w = _logistic(x, y, weight)

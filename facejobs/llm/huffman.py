@@ -134,9 +134,9 @@ def token_blocks(docs: DataFrame, path: str, end_id: int = END_ID, text: str = "
             row = {"part": part, "seq": seq, "before": before, "doc_ids": docs, "lengths": lengths, "ids": np.concatenate(ids).astype(kind).tobytes()}
             return _batch({k: [v] for k, v in row.items()}, _raw(doc))
 
-        for batch in common.slices(batches, "text", 4 << 20):
+        for batch in common.slices(batches, "text", 8 << 20):
             doc_type = batch.schema.field("doc_id").type
-            for doc, found in zip(batch.column("doc_id").to_pylist(), u.encode(common.texts(batch.column("text")))):
+            for doc, found in zip(batch.column("doc_id").to_pylist(), u.encode_column(batch.column("text"))):
                 docs.append(doc)
                 ids.append(np.append(found, np.int32(end_id)))
                 lengths.append(len(found) + 1)

@@ -4,6 +4,9 @@ A unit is finer than a text and at least a pre-token: a word with the space befo
 punctuation, or a run of white space, as the tokenizer's own rules cut there first. Ids of a
 text are then the ids of its units in order, each encoded by the library once per worker. Of
 each call one whole text is encoded by the library too, and a difference stops the job.
+
+Columns of text for a byte-level vocabulary are cut by their bytes, all texts of a batch at once,
+and finer: where a letter, a digit and a punctuation character of ASCII meet as well.
 """
 
 from __future__ import annotations
@@ -12,6 +15,8 @@ import re
 from functools import lru_cache
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 
 from facejobs.llm import common
@@ -23,6 +28,36 @@ BYTE_LEVEL = re.compile(f" ?[^{WHITE}]+|[{WHITE}]+(?![^{WHITE}])|[{WHITE}]+")
 WORD_LEVEL = re.compile(f"[^{WHITE}]+")
 #: Fixed value: the pattern that byte-level vocabularies cut by; a unit holds whole matches of it.
 PATTERN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
+#: Kinds of bytes. Bytes of longer characters and control characters may be of any kind.
+SPACE, BREAK, LETTER, DIGIT, MARK, QUOTE, ANY = range(7)
+
+
+def _kinds() -> np.ndarray:
+    kinds = np.full(256, ANY, np.uint8)
+    kinds[33:127] = MARK
+    for some, kind in ((b"\t\n\x0b\x0c\r", BREAK), (b" ", SPACE), (b"'", QUOTE), (b"0123456789", DIGIT)):
+        kinds[list(some)] = kind
+    kinds[[b for b in range(128) if chr(b).isalpha()]] = LETTER
+    return kinds
+
+
+def _cuts() -> np.ndarray:
+    """Whether a pre-token ends between bytes of two kinds (the first times 8, plus the second): 1
+    if so, 2 if it does where no white space follows, 0 if not or if more than the two decide."""
+    cuts = np.zeros(64, np.uint8)
+    white, solid = (SPACE, BREAK), (LETTER, DIGIT, MARK, QUOTE, ANY)
+    for a in range(7):
+        for b in range(7):
+            if b in white:
+                cuts[8 * a + b] = 2 if a in white else 1
+            elif a == BREAK:
+                cuts[8 * a + b] = 1
+            elif a in solid and ANY not in (a, b) and a != b and {a, b} != {MARK, QUOTE} and (a, b) != (QUOTE, LETTER):
+                cuts[8 * a + b] = 1
+    return cuts
+
+
+KINDS, CUTS = _kinds(), _cuts()
 #: Units whose ids a worker keeps, at about 250 bytes each.
 CACHE = 1_000_000
 #: Stands between units that are encoded together: of word vocabularies, and of byte-level ones.
@@ -60,6 +95,8 @@ class Units:
         special = [t["content"] for t in rules["added_tokens"]]
         self.special = re.compile("(" + "|".join(map(re.escape, sorted(special, key=len, reverse=True))) + ")") if special else None
         self.marks = special
+        #: Texts that are not cut by their bytes: with longer white space or the string of an added token.
+        self.odd = "|".join([f"[{''.join(c for c in WHITE if c == '-' or ord(c) > 127)}]", *map(re.escape, special)])
         self.size = self.library.get_vocab_size()
         self.known: dict[str, bytes] = {}
         #: Encodes joined units: of word vocabularies without the normalizer, for what Python has lowered; see :meth:`_lowered`.
@@ -108,9 +145,16 @@ class Units:
     def _learn(self, new: list[str]) -> None:
         """Ids of units not met before. Most go to the library joined by a text that is a
         pre-token and an id of its own."""
-        fast, simple, rest = self.plain.encode_batch_fast, [], []
+        simple, rest = [], []
         for u in new:
-            (simple if len(self.split_id) == 1 and self._joins(u) else rest).append(u)
+            (simple if self._joins(u) else rest).append(u)
+        self._learn_joined(simple, rest)
+
+    def _learn_joined(self, simple: list[str], rest: list[str]) -> None:
+        """Ids of units that can be encoded in one text, and of the rest, each by itself."""
+        if len(self.split_id) != 1:
+            simple, rest = [], simple + rest
+        fast = self.plain.encode_batch_fast
         for at in range(0, len(simple), 5_000):
             part, ids = simple[at : at + 5_000], []
             for k in range(0, len(part), JOINED):
@@ -140,10 +184,63 @@ class Units:
         self._learn(list(set().union(*cut).difference(self.known)))
         get = self.known.__getitem__
         out = [np.frombuffer(b"".join(map(get, c)), np.int32) for c in cut]
+        self._check(texts, out)
+        return out
+
+    def _check(self, texts: list[str], out: list[np.ndarray]) -> None:
         # the longest of moderate length, so that a check costs little in a batch of many texts
         k = max((k for k, t in enumerate(texts) if len(t) <= CHECKED), key=lambda k: len(texts[k]), default=None)
         if k is not None and out[k].tolist() != self.encode_units([texts[k]])[0]:
             raise MismatchError(f"ids of {texts[k]!r}")
+
+    def cut_bytes(self, data: np.ndarray, starts: np.ndarray) -> np.ndarray:
+        """Where units start in the bytes of texts that start at ``starts`` (those of empty texts
+        included): at each text, and where a pre-token of a byte-level vocabulary surely ends."""
+        if not len(data):
+            return np.zeros(0, np.int64)
+        kinds = KINDS[data]
+        first = np.zeros(len(data) + 1, bool)
+        first[starts] = True
+        first[-1] = True
+        cuts = np.zeros(len(data), np.uint8)
+        cuts[1:] = CUTS[kinds[:-1] << 3 | kinds[1:]]
+        # of a run of white space the last character stands alone if a word follows in the text
+        runs = np.flatnonzero(cuts == 2)
+        after = kinds[np.minimum(runs + 1, len(data) - 1)]
+        cuts[runs] = (after > BREAK) & ~first[runs + 1]
+        cuts[first[:-1]] = 1
+        return np.flatnonzero(cuts)
+
+    def encode_column(self, column: pa.Array) -> list[np.ndarray]:
+        """Ids of each text of a column of strings, as :meth:`encode` gives them; null is the empty text."""
+        texts = pc.fill_null(column.cast(pa.large_string()), "")
+        if self.pattern is WORD_LEVEL:
+            return self.encode(texts.to_pylist())
+        odd = pc.match_substring_regex(texts, self.odd)
+        other = np.flatnonzero(odd.to_numpy(zero_copy_only=False))
+        if len(other):
+            rest, texts = texts.filter(odd).to_pylist(), pc.if_else(odd, "", texts)
+        places = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
+        places, low = places - places[0], int(places[0])
+        data = np.frombuffer(texts.buffers()[2], np.uint8)[low : low + int(places[-1])] if places[-1] else np.zeros(0, np.uint8)
+        starts = self.cut_bytes(data, places[:-1])
+        units = pa.LargeStringArray.from_buffers(len(starts), pa.py_buffer(np.append(starts, len(data))), pa.py_buffer(data)).dictionary_encode()
+        words = units.dictionary.to_numpy(zero_copy_only=False).tolist()
+        common.trim(self.known, CACHE)
+        known = list(map(self.known.get, words))
+        new = [k for k, x in enumerate(known) if x is None]
+        self._learn_joined([words[k] for k in new if not words[k].isspace()], [words[k] for k in new if words[k].isspace()])
+        for k in new:
+            known[k] = self.known[words[k]]
+        found = pa.array(known, pa.large_binary()).take(units.indices)
+        ends = np.frombuffer(found.buffers()[1], np.int64)[: len(found) + 1] // 4 if len(found) else np.zeros(1, np.int64)
+        ids = np.frombuffer(found.buffers()[2], np.int32) if ends[-1] else np.zeros(0, np.int32)
+        bounds = ends[np.searchsorted(starts, places)].tolist()
+        out = [ids[a:b] for a, b in zip(bounds, bounds[1:])]
+        self._check(texts.to_pylist(), out)
+        if len(other):
+            for k, x in zip(other.tolist(), self.encode(rest)):
+                out[k] = x
         return out
 
 

@@ -7,6 +7,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
@@ -39,6 +40,34 @@ def test_a_wrong_cut_stops_the_job():
         u.encode(["several letters"])
 
 
+BYTES = [*" \t\n\r\x0b\x0c'.,-5", "  ", "a", "B", "7", "s", "re", "'ll", "'S", "''", "\x1c", "\x00", "\x7f", "é", "\u0301", "\u02bc", "½", "²", "\x85", "\xa0", "\u2003", "\u3000", "\u200b", "—", "<|endoftext|>", "<|end"]
+
+
+@pytest.mark.parametrize("kind", [pa.string(), pa.large_string()])
+def test_columns_cut_by_bytes_give_the_librarys_ids(kind):
+    rng = random.Random(1)
+    texts = [None, "", *cases(300), *("".join(rng.choices(BYTES[: rng.choice([12, 22, len(BYTES)])], k=rng.randint(1, 9))) for _ in range(20_000)), "", None]
+    column = pa.array(["left out", *texts, "too"], kind).slice(1, len(texts))
+    u, tk = units.Units(common.tokenizer_file("byte_bpe_50k.json")), library("byte_bpe_50k.json")
+    want = [e.ids for e in tk.encode_batch([t or "" for t in texts], add_special_tokens=False)]
+    for at in range(0, len(texts), 5000):  # the later ones with units known from the first
+        assert [x.tolist() for x in u.encode_column(column.slice(at, 5000))] == want[at : at + 5000]
+    assert u.encode_column(column.slice(0, 0)) == [] and [len(x) for x in u.encode_column(pa.array([None, ""], kind))] == [0, 0]
+
+
+def test_column_units_are_pre_tokens():
+    u = units.Units(common.tokenizer_file("byte_bpe_50k.json"))
+    u.encode_column(pa.array(["Here word, word. word; word7 (word)\n word's"]))
+    assert set(u.known) == {"Here", " word", ",", ".", ";", "7", " (", "word", ")", "\n", "'s"}
+
+
+def test_a_wrong_cut_of_bytes_stops_the_job():
+    u = units.Units(common.tokenizer_file("byte_bpe_50k.json"))
+    u.cut_bytes = lambda data, starts: np.arange(len(data))
+    with pytest.raises(units.MismatchError):
+        u.encode_column(pa.array(["several letters"]))
+
+
 def test_sentencepiece_equals_the_library(spark, hard):
     v = sentencepieces.Vocabulary(common.tokenizer_file(sentencepieces.FILE))
     texts = cases()

@@ -28,6 +28,8 @@ END_ID = 2
 #: Longest code in bits, where the number of symbols allows it.
 LONGEST = 16
 BLOCK_IDS, STRIDE = 1 << 19, 256
+#: Ids encoded at a time, a multiple of STRIDE: few enough for a core's own cache.
+PIECE = 1 << 15
 
 
 def code_lengths(counts: np.ndarray, longest: int = LONGEST) -> np.ndarray:
@@ -64,8 +66,9 @@ class Codes:
         spans = 1 << (self.longest - self.lengths)
         first = np.concatenate([[0], np.cumsum(spans)[:-1]]) if len(order) else np.zeros(0, np.int64)
         size = int(self.symbols.max()) + 1 if len(order) else 0
-        self.code, self.bits = np.zeros(size, np.uint64), np.zeros(size, np.int64)
-        self.code[self.symbols] = (first >> (self.longest - self.lengths)).astype(np.uint64)
+        #: Codes from the highest bit of a word on, and their lengths.
+        self.left, self.bits = np.zeros(size, np.uint64), np.zeros(size, np.int64)
+        self.left[self.symbols] = first.astype(np.uint64) << np.uint64(64 - self.longest)
         self.bits[self.symbols] = self.lengths
         self.table = np.zeros(1 << self.longest, np.uint32)
         entry = (self.symbols << 8 | self.lengths).astype(np.uint32)
@@ -75,18 +78,23 @@ class Codes:
         """Bits of the ids, and the bit offsets of every STRIDE-th as 64-bit numbers."""
         if not len(ids):
             return b"", b""
-        bits = self.bits[ids]
-        ends = np.cumsum(bits)
-        at = ends - bits
-        word, room = at >> 6, 64 - (at & 63) - bits
-        code = self.code[ids]
-        head = np.where(room >= 0, code << np.maximum(room, 0).astype(np.uint64), code >> np.maximum(-room, 0).astype(np.uint64))
-        words = np.zeros(int(ends[-1] + 63 >> 6), np.uint64)
-        starts = np.flatnonzero(np.diff(word, prepend=-1))
-        words[word[starts]] = np.bitwise_or.reduceat(head, starts)
-        over = np.flatnonzero(room < 0)
-        words[word[over] + 1] |= code[over] << (64 + room[over]).astype(np.uint64)
-        return words.astype(">u8").tobytes()[: int(ends[-1] + 7 >> 3)], at[::STRIDE].astype("<u8").tobytes()
+        words = np.zeros((len(ids) * self.longest >> 6) + 2, np.uint64)
+        checkpoints, end = [], 0
+        for k in range(0, len(ids), PIECE):
+            piece = ids[k : k + PIECE]
+            bits, left = self.bits[piece], self.left[piece]
+            ends = np.cumsum(bits)
+            ends += end
+            at = ends - bits
+            word, skip = at >> 6, at & 63
+            head = left >> skip.astype(np.uint64)
+            starts = np.append(0, np.flatnonzero(word[1:] != word[:-1]) + 1)
+            words[word[starts]] |= np.bitwise_or.reduceat(head, starts)
+            over = np.flatnonzero(skip + bits > 64)
+            words[word[over] + 1] |= left[over] << (64 - skip[over]).astype(np.uint64)
+            checkpoints.append(at[::STRIDE])
+            end = int(ends[-1])
+        return words[: end + 63 >> 6].astype(">u8").tobytes()[: end + 7 >> 3], np.concatenate(checkpoints).astype("<u8").tobytes()
 
     def decode(self, bits: bytes, checkpoints: bytes, n: int) -> np.ndarray:
         """The n ids, all stretches between checkpoints step by step side by side."""
@@ -192,7 +200,7 @@ def write(docs: DataFrame, path: str, folder: str, end_id: int = END_ID, text: s
         for batch in batches:
             for r in range(batch.num_rows):
                 ids = np.frombuffer(batch.column("ids")[r].as_buffer(), kind)
-                bits, checkpoints = codes.encode(ids.astype(np.int64))
+                bits, checkpoints = codes.encode(ids)
                 row = {"start": offset[batch.column("part")[r].as_py()] + batch.column("before")[r].as_py(), "n": len(ids), "checkpoints": checkpoints, "bits": bits}
                 files = _files(batch.schema.field("doc_ids").type.value_type)
                 yield _batch({k: [row[k]] if k in row else [batch.column(k)[r].as_py()] for k in files}, files)

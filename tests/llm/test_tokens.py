@@ -103,6 +103,23 @@ def test_code_lengths_are_best_and_decode(n):
         assert (codes.decode(*codes.encode(ids), size) == ids).all()
 
 
+def test_codes_encoded_in_pieces_are_the_codes_in_a_row(monkeypatch):
+    monkeypatch.setattr(huffman, "PIECE", huffman.STRIDE)
+    rng = np.random.default_rng(0)
+    symbols, counts = np.arange(60_000), np.maximum(1, (rng.pareto(1.1, 60_000) * 5).astype(np.int64))
+    codes = huffman.Codes(symbols, huffman.code_lengths(counts, 17))
+    order, at, text = np.lexsort((symbols, codes.bits)), 0, {}
+    for k in order:
+        text[int(symbols[k])] = format(at >> 17 - int(codes.bits[k]), f"0{codes.bits[k]}b")
+        at += 1 << 17 - int(codes.bits[k])
+    for size in (1, 255, 256, 257, 5000):
+        ids = rng.choice(symbols, size)
+        bits, checkpoints = codes.encode(ids)
+        want = "".join(text[int(x)] for x in ids)
+        assert bits == int(want.ljust(-(-len(want) // 8) * 8, "0"), 2).to_bytes(-(-len(want) // 8), "big")
+        assert (codes.decode(bits, checkpoints, size) == ids).all()
+
+
 def test_code_lengths_equal_exhaustive_search():
     from itertools import product
 

@@ -28,8 +28,9 @@ BYTE_LEVEL = re.compile(f" ?[^{WHITE}]+|[{WHITE}]+(?![^{WHITE}])|[{WHITE}]+")
 WORD_LEVEL = re.compile(f"[^{WHITE}]+")
 #: Fixed value: the pattern that byte-level vocabularies cut by; a unit holds whole matches of it.
 PATTERN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
-#: Kinds of bytes. Bytes of longer characters and control characters may be of any kind.
-SPACE, BREAK, LETTER, DIGIT, MARK, QUOTE, ANY = range(7)
+#: Kinds of bytes. WIDE are those of white space beyond ASCII; those of other longer characters,
+#: and control characters, may be letters, digits or marks.
+SPACE, BREAK, LETTER, DIGIT, MARK, QUOTE, ANY, WIDE = range(8)
 
 
 def _kinds() -> np.ndarray:
@@ -45,11 +46,12 @@ def _cuts() -> np.ndarray:
     """Whether a pre-token ends between bytes of two kinds (the first times 8, plus the second): 1
     if so, 2 if it does where no white space follows, 0 if not or if more than the two decide."""
     cuts = np.zeros(64, np.uint8)
-    white, solid = (SPACE, BREAK), (LETTER, DIGIT, MARK, QUOTE, ANY)
-    for a in range(7):
-        for b in range(7):
+    white, solid = (SPACE, BREAK, WIDE), (LETTER, DIGIT, MARK, QUOTE, ANY)
+    for a in range(8):
+        for b in range(8):
             if b in white:
-                cuts[8 * a + b] = 2 if a in white else 1
+                # in a run, WIDE stays with what follows, so that no character is cut
+                cuts[8 * a + b] = 1 if a in solid else 0 if b == WIDE else 2
             elif a == BREAK:
                 cuts[8 * a + b] = 1
             elif a in solid and ANY not in (a, b) and a != b and {a, b} != {MARK, QUOTE} and (a, b) != (QUOTE, LETTER):
@@ -58,6 +60,11 @@ def _cuts() -> np.ndarray:
 
 
 KINDS, CUTS = _kinds(), _cuts()
+#: White space beyond ASCII as three bytes in one number (of shorter characters two), and its first bytes.
+LONG = np.array(sorted(int.from_bytes(c.encode(), "big") for c in map(chr, range(128, 0x3001)) if re.match(f"[{WHITE}]", c)))
+LEADS = np.isin(np.arange(256), [0xC2, 0xE1, 0xE2, 0xE3])
+#: How units start that do not run on from white space before them.
+WORD = re.compile(r" ?\S").match
 #: Units whose ids a worker keeps, at about 250 bytes each.
 CACHE = 1_000_000
 #: Stands between units that are encoded together: of word vocabularies, and of byte-level ones.
@@ -95,8 +102,6 @@ class Units:
         special = [t["content"] for t in rules["added_tokens"]]
         self.special = re.compile("(" + "|".join(map(re.escape, sorted(special, key=len, reverse=True))) + ")") if special else None
         self.marks = special
-        #: Texts that are not cut by their bytes: with longer white space or the string of an added token.
-        self.odd = "|".join([f"[{''.join(c for c in WHITE if c == '-' or ord(c) > 127)}]", *map(re.escape, special)])
         self.size = self.library.get_vocab_size()
         self.known: dict[str, bytes] = {}
         #: Encodes joined units: of word vocabularies without the normalizer, for what Python has lowered; see :meth:`_lowered`.
@@ -199,6 +204,16 @@ class Units:
         if not len(data):
             return np.zeros(0, np.int64)
         kinds = KINDS[data]
+        at = np.flatnonzero(LEADS[data])
+        if len(at):
+            two = data[at] == 0xC2
+            last = len(data) - 1
+            number = data[at].astype(np.int64) << 8 | data[np.minimum(at + 1, last)]
+            number = np.where(two, number, number << 8 | data[np.minimum(at + 2, last)])
+            wide = np.isin(number, LONG)
+            at, two = at[wide], two[wide]
+            for k in (at, at + 1, at[~two] + 2):
+                kinds[k] = WIDE
         first = np.zeros(len(data) + 1, bool)
         first[starts] = True
         first[-1] = True
@@ -207,7 +222,7 @@ class Units:
         # of a run of white space the last character stands alone if a word follows in the text
         runs = np.flatnonzero(cuts == 2)
         after = kinds[np.minimum(runs + 1, len(data) - 1)]
-        cuts[runs] = (after > BREAK) & ~first[runs + 1]
+        cuts[runs] = (after > BREAK) & (after != WIDE) & ~first[runs + 1]
         cuts[first[:-1]] = 1
         return np.flatnonzero(cuts)
 
@@ -216,7 +231,9 @@ class Units:
         texts = pc.fill_null(column.cast(pa.large_string()), "")
         if self.pattern is WORD_LEVEL:
             return self.encode(texts.to_pylist())
-        odd = pc.match_substring_regex(texts, self.odd)
+        odd = pa.array(np.zeros(len(texts), bool))
+        for mark in self.marks:
+            odd = pc.or_(odd, pc.match_substring(texts, mark))
         other = np.flatnonzero(odd.to_numpy(zero_copy_only=False))
         if len(other):
             rest, texts = texts.filter(odd).to_pylist(), pc.if_else(odd, "", texts)
@@ -229,7 +246,8 @@ class Units:
         common.trim(self.known, CACHE)
         known = list(map(self.known.get, words))
         new = [k for k, x in enumerate(known) if x is None]
-        self._learn_joined([words[k] for k in new if not words[k].isspace()], [words[k] for k in new if words[k].isspace()])
+        joins = [bool(WORD(words[k])) for k in new]
+        self._learn_joined([words[k] for k, x in zip(new, joins) if x], [words[k] for k, x in zip(new, joins) if not x])
         for k in new:
             known[k] = self.known[words[k]]
         found = pa.array(known, pa.large_binary()).take(units.indices)

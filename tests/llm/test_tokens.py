@@ -55,6 +55,16 @@ def test_columns_cut_by_bytes_give_the_librarys_ids(kind):
     assert u.encode_column(column.slice(0, 0)) == [] and [len(x) for x in u.encode_column(pa.array([None, ""], kind))] == [0, 0]
 
 
+@pytest.mark.parametrize("white", ["\xa0", "\x85", "\u1680", "\u2003", "\u2028", "\u202f", "\u205f", "\u3000"])
+def test_wide_white_space_is_cut_by_bytes(white):
+    u, tk = units.Units(common.tokenizer_file("byte_bpe_50k.json")), library("byte_bpe_50k.json")
+    u.encode = None  # no text takes the way by Python strings
+    rng = random.Random(2)
+    texts = [f"word x\n\n{white}y", f"x\n{white}y {white}z", *("".join(rng.choices([white, " ", "\n", "\t", "a", "é", "'s", ".", "5", "\u200b"], k=rng.randint(1, 9))) for _ in range(3000))]
+    assert [x.tolist() for x in u.encode_column(pa.array(texts))] == [e.ids for e in tk.encode_batch(texts, add_special_tokens=False)]
+    assert not [w for w in u.known if w[1:].isspace() and not w[0].isspace()]
+
+
 def test_column_units_are_pre_tokens():
     u = units.Units(common.tokenizer_file("byte_bpe_50k.json"))
     u.encode_column(pa.array(["Here word, word. word; word7 (word)\n word's"]))
